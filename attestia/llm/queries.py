@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestia.llm import mixing, sharding
+from attestia.llm import bpe, media, mixing, sharding
+from attestia.llm.common import durable
 from attestia.session import table
 
 QUERIES: dict = {}
@@ -63,6 +64,20 @@ from spent group by doc_id, size, source_size, target
 """
 
 
+@query
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = durable(media.store(table(spark, sf_dir, "documents")), "media")
+    return media.digests(stored)
+
+
+@query
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digest=True)
+
+
 @query
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), shards=8)
