@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestia.llm import bpe, media, mixing, sharding
+from attestia.llm import bpe, langid, media, mixing, sharding
 from attestia.llm.common import durable
 from attestia.session import table
 
@@ -64,6 +64,13 @@ from spent group by doc_id, size, source_size, target
 """
 
 
+@query
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    told = langid.predict(docs, langid.model_of(docs))
+    return told.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = durable(media.store(table(spark, sf_dir, "documents")), "media")
