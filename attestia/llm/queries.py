@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestia.llm import bpe, langid, media, mixing, sharding
+from attestia.llm import bpe, langid, media, mixing, sharding, vafile
 from attestia.llm.common import durable
 from attestia.session import table
 
@@ -77,6 +77,28 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(stored)
 
 
+@query
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+ORACLES["op6_topk"] = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(list_transform(q.e, lambda x: cast(x as double)), list_transform(c.e, lambda x: cast(x as double))) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e)
+  where q.vec_id % 100 = 0
+), ranked as (
+  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 10
+"""
+
+
 @query
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
