@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestia.llm import bpe, langid, media, mixing, sharding, vafile
+from attestia.llm import bpe, langid, media, mixing, sharding, vafile, wavelet
 from attestia.llm.common import durable
 from attestia.session import table
 
@@ -107,6 +107,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digest=True)
 
 
+@query
+def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return wavelet.documents(wavelet.write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"), end=0))
+
+
 @query
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), shards=8)
