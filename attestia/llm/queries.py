@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestia.llm import bpe, langid, media, mixing, sharding, vafile, wavelet
+from attestia.llm import bpe, langid, linededup, media, mixing, sharding, vafile, wavelet
 from attestia.llm.common import durable
 from attestia.session import table
 
@@ -64,6 +64,15 @@ from spent group by doc_id, size, source_size, target
 """
 
 
+@query
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    return linededup.dedup(docs, count=True).select(
+        "doc_id", "n_lines", "n_removed", F.octet_length(left).cast("long").alias("kept_bytes"), F.sha2(left, 256).alias("kept_sha256")
+    )
+
+
 @query
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
