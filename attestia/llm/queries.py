@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestia.llm import bpe, langid, linededup, media, mixing, sharding, vafile, wavelet
+from attestia.llm import bpe, langid, linededup, media, mixing, ngramjoin, sharding, vafile, wavelet
 from attestia.llm.common import durable
 from attestia.session import table
 
@@ -116,6 +116,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digest=True)
 
 
+@query
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 @query
 def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
