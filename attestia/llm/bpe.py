@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 from attestia.llm.common import ready
 
 MEMO_WORDS = 1_000_000
-#: The word pattern restricted to ASCII texts, where the standard library's engine is faster.
-ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+#: The word pattern for texts of ASCII characters, or of those and Latin letters of two blocks, where the standard
+#: library's engine is faster; all their white space is ASCII.
+ASCII_PATTERN = r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+LATIN_PATTERN = ASCII_PATTERN.replace("A-Za-z", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f")
+NOT_LATIN = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]").search
 GENERAL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -96,10 +99,14 @@ class Splitter:
         import regex
 
         self._general = regex.compile(pattern).findall
-        self._ascii = re.compile(ASCII_PATTERN, re.A).findall if pattern == GENERAL_PATTERN else self._general
+        known = pattern == GENERAL_PATTERN
+        self._ascii = re.compile(ASCII_PATTERN, re.A).findall if known else self._general
+        self._latin = re.compile(LATIN_PATTERN, re.A).findall if known else self._general
 
     def __call__(self, text: str) -> list[str]:
-        return self._ascii(text) if text.isascii() else self._general(text)
+        if text.isascii():
+            return self._ascii(text)
+        return self._general(text) if NOT_LATIN(text) else self._latin(text)
 
 
 class Memo(dict):

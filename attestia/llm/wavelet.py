@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -77,10 +78,10 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, depth: int) -> WaveletMatrix:
         planes, zeros = [], []
         for k in range(depth - 1, -1, -1):
-            bit = (ids >> k) & 1 == 1
+            bit = (ids & ids.dtype.type(1 << k)).astype(bool)
             planes.append(Plane(np.packbits(bit), len(ids)))
             zeros.append(len(ids) - planes[-1].ones)
-            ids = np.concatenate([ids[~bit], ids[bit]])
+            ids = np.concatenate([ids.take(np.flatnonzero(~bit)), ids.take(np.flatnonzero(bit))])
         return cls(planes, zeros, len(ids))
 
     def all(self) -> np.ndarray:
@@ -90,8 +91,8 @@ class WaveletMatrix:
         for k, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             bit = plane.bits()
             up = np.empty_like(ids)
-            up[~bit] = ids[:zeros]
-            up[bit] = ids[zeros:] | kind(1 << k)
+            up[np.flatnonzero(~bit)] = ids[:zeros]
+            up[np.flatnonzero(bit)] = ids[zeros:] | kind(1 << k)
             ids = up
         return ids
 
@@ -185,23 +186,31 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.pending: dict[str, bytearray] = {}
         self.library = Tokenizer.from_str(definition)
         self.library.encode_special_tokens = True
         self.split = Splitter(pattern)
+        self.code = "H" if self.library.get_vocab_size() < 1 << 16 else "I"
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() < 1 << 16 else "<u4")
         self.depth = max(1, (self.library.get_vocab_size() - 1).bit_length())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        words = [self.split(t) if t else [] for t in texts]
         if len(self) > MEMO_WORDS:
             self.clear()
-        fresh = list(set().union(*words) - self.keys())
+        get = self.__getitem__
+        found = [list(map(get, self.split(t))) if t else [] for t in texts]
+        fresh = list(self.pending)
         for k in range(0, len(fresh), 10_000):
             part = fresh[k : k + 10_000]
             for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, self.kind).tobytes()
-        get = self.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+                self.pending[w] += array(self.code, e.ids).tobytes()
+        self.pending.clear()
+        return [b"".join(f) for f in found]
+
+    def __missing__(self, word: str) -> bytearray:
+        """A place for the word's ids, filled before `encode` joins them."""
+        place = self[word] = self.pending[word] = bytearray()
+        return place
 
 
 _workers: dict = {}
