@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestia.llm import bpe, langid, linededup, media, mixing, ngramjoin, sharding, vafile, wavelet
+from attestia.llm import bpe, langid, linededup, media, mixing, ngramjoin, sharding, suffixdedup, vafile, wavelet
 from attestia.llm.common import durable
 from attestia.session import table
 
@@ -18,6 +18,11 @@ def query(f):
     return f
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup(table(spark, sf_dir, "documents"), digest=True)
+
+
 @query
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = mixing.mix(table(spark, sf_dir, "documents"), mixing.cyclic_weights((3, 1, 2)), ratio=1.5, cap=2.0)
