@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -18,7 +19,18 @@ BROADCAST_ROWS, BROADCAST_BYTES = 250_000, 8 << 20
 BIN_BYTES = 64 << 20
 SALTS = 16
 
-_scratch: list[tuple[SparkSession, str]] = []
+_scratch: list[tuple[SparkSession, str, str]] = []
+_scope = [""]
+
+
+@contextlib.contextmanager
+def scope(name: str):
+    """Tables written inside belong to a named scope, which `sweep` can delete."""
+    _scope.append(name)
+    try:
+        yield
+    finally:
+        _scope.pop()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark).rstrip('/')}/attestia-{label}-{uuid.uuid4().hex}"
-    _scratch.append((spark, path))
+    _scratch.append((spark, _scope[-1], path))
     return path
 
 
@@ -44,18 +56,25 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete this session's earlier scratch tables. Only call it when nothing lazy still reads them."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    keep = []
-    for owner, path in _scratch:
-        if owner is spark:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-        else:
-            keep.append((owner, path))
-    _scratch[:] = keep
+def sweep(spark: SparkSession, name: str) -> None:
+    """Delete the scratch tables of a scope, when nothing lazy still reads them."""
+    mine = [x for x in _scratch if x[0] is spark and x[1] == name]
+    _scratch[:] = [x for x in _scratch if x not in mine]
+    for _, _, path in mine:
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def small_batches(batches, limit: int = 4 << 20):
+    """Batches of at most about `limit` bytes (or one row), so that copies of them stay small."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * limit / max(1, batch.nbytes)))
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def ready(spark: SparkSession) -> None:

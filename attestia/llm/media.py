@@ -220,14 +220,6 @@ def read_track(data: bytes, ranges: tuple[np.ndarray, np.ndarray]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
 
 
-def _small_batches(batches, limit: int = 4 << 20):
-    """Batches of at most about `limit` bytes (or one row), so that copies of them stay small."""
-    for batch in batches:
-        rows = max(1, int(batch.num_rows * limit / max(1, batch.nbytes)))
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
-
-
 def store(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, n_bytes and the media column of every row."""
     ready(docs.sparkSession)
@@ -236,8 +228,9 @@ def store(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
 
     def write(batches):
         from attestia.llm import media
+        from attestia.llm.common import small_batches
 
-        for batch in media._small_batches(batches):
+        for batch in small_batches(batches):
             bodies = batch.column(batch.num_columns - 1).to_pylist()
             files = [media.mux(media.pad(x)) for x in bodies]
             yield pa.RecordBatch.from_arrays(
@@ -257,8 +250,9 @@ def probed(stored: DataFrame, media: str = "media", keep: tuple[str, ...] = ("do
 
     def read(batches):
         from attestia.llm import media as m
+        from attestia.llm.common import small_batches
 
-        for batch in m._small_batches(batches):
+        for batch in small_batches(batches):
             found = [{} if x is None else m.probe(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             keys = [
                 None if "keyframes" not in f else [{"offset": a, "length": b} for a, b in zip(*[x.tolist() for x in f["keyframes"]], strict=True)]
@@ -285,8 +279,9 @@ def digests(stored: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")) ->
         import zlib
 
         from attestia.llm import media as m
+        from attestia.llm.common import small_batches
 
-        for batch in m._small_batches(batches):
+        for batch in small_batches(batches):
             rows = []
             for data in batch.column(batch.num_columns - 1).to_pylist():
                 found = m.probe(data)

@@ -35,7 +35,7 @@ from attestia.llm.components import Forest, components
 GROUP = 16
 #: A cluster of more documents or shingles is dealt into blocks; a block holds about so many.
 CLUSTER_DOCS, BLOCK_DOCS, MOST_BLOCK_DOCS, BLOCK_TOKENS = 192, 124, 2_048, 1_000_000
-SLICE = 4 << 20
+SLICE = 2 << 20
 NOBODY = -(1 << 63)
 
 
@@ -257,8 +257,9 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, text: str = "
 
     def sketch(batches):
         from attestia.llm import ngramjoin
+        from attestia.llm.common import small_batches
 
-        for batch in batches:
+        for batch in small_batches(batches, 8 << 20):
             yield from ngramjoin.sketch_batch(batch, n, num, den, bins)
 
     def meet(batches):

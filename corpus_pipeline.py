@@ -1,6 +1,88 @@
-STAGES = []
+"""A training-data pipeline: five stages, each written as Parquet and reread as the next one's documents."""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attestia.llm import bpe, langid, linededup, mixing, ngramjoin
+from attestia.llm.common import durable, lookup, remove, scope, shared_dir, sweep
+from attestia.session import table
+
+SCOPE = "pipeline"
+WEIGHTS, RATIO, CAP = (3, 1, 2), 1.5, 2.0
+SHINGLE_WORDS, SIMILARITY = 5, (8, 10)
+
+
+def stage(f):
+    """A stage deletes the scratch tables of the one before, whose result its caller has written."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        sweep(spark, SCOPE)
+        with scope(SCOPE):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no language that was learned, or in no dominant one, go."""
+    return langid.accept(docs, langid.model_of(docs))
+
+
+@stage
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Aligned blocks of lines that an earlier document has are deleted; n_chars follows the text."""
+    left = linededup.dedup(docs)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
+
+
+@stage
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the first; rows without doc_id stay."""
+    found = durable(ngramjoin.join(docs, SHINGLE_WORDS, *SIMILARITY), "groups")
+    dropped = durable(found.filter("component_id <> doc_id").select("doc_id").distinct().withColumn("_gone", F.lit(True)), "dropped")
+    kept = lookup(docs, dropped, "doc_id", F.col("doc_id"), 1).filter("_gone is null").select(*docs.columns)
+    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        again = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])  # rows that repeat an id are one node
+        kept = again.unionByName(kept.filter("doc_id is null"))
+    return kept
+
+
+@stage
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources near their target weights; a document may be taken twice."""
+    return mixing.take(docs, mixing.mix(docs, mixing.cyclic_weights(WEIGHTS), RATIO, CAP))
+
+
+@stage
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every taken document, and of its decoded bytes."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encode(docs, path, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"), digest=True)
+
+
+STAGES = [
+    ("language identification", language),
+    ("line deduplication", lines),
+    ("near-duplicates", near_duplicates),
+    ("mixing", mix),
+    ("byte-level BPE", tokens),
+]
+#: Viterbi labels, patience alignment and BPE have no SQL form; tests/llm/test_pipeline.py holds a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, f in STAGES:
+        path = f"{shared_dir(spark).rstrip('/')}/attestia-stage-{uuid.uuid4().hex}"
+        f(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
+    return docs
