@@ -281,6 +281,5 @@ def model_of(docs: DataFrame) -> dict:
 
 def accept(docs: DataFrame, model: dict, least: float = 0.3) -> DataFrame:
     """Documents whose language is known with at least this share of their letters, with their own columns."""
-    columns = docs.columns
-    told = predict(docs.select("*", F.col("text").alias("_copy")), model, text="_copy", keep=tuple(columns))
-    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*columns)
+    told = predict(docs.select(F.struct("*").alias("row"), F.col("text").alias("body")), model, text="body", keep=("row",))
+    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")

@@ -166,8 +166,5 @@ def take(docs: DataFrame, manifest: DataFrame) -> DataFrame:
         "mix-copies",
     )
     times = F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.coalesce("_n", F.lit(0)))
-    return (
-        lookup(docs, copies, "doc_id", F.col("doc_id"), 1)
-        .withColumn("_k", F.explode(F.array_repeat(F.lit(0), times)))
-        .select(*[F.col(c) for c in docs.columns])
-    )
+    rows = docs.select(F.struct("*").alias("row"), "doc_id")
+    return lookup(rows, copies, "doc_id", F.col("doc_id"), 1).select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")

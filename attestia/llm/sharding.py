@@ -120,27 +120,41 @@ def pack(sizes: list[int], capacity: int, most: int | None = None) -> list[int]
 
 
 def spread(sizes: list[int], bins: int, rounds: int = 24) -> list[int]:
-    """Bin of each item such that `bins` bins are filled as evenly as best-fit-decreasing finds."""
+    """Bin of each item such that `bins` bins are filled as evenly as best-fit-decreasing finds.
+
+    An item of at least an equal share of what is left gets a bin to itself; the rest share the other bins.
+    """
     if not sizes:
         return []
-    low = max(max(sizes), -(-sum(sizes) // bins))
-    high = low
-    best = pack(sizes, high, bins)
-    step = 1
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    left, alone = sum(sizes), 0
+    while alone < min(bins - 1, len(order)) and sizes[order[alone]] * (bins - alone) >= left:
+        left -= sizes[order[alone]]
+        alone += 1
+    rest = order[alone:]
+    own = [sizes[i] for i in rest]
+    low = max(max(own, default=0), -(-left // (bins - alone)))
+    high, step = low, 1
+    best = pack(own, high, bins - alone)
     while best is None:
         high = low + step
         step *= 2
-        best = pack(sizes, high, bins)
+        best = pack(own, high, bins - alone)
     for _ in range(rounds):
         if low >= high:
             break
         mid = (low + high) // 2
-        found = pack(sizes, mid, bins)
+        found = pack(own, mid, bins - alone)
         if found is None:
             low = mid + 1
         else:
             best, high = found, mid
-    return best
+    where = [0] * len(sizes)
+    for b, i in enumerate(order[:alone]):
+        where[i] = b
+    for i, b in zip(rest, best, strict=True):
+        where[i] = alone + b
+    return where
 
 
 def shard(docs: DataFrame, shards: int = 8, text: str = "text", key: Column | None = None) -> DataFrame:

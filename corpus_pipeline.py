@@ -45,8 +45,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the first; rows without doc_id stay."""
     found = durable(ngramjoin.join(docs, SHINGLE_WORDS, *SIMILARITY), "groups")
-    dropped = durable(found.filter("component_id <> doc_id").select("doc_id").distinct().withColumn("_gone", F.lit(True)), "dropped")
-    kept = lookup(docs, dropped, "doc_id", F.col("doc_id"), 1).filter("_gone is null").select(*docs.columns)
+    dropped = durable(found.filter("component_id <> doc_id").select("doc_id").distinct().withColumn("gone", F.lit(True)), "dropped")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id")
+    kept = lookup(rows, dropped, "doc_id", F.col("doc_id"), 1).filter("gone is null").select("row.*")
     if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
         again = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])  # rows that repeat an id are one node
         kept = again.unionByName(kept.filter("doc_id is null"))
