@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from attestia.llm import hashing
 from attestia.llm.common import broadcastable, durable, ready, shuffle_width
 
-LENGTH, GRAM = 100, 32
+#: A longer GRAM makes more anchors, a shorter one more chance repeats of anchors, whose number grows with its square.
+LENGTH, GRAM = 100, 48
 SEGMENT, SLICE = 1 << 20, 1 << 20
 #: Contexts of one anchor beyond which they are dealt over shards; at most about SHARDS of them, of MOST contexts.
 HOT, SHARDS, MOST = 1_000, 24, 100_000
@@ -366,8 +367,10 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def sketch(batches):
         from attestia.llm import suffixdedup
+        from attestia.llm.common import release, small_batches
 
-        for batch in batches:
+        release()
+        for batch in small_batches(batches):
             yield from suffixdedup.sketch_batch(batch, bins)
 
     def meet(batches):
