@@ -77,6 +77,22 @@ def small_batches(batches, limit: int = 4 << 20):
             yield batch.slice(i, rows)
 
 
+_resident: dict = {}
+
+
+def resident(key, make):
+    """What a Python worker keeps between tasks: one value, the last operator's, so that memory stays bounded."""
+    if "key" not in _resident or _resident["key"] is not key:
+        release()
+        _resident.update(key=key, value=make())
+    return _resident["value"]
+
+
+def release() -> None:
+    """Free what an earlier operator keeps in this Python worker."""
+    _resident.clear()
+
+
 def ready(spark: SparkSession) -> None:
     ship(spark)
 

@@ -257,9 +257,10 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, text: str = "
 
     def sketch(batches):
         from attestia.llm import ngramjoin
-        from attestia.llm.common import small_batches
+        from attestia.llm.common import release, small_batches
 
-        for batch in small_batches(batches, 8 << 20):
+        release()
+        for batch in small_batches(batches):
             yield from ngramjoin.sketch_batch(batch, n, num, den, bins)
 
     def meet(batches):
