@@ -1,6 +1,11 @@
-"""The query catalogue: every relational query with its independent oracle text."""
+"""The query catalogue: every registered query of the core package, each with its independent oracle text."""
 
 from __future__ import annotations
 
+from attestia.plans import grammar, relational, scalar, stateful, statistics
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+for _module in (statistics, relational, scalar, stateful, grammar):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES

@@ -38,6 +38,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only where none is configured."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="attestia-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
 def ship(spark: SparkSession) -> None:
     """Make the package importable in Python workers that do not share this folder."""
     sc = spark.sparkContext
