@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -130,3 +133,40 @@ def normalise_email(c: Column) -> Column:
     nfkc = F.pandas_udf(_nfkc, "string")
     mail = F.lower(F.trim(nfkc(F.coalesce(c, F.lit("")))))
     return F.when(F.length(mail).between(5, 160) & mail.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), mail)
+
+
+def json_keys(text: str | None) -> list[str] | None:
+    """All object keys of a JSON text at any depth, letters and digits only, in lower case; null if it is no JSON."""
+    try:
+        todo, found = [json.loads(text)], set()
+    except (TypeError, ValueError):
+        return None
+    while todo:
+        x = todo.pop()
+        if isinstance(x, dict):
+            found |= {re.sub("[^A-Za-z0-9]", "", k).lower() for k in x}
+            todo += x.values()
+        elif isinstance(x, list):
+            todo += x
+    return sorted(found)
+
+
+def _json_keys(texts: pd.Series) -> pd.Series:
+    return texts.map(json_keys)
+
+
+def has_forbidden_key(c: Column, forbidden: tuple[str, ...], parts: tuple[str, ...] = ()) -> Column:
+    """Whether a JSON text has a forbidden key, or a key with a forbidden part, at any depth; null if it is no JSON."""
+    keys = F.pandas_udf(_json_keys, "array<string>")(c)
+    inside = F.exists(keys, lambda k: F.lit(False) if not parts else k.rlike("|".join(map(re.escape, parts))))
+    return F.arrays_overlap(keys, F.array(*[F.lit(k) for k in forbidden])) | inside
+
+
+def iso_utc(ms: Column) -> Column:
+    """Epoch milliseconds as ISO-8601 UTC with milliseconds (session time zone UTC)."""
+    return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def iso_millis(c: Column) -> Column:
+    """Epoch milliseconds of an ISO-8601 UTC text; null in any other form."""
+    return F.when(c.rlike(ISO_UTC), F.unix_millis(F.try_to_timestamp(c)))

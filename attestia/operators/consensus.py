@@ -73,3 +73,25 @@ def publication_gate(tasks: DataFrame, appeals: DataFrame, finals: DataFrame, ke
         .join(finals.filter("status = 'active'"), key, "left_semi")
         .join(appeals.filter("status = 'pending'"), key, "left_anti")
     )
+
+
+def first_reason(rules: dict[str, Column], accepted: str = "eligible") -> Column:
+    """The first rule that holds, in the given order; null conditions do not hold."""
+    out = None
+    for name, broken in rules.items():
+        broken = F.coalesce(broken, F.lit(False))
+        out = F.when(broken, name) if out is None else out.when(broken, name)
+    return F.lit(accepted) if out is None else out.otherwise(accepted)
+
+
+def round_chain(rounds: DataFrame, key: str, number: str, round_id: Column) -> DataFrame:
+    """Rounds with the id of the round before and whether their numbers follow on each other."""
+    w = Window.partitionBy(key).orderBy(number)
+    return rounds.withColumn("prior_round", F.lag(round_id).over(w)).withColumn("follows", F.col(number) == F.coalesce(F.lag(number).over(w), F.lit(0)) + 1)
+
+
+def replay_protected(requests: DataFrame, nonce: str, at: str, signed: str, window_ms: int, *ties: str) -> DataFrame:
+    """Requests signed within the window of their arrival whose nonce was not used before."""
+    fresh = requests.filter(F.abs(F.col(at) - F.col(signed)) <= window_ms)
+    w = Window.partitionBy(nonce).orderBy(at, *ties)
+    return fresh.withColumn("_use", F.row_number().over(w)).filter("_use = 1").drop("_use")

@@ -155,3 +155,46 @@ def backup_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("content"))
     return chunks(docs, "content", 1000).select("doc_id", F.col("part").cast("long").alias("part"), "bytes")
+
+
+@query("""select event_id, strftime(make_timestamp((epoch_us(ts) // 1000) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') as iso, case when event_id % 5 > 0 then epoch_us(ts) // 1000 end as ms from events""")
+def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times as ISO text and read back; every fifth text is malformed."""
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    iso = T.iso_utc(ms)
+    spoiled = F.when(F.col("event_id") % 5 == 0, F.replace(iso, F.lit("T"), F.lit(" "))).otherwise(iso)
+    return table(spark, sf_dir, "events").select("event_id", iso.alias("iso"), T.iso_millis(spoiled).alias("ms"))
+
+
+@query("""select o_orderkey, sha256('{"key":' || o_orderkey || ',"status":"' || o_orderstatus || '","note":null}') as digest from orders""")
+def insertion_json_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of JSON in the order its fields were given, nulls kept."""
+    value = F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.lit(None).cast("string").alias("note"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.sha2(F.to_json(value, {"ignoreNullFields": "false"}), 256).alias("digest"))
+
+
+@query("""select event_id, event_type in ('click', 'purchase', 'error') as forbidden from events""")
+def forbidden_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested JSON with a private key at some depth, with one whose name hides it, without, and malformed (rejected)."""
+    kind = F.col("event_type")
+    key = F.when(kind == "click", "E-Mail").when(kind == "purchase", "userIdentityCode").otherwise("note")
+    text = F.concat(F.lit('{"a": [{"'), key, F.lit('": '), F.col("props"), F.lit("}]"), F.when(kind == "error", "").otherwise("}"))
+    found = T.has_forbidden_key(text, ("email", "phone"), ("identity", "provider"))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(found, F.lit(True)).alias("forbidden"))
+
+
+@query("""select doc_id, case when starts_with(text, 'A') and length(text) > 2000 then 'packet' when source in ('src1', 'src2') then 'annotation' when lang = 'fr' then 'decision' else 'unknown' end as kind from documents""")
+def document_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents classified by shape; the first rule that holds decides."""
+    kind = F.when(F.col("text").startswith("A") & (F.length("text") > 2000), "packet").when(F.col("source").isin("src1", "src2"), "annotation")
+    return table(spark, sf_dir, "documents").select("doc_id", kind.when(F.col("lang") == "fr", "decision").otherwise("unknown").alias("kind"))
+
+
+@query()
+def locale_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths in locale order (a Unicode collation) rather than by bytes."""
+    from pyspark.sql import Window
+
+    name = F.collate(F.col("p_name"), "UNICODE")
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    return names.select("p_name", F.row_number().over(Window.orderBy(name)).alias("place"))

@@ -214,6 +214,53 @@ def publication_gate(spark, sf_dir):
     return C.publication_gate(tasks, appeals, finals, "o_orderkey", 946_684_800_000).select("o_orderkey")
 
 
+@query("""with c as (select o_orderkey, o_custkey, o_orderstatus, (o_orderkey * 7) % 1500 as person from orders),
+suspended as (select c_custkey from customer where c_acctbal < 0), seats as (select distinct l_orderkey from lineitem where l_linenumber = 1 and l_returnflag = 'A')
+select o_orderkey, case when o_orderstatus <> 'O' then 'state' when o_custkey = person then 'participant' when s.c_custkey is not null then 'suspended' when t.l_orderkey is not null then 'seat' else 'eligible' end as reason
+from c left join suspended s on s.c_custkey = person left join seats t on t.l_orderkey = o_orderkey""")
+def eligibility(spark, sf_dir):
+    """Why a person may not take a task, or that they may."""
+    suspended = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("suspended"))
+    seats = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 and l_returnflag = 'A'").select(F.col("l_orderkey").alias("seat")).distinct()
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", ((F.col("o_orderkey") * 7) % 1500).alias("person"))
+    joined = asked.join(suspended, F.col("person") == F.col("suspended"), "left").join(seats, F.col("o_orderkey") == F.col("seat"), "left")
+    rules = {
+        "state": F.col("o_orderstatus") != "O",
+        "participant": F.col("o_custkey") == F.col("person"),
+        "suspended": F.col("suspended").isNotNull(),
+        "seat": F.col("seat").isNotNull(),
+    }
+    return joined.select("o_orderkey", C.first_reason(rules).alias("reason"))
+
+
+@query("""select task, round, lag('task:' || task || ':r' || round) over (partition by task order by round) as prior_round, round = coalesce(lag(round) over (partition by task order by round), 0) + 1 as follows
+from (select distinct l_orderkey as task, l_linenumber as round from lineitem)""")
+def round_chain(spark, sf_dir):
+    rounds = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("round")).distinct()
+    name = F.concat(F.lit("task:"), F.col("task").cast("string"), F.lit(":r"), F.col("round").cast("string"))
+    return C.round_chain(rounds, "task", "round", name)
+
+
+@query("""select event_id from (select event_id, row_number() over (partition by nonce order by ms, event_id) as r from (
+  select event_id, epoch_us(ts) // 1000 as ms, user_id * 100 + cast(floor(value) as int) as nonce, (event_id % 13 - 6) * 60000 as skew from events) where abs(skew) <= 300000) where r = 1""")
+def replay_window(spark, sf_dir):
+    requests = event_ms(spark, sf_dir).select(
+        "event_id", "ms", (F.col("user_id") * 100 + F.floor("value").cast("int")).alias("nonce"), (F.col("ms") + (F.col("event_id") % 13 - 6) * 60_000).alias("signed")
+    )
+    return C.replay_protected(requests, "nonce", "ms", "signed", 300_000, "event_id").select("event_id")
+
+
+@query(f"""select c_custkey, least(730, greatest(30, cast(floor(c_acctbal / 10) as int))) as days, greatest({NOW} + 86400000, coalesce(max(epoch_us(o_orderdate) // 1000), 0) + cast(least(730, greatest(30, cast(floor(c_acctbal / 10) as int))) as bigint) * 86400000) as retry_at
+from customer left join orders on o_custkey = c_custkey group by c_custkey, c_acctbal""")
+def retention_retry(spark, sf_dir):
+    """Retention days within limits, and when erasure is tried again."""
+    latest = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max(_ms("o_orderdate")).alias("at"))
+    days = F.least(F.lit(730), F.greatest(F.lit(30), F.floor(F.col("c_acctbal") / 10).cast("int")))
+    people = table(spark, sf_dir, "customer").select("c_custkey", days.alias("days")).join(latest, F.col("c_custkey") == F.col("o_custkey"), "left")
+    retry = F.greatest(F.lit(NOW + 86_400_000), F.coalesce("at", F.lit(0)) + F.col("days").cast("long") * 86_400_000)
+    return people.select("c_custkey", "days", retry.alias("retry_at"))
+
+
 @query(_FOLD)
 def stream_state_machine(spark, sf_dir):
     """The guarded fold as a stream: its final states equal the batch's."""

@@ -110,3 +110,14 @@ def test_stream_over_several_batches_equals_the_batch(spark, tmp_path):
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, batch.collect()))
     kept = machine.dedup_to_end(spark, str(tmp_path), "events.parquet")
     assert kept.count() == len({(u, t, v) for _, _, u, t, v in rows})
+
+
+def test_json_keys_and_times(spark):
+    assert T.json_keys('{"A-b": [{"C": {"d_e": 1}}]}') == ["ab", "c", "de"] and T.json_keys("{") is None and T.json_keys("[1]") == []
+    iso = T.iso_utc(F.lit(1_700_000_000_123))
+    assert one(spark, iso, T.iso_millis(iso), T.iso_millis(F.lit("2024-01-01"))) == ("2023-11-14T22:13:20.123Z", 1_700_000_000_123, None)
+
+
+def test_reasons_in_order(spark):
+    rules = {"a": F.lit(None).cast("boolean"), "b": F.lit(True), "c": F.lit(True)}
+    assert one(spark, C.first_reason(rules), C.first_reason({"a": F.lit(False)}), C.first_reason({})) == ("b", "eligible", "eligible")
