@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestia.llm.common import ready
+from attestia.llm.common import ready, resident, small_batches
 
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 300_000
 #: The word pattern for texts of ASCII characters, or of those and Latin letters of two blocks, where the standard
 #: library's engine is faster; all their white space is ASCII.
 ASCII_PATTERN = r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
@@ -123,17 +123,10 @@ class Memo(dict):
         return found
 
 
-_workers: dict = {}
-
-
 def worker(shared) -> tuple[Splitter, Memo, dict[str, bytes]]:
     """This Python worker's splitter, memo and pieces for a broadcast (pattern, ranks)."""
-    key = shared.value[2]
-    if key not in _workers:
-        pattern, ranks, _ = shared.value
-        _workers.clear()
-        _workers[key] = Splitter(pattern), Memo(ranks), {str(r): p for p, r in ranks.items()}
-    return _workers[key]
+    pattern, ranks = shared.value
+    return resident(ranks, lambda: (Splitter(pattern), Memo(ranks), {str(r): p for p, r in ranks.items()}))
 
 
 def encode(
@@ -145,8 +138,7 @@ def encode(
     """
     spark = docs.sparkSession
     ready(spark)
-    ranks = read_ranks(ranks_path)
-    shared = spark.sparkContext.broadcast((pattern, ranks, f"{pattern} {zlib.crc32(repr(sorted(ranks.items())).encode())}"))
+    shared = spark.sparkContext.broadcast((pattern, read_ranks(ranks_path)))
     more = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>"
     fields = spark.createDataFrame([], more).schema
     fields = type(fields)(docs.select(*keep).schema.fields + fields.fields)
@@ -160,13 +152,12 @@ def encode(
     return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, fields)
 
 
-def encode_batch(batch: pa.RecordBatch, shared, digest: bool, rows: int = 500):
+def encode_batch(batch: pa.RecordBatch, shared, digest: bool):
     """Encoded slices of a batch whose last column is the text."""
     from hashlib import sha256
 
     split, memo, pieces = worker(shared)
-    for k in range(0, batch.num_rows, rows):
-        part = batch.slice(k, rows)
+    for part in small_batches([batch], 2 << 20):
         if len(memo) > MEMO_WORDS:
             memo.clear()
         coded = [" ".join(map(memo.__getitem__, split(x))) if x else "" for x in part.column(part.num_columns - 1).to_pylist()]

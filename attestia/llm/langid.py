@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestia.llm.common import ready
+from attestia.llm.common import ready, resident, small_batches
 
 SAMPLE = 1500
 ORDERS, BUCKETS = 3, 1 << 15
 SWITCH, FLOOR, SMOOTH = 8.0, -12.0, 0.5
 #: Share of a language's training letters below which a script does not make it a candidate.
 SCRIPT_SHARE = 0.01
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 LETTERS = re.compile(r"[^\W\d_]+")
 # First code points of script blocks, each with the script that reaches to the next entry.
 SCRIPTS = [
@@ -209,17 +209,11 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     return labels
 
 
-_workers: dict = {}
-
-
 def label_batch(batch: pa.RecordBatch, shared, spans: bool):
     """Predictions for slices of a batch whose last column is the text."""
-    if _workers.get("of") is not shared.value:  # the same broadcast value is the same object within a worker
-        _workers.update(of=shared.value, scorer=Scorer(shared.value))
-    scorer = _workers["scorer"]
+    scorer = resident(shared.value, lambda: Scorer(shared.value))
     langs = np.array(scorer.model["langs"], object)
-    for k in range(0, batch.num_rows, 2000):
-        part = batch.slice(k, 2000)
+    for part in small_batches([batch]):
         texts = part.column(part.num_columns - 1).to_pylist()
         n = len(texts)
         if len(langs):
