@@ -7,6 +7,9 @@ Two documents link when den * |A and B| >= num * |A or B| for their sets of dist
    documents (sizes are split into classes in which H is fixed; a document deals itself for its own class and the
    one below). Groups chained over common members are clusters; links never leave a cluster. Equal sets are
    reduced to their first document beforehand, in each batch and then over all.
+   Passages shared by many documents can chain large clusters of documents that are not similar. Large clusters are
+   therefore grouped again, among themselves, by their rarest shingles: the members count the documents of each
+   shingle, and linked documents share one of their rarest n - ceil(num * n / den) + 1.
 2. Token-group matrix. Within a cluster (or a pair of its blocks, where it is large) documents are sorted by their
    least shingle and cut into groups of GROUP; the matrix has a row for each group: the union of its tokens. A
    query's overlap with a row bounds its overlap with every member, so only groups that can reach the threshold
@@ -173,6 +176,89 @@ def bin_rows(batches):
             )
 
 
+def spread_tokens(batch: pa.RecordBatch, n: int, bins: int):
+    """Packed (bin, tokens, documents) of a batch of (doc_id, bytes), dealt by token."""
+    ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+    for a, b in hashing.slices(texts, lambda t: len(t or b"") + 64, SLICE):
+        sets = hashing.shingle_sets(texts[a:b], n)
+        tokens = np.concatenate(sets)
+        docs = np.repeat(ids[a:b], [len(s) for s in sets])
+        yield from _packed(_dealt(0, tokens, bins, tokens, docs))
+
+
+def _packed(rows):
+    rows = list(rows)
+    if rows:
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bin", "kind", "a", "b", "c"])
+
+
+def _unpacked(batches, kind: int | None = None) -> list[tuple]:
+    return [x[1:] for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in ("kind", "a", "b", "c")), strict=True) if kind is None or x[0] == kind]
+
+
+def _join_bytes(rows: list[tuple], k: int, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(r[k] for r in rows), kind)
+
+
+def count_tokens(batches, bins: int):
+    """Of one bin of tokens: those of two documents or more (0: tokens, documents, counts), and how many others a
+    document has (1: numbers, documents), dealt by document."""
+    rows = _unpacked(batches)
+    if not rows:
+        return
+    tokens, docs = _join_bytes(rows, 0, np.uint64), _join_bytes(rows, 1, np.int64)
+    rows.clear()
+    order = np.argsort(tokens, kind="stable")
+    tokens, docs = tokens[order], docs[order]
+    starts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+    n = np.diff(np.append(starts, len(tokens)))
+    df = np.repeat(n, n)
+    alone, number = np.unique(docs[df == 1], return_counts=True)
+    deal = lambda d: hashing.mix(d.view(np.uint64))
+    yield from _packed(_dealt(1, deal(alone), bins, number, alone))
+    many = df > 1
+    yield from _packed(_dealt(0, deal(docs[many]), bins, tokens[many], docs[many], df[many]))
+
+
+def rarest_tokens(batches, num: int, den: int, bins: int):
+    """Of one bin of documents: their rarest tokens as far as others have them, dealt by token."""
+    rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("kind", "a", "b", "c")), strict=True)]
+    single = [r[1:] for r in rows if r[0] == 1]
+    shared = [r[1:] for r in rows if r[0] == 0]
+    if not shared:
+        return
+    docs, tokens, df = _join_bytes(shared, 1, np.int64), _join_bytes(shared, 0, np.uint64), _join_bytes(shared, 2, np.int64)
+    order = np.lexsort((tokens, df, docs))
+    docs, tokens = docs[order], tokens[order]
+    starts = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
+    n = np.diff(np.append(starts, len(docs)))
+    own = docs[starts]
+    others = np.zeros(len(own), np.int64)
+    if single:
+        who, number = _join_bytes(single, 1, np.int64), _join_bytes(single, 0, np.int64)
+        at = np.minimum(np.searchsorted(own, who), len(own) - 1)
+        np.add.at(others, at[own[at] == who], number[own[at] == who])
+    whole = n + others
+    take = np.maximum(whole - -(-num * whole // den) + 1 - others, 0)
+    keep = np.arange(len(docs)) - np.repeat(starts, n) < np.repeat(take, n)
+    yield from _packed(_dealt(0, hashing.mix(tokens[keep]), bins, tokens[keep], docs[keep]))
+
+
+def token_links(batches):
+    """Of one bin of rare tokens: (document, least document with the token)."""
+    rows = _unpacked(batches)
+    if not rows:
+        return
+    tokens, docs = _join_bytes(rows, 0, np.uint64), _join_bytes(rows, 1, np.int64)
+    order = np.argsort(tokens, kind="stable")
+    ranked = tokens[order]
+    doc, least = _leaders(order, np.append(True, ranked[1:] != ranked[:-1]), docs)
+    a, b = np.unique(np.column_stack([doc, least]), axis=0).T
+    for i in range(0, len(a), 200_000):
+        yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 200_000], pa.int64()), pa.array(b[i : i + 200_000], pa.int64())], ["a", "b"])
+
+
 class Matrix:
     """Token-group matrix over sets: groups of similar sets with the unions of their tokens."""
 
@@ -287,14 +373,56 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, text: str = "
         links = lookup(links, first, end, F.col(other)).withColumn(end, F.coalesce("y", end)).drop("y")
     clusters = components(links)
 
-    sizes = found.filter("kind = 2").select(F.col("x").alias("node"), "n").groupBy("node").agg(F.max("n").alias("n"))
-    weighed = durable(lookup(clusters, durable(sizes, "sizes"), "node", F.col("node"), 1), "weighed")
-    large = weighed.groupBy("root").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"))
-    block = F.least(F.greatest(F.col("docs") / 20, F.lit(BLOCK_DOCS)), F.lit(MOST_BLOCK_DOCS))
-    blocks = F.greatest(F.ceil(F.col("docs") / block), F.ceil(F.col("tokens") / BLOCK_TOKENS))
-    large = durable(large.filter((F.col("docs") > CLUSTER_DOCS) | (F.col("tokens") > BLOCK_TOKENS)).select("root", blocks.cast("int").alias("blocks")), "large")
-    members = durable(lookup(weighed, large, "root", F.col("node")).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"), F.coalesce("blocks", F.lit(1)).alias("blocks")), "members")
-    texts = source.join(F.broadcast(members) if broadcastable(members) else members, "doc_id")
+    every = found.filter("kind = 2").select(F.col("x").alias("node"), "n")
+    sizes = durable(every.groupBy("node").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")), "sizes")
+
+    def weigh(clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members with their sizes, and the large clusters with their numbers of blocks."""
+        weighed = durable(lookup(clusters, sizes, "node", F.col("node"), 1), "weighed")
+        whole = weighed.groupBy("root").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"), F.max("rows").alias("rows"))
+        block = F.least(F.greatest(F.col("docs") / 20, F.lit(BLOCK_DOCS)), F.lit(MOST_BLOCK_DOCS))
+        blocks = F.greatest(F.ceil(F.col("docs") / block), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
+        large = whole.filter((F.col("docs") > CLUSTER_DOCS) | (F.col("tokens") > BLOCK_TOKENS))
+        return weighed, durable(large.select("root", blocks.alias("blocks"), "rows"), "large")
+
+    def of(members: DataFrame) -> DataFrame:
+        return source.join(F.broadcast(members) if broadcastable(members) else members, "doc_id")
+
+    def rarely(batches):
+        from attestia.llm import ngramjoin
+        from attestia.llm.common import small_batches
+
+        for batch in small_batches(batches):
+            yield from ngramjoin.spread_tokens(batch, n, bins)
+
+    def counted(batches):
+        from attestia.llm import ngramjoin
+
+        yield from ngramjoin.count_tokens(batches, bins)
+
+    def rarest(batches):
+        from attestia.llm import ngramjoin
+
+        yield from ngramjoin.rarest_tokens(batches, num, den, bins)
+
+    def shared(batches):
+        from attestia.llm import ngramjoin
+
+        yield from ngramjoin.token_links(batches)
+
+    weighed, large = weigh(clusters)
+    again = large.filter("rows = 1").select("root", F.lit(True).alias("again"))  # one text for each node
+    if again.limit(1).count():
+        marked = durable(lookup(clusters, durable(again, "again"), "root", F.col("node")), "marked")
+        crowd = durable(marked.filter("again").select(F.col("node").alias("doc_id")), "crowd")
+        packed = "bin int, kind int, a binary, b binary, c binary"
+        tokens = of(crowd).select("doc_id", "text").mapInArrow(rarely, packed).repartitionById(bins, "bin").mapInArrow(counted, packed)
+        rare = tokens.repartitionById(bins, "bin").mapInArrow(rarest, packed).repartitionById(bins, "bin").mapInArrow(shared, "a long, b long")
+        clusters = durable(marked.filter("again is null").select("node", "root").union(components(rare)), "clusters")
+        weighed, large = weigh(clusters)
+    blocks = large.select("root", "blocks")
+    members = durable(lookup(weighed, blocks, "root", F.col("node")).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"), F.coalesce("blocks", F.lit(1)).alias("blocks")), "members")
+    texts = of(members)
     one = texts.filter("blocks = 1").select("cluster", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(2).alias("side"), "doc_id", "text", F.lit(True).alias("settled"))
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     many = (

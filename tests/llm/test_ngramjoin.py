@@ -75,6 +75,23 @@ def test_large_cluster_goes_through_blocks(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_large_clusters_are_grouped_again_by_rare_shingles(spark, monkeypatch):
+    """Documents around one passage chain together, but few are similar."""
+    for name, value in (("CLUSTER_DOCS", 5), ("BLOCK_DOCS", 4)):
+        monkeypatch.setattr(ngramjoin, name, value)
+    r = random.Random(7)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(120):
+        w = [f"u{r.random()}" for _ in range(r.choice([2, 6, 12]))] + passage
+        rows.append((3 * i, " ".join(w)))
+        if i % 4 == 0:
+            rows.append((3 * i + 1, " ".join(w[:-1])))
+            rows.append((3 * i + 2, " ".join(w[1:])))
+    check(spark, rows, 5, 8, 10)
+    check(spark, varied(11, 250), 5, 8, 10)
+
+
 def test_nulls_ties_and_empty_tables(spark):
     rows = [(5, None), (3, ""), (4, " \n"), (9, "a b c d"), (2, "A b C d"), (7, "a"), (1, "a"), (8, "a b"), (None, "a b c d"), (11, "x " * 20000), (12, "x " * 30000)]
     check(spark, rows)
