@@ -379,7 +379,9 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
         yield from suffixdedup.bin_rows(batches)
 
     def fetch(batches):
-        for batch in batches:
+        from attestia.llm.common import small_batches
+
+        for batch in small_batches(batches):
             anchors, docs_, ths, bodies, opened = (batch.column(c).to_pylist() for c in ("doc", "doc", "th", "body", "opened"))
             rows = [(o["anchor"], d, t, o["first"], o["last"], o["shards"], b[o["first"] : o["last"] + LENGTH]) for _, d, t, b, os_ in zip(anchors, docs_, ths, bodies, opened, strict=True) for o in os_]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
@@ -400,7 +402,7 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     wanted = durable(
         opened.groupBy("doc", "th").agg(F.collect_list(F.struct("anchor", "first", "last", F.coalesce("shards", F.lit(1)).alias("shards"))).alias("opened")), "opened"
     )
-    keys = wanted.select("doc", "th")
+    keys = durable(wanted.select("doc", "th"), "keys")
     near = source.join(F.broadcast(keys), ["doc", "th"], "leftsemi") if broadcastable(keys) else source
     found = near.dropDuplicates(["doc", "th"]).join(wanted, ["doc", "th"]).select("doc", "th", "body", "opened").mapInArrow(
         fetch, "anchor long, doc long, th long, first long, last long, shards int, body binary"
@@ -430,12 +432,13 @@ def dedup(docs: DataFrame, text: str = "text", digest: bool = False) -> DataFram
     """doc_id, n_bytes, n_removed, n_spans of every row and what is kept: bytes, or their kept_sha256 if `digest`."""
     found = repeats(docs, text)
     source = _keyed(docs, text)
-    keys = found.select("doc", "th")
+    keys = durable(found.select("doc", "th"), "keys")
 
     def cut(batches):
         from attestia.llm import suffixdedup as s
+        from attestia.llm.common import small_batches
 
-        for batch in batches:
+        for batch in small_batches(batches):
             doc, body = batch.column("doc"), batch.column("body").to_pylist()
             lists = batch.column("windows")
             offsets, flat = lists.offsets.to_numpy(), lists.flatten()
