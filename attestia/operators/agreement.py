@@ -1,7 +1,7 @@
 """Inter-annotator agreement over decision units: raw agreement, Cohen's kappa, policies, novelty, differences.
 
 A pair table has one row for each unit that two raters decided: `dimension`, `a` and `b` (nulls are the value
-`null`). Everything is grouped aggregation: the contingency table is small, so kappa needs one shuffle of counts.
+`null`). Everything is grouped aggregation: one scan counts the contingency table, which is small, and the rest are its sums.
 """
 
 from __future__ import annotations
@@ -33,16 +33,21 @@ def align(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def agreement(paired: DataFrame, dimension: str = "dimension") -> DataFrame:
     """n, disagreements, raw and kappa (null where chance agreement is complete) for each dimension."""
+    n, apart = F.col("n"), ~F.col("a").eqNullSafe(F.col("b"))
     cells = paired.groupBy(dimension, "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    totals = cells.groupBy(dimension).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") != F.col("b"), F.col("n")).otherwise(0)).alias("disagreements"))
-    left = cells.groupBy(dimension, F.col("a").alias("label")).agg(F.sum("n").alias("l"))
-    right = cells.groupBy(dimension, F.col("b").alias("label")).agg(F.sum("n").alias("r"))
-    chance = left.join(right, [dimension, "label"]).groupBy(dimension).agg(F.sum(F.col("l") * F.col("r")).alias("chance"))
-    n = F.col("n").cast("double")
-    po, pe = 1 - F.col("disagreements") / n, F.coalesce("chance", F.lit(0)) / (n * n)
-    return totals.join(chance, dimension, "left").select(
-        dimension, "n", "disagreements", po.alias("raw"), F.when(pe != 1, (po - pe) / (1 - pe)).alias("kappa")
+    # Each cell counts once for either rater's label, so that one pass gives both marginals.
+    nothing = F.lit(0).cast("long")
+    sides = F.array(
+        F.struct(F.col("a").alias("label"), n.alias("l"), nothing.alias("r"), F.when(apart, n).otherwise(nothing).alias("d")),
+        F.struct(F.col("b").alias("label"), nothing.alias("l"), n.alias("r"), nothing.alias("d")),
+    )
+    labels = cells.select(dimension, F.inline(sides)).groupBy(dimension, "label").agg(*[F.sum(c).alias(c) for c in "lrd"])
+    totals = labels.groupBy(dimension).agg(
+        F.sum("l").alias("n"), F.sum("d").alias("disagreements"), F.sum(F.col("l").cast("double") * F.col("r")).alias("chance")
     )
+    n = F.col("n").cast("double")
+    po, pe = 1 - F.col("disagreements") / n, F.col("chance") / (n * n)
+    return totals.select(dimension, "n", "disagreements", po.alias("raw"), F.when(pe != 1, (po - pe) / (1 - pe)).alias("kappa"))
 
 
 def macro(scores: DataFrame) -> DataFrame:
