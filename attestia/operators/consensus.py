@@ -34,25 +34,42 @@ def chain(events: DataFrame, key: str, state: str, *order: str) -> DataFrame:
     return events.withColumn("version", F.row_number().over(w)).withColumn("before", F.lag(state).over(w))
 
 
-def apply_guarded(events: DataFrame, key: str, state: str, start: str, transitions=TRANSITIONS, *order: str) -> DataFrame:
+def apply_guarded(events: DataFrame, key: str, state: str, start: str, transitions=TRANSITIONS, *order: str, chunk: Column | None = None) -> DataFrame:
     """Fold the events of each key: a transition that is not legal from the state reached so far is ignored.
 
-    Returns key, state, version (transitions applied) and rejected. The fold runs inside one aggregate over the
-    key's ordered events, since each step depends on the one before.
+    Returns key, state, version (transitions applied) and rejected. Events are folded in chunks, each for every state
+    that it may begin in; the chunks of a key are then chained, which is a look-up for each. `chunk` must ascend with
+    the order (a day, an hour); with it, a key of any number of events is shared among tasks.
     """
+    states = sorted({start, *transitions, *[s for t in transitions.values() for s in t]})
     allowed = F.create_map(*[x for k, v in transitions.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]) if v else F.array().cast("array<string>"))])
-    ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(state).alias("_to"))))
-    begin = F.struct(F.lit(start).alias("state"), F.lit(0).alias("version"), F.lit(0).alias("rejected"))
+    zero = F.lit(0).cast("long")
 
     def step(acc, e):
         ok = F.coalesce(F.array_contains(F.element_at(allowed, acc["state"]), e["_to"]), F.lit(False))
         return F.struct(
             F.when(ok, e["_to"]).otherwise(acc["state"]).alias("state"),
-            (acc["version"] + ok.cast("int")).alias("version"),
-            (acc["rejected"] + (~ok).cast("int")).alias("rejected"),
+            (acc["version"] + ok.cast("long")).alias("version"),
+            (acc["rejected"] + (~ok).cast("long")).alias("rejected"),
         )
 
-    return events.groupBy(key).agg(F.aggregate(ordered, begin, step).alias("r")).select(key, "r.*")
+    rows = events.select(key, (F.lit(0) if chunk is None else chunk).alias("_chunk"), F.struct(*order, F.col(state).alias("_to")).alias("_event"))
+    ordered = F.array_sort(F.collect_list("_event"))
+    begin = lambda s: F.struct(s.alias("state"), zero.alias("version"), zero.alias("rejected"))
+    chunks = rows.groupBy(key, "_chunk").agg(ordered.alias("_events"))
+    outcomes = F.map_from_arrays(F.array(*[F.lit(s) for s in states]), F.array(*[F.aggregate("_events", begin(F.lit(s)), step) for s in states]))
+    parts = chunks.select(key, "_chunk", outcomes.alias("_from"))
+    chained = F.array_sort(F.collect_list(F.struct("_chunk", F.map_entries("_from").alias("_from"))))
+
+    def follow(acc, c):
+        out = F.element_at(F.map_from_entries(c["_from"]), acc["state"])
+        return F.struct(
+            out["state"].alias("state"), (acc["version"] + out["version"]).alias("version"), (acc["rejected"] + out["rejected"]).alias("rejected")
+        )
+
+    return parts.groupBy(key).agg(F.aggregate(chained, begin(F.lit(start)), follow).alias("r")).select(
+        key, "r.state", F.col("r.version").cast("int").alias("version"), F.col("r.rejected").cast("int").alias("rejected")
+    )
 
 
 def verify_chain(events: DataFrame, key: str, hash_column: str, prior: str, *order: str) -> DataFrame:

@@ -97,7 +97,7 @@ select user_id, arg_max(state, i) as state, arg_max(version, i) as version, arg_
 def guarded_fold(spark, sf_dir):
     """The state each key reaches when illegal transitions are ignored."""
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
-    return C.apply_guarded(rows, "user_id", "event_type", "signup", STEPS, "ts", "event_id")
+    return C.apply_guarded(rows, "user_id", "event_type", "signup", STEPS, "ts", "event_id", chunk=F.to_date("ts"))
 
 
 @query("select l_orderkey from lineitem where l_returnflag in ('A', 'R') group by l_orderkey having count(distinct l_returnflag) = 2")
