@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import os
 import struct
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestia.llm.bpe import GENERAL_PATTERN, Splitter
-from attestia.llm.common import durable, lookup, ready, shuffle_width
+from attestia.llm.common import durable, lookup, ready, resident, shuffle_width, small_batches
 
 SHARD_IDS = 4_000_000
 MEMO_WORDS = 1_000_000
@@ -190,7 +189,10 @@ class WordIds(dict):
         self.library = Tokenizer.from_str(definition)
         self.library.encode_special_tokens = True
         self.split = Splitter(pattern)
-        self.code = "H" if self.library.get_vocab_size() < 1 << 16 else "I"
+        vocabulary = self.library.get_vocab()
+        self.piece_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for piece, i in vocabulary.items():
+            self.piece_bytes[i] = len(piece)  # a byte-level piece has a character for each byte
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() < 1 << 16 else "<u4")
         self.depth = max(1, (self.library.get_vocab_size() - 1).bit_length())
 
@@ -201,9 +203,15 @@ class WordIds(dict):
         found = [list(map(get, self.split(t))) if t else [] for t in texts]
         fresh = list(self.pending)
         for k in range(0, len(fresh), 10_000):
-            part = fresh[k : k + 10_000]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.pending[w] += array(self.code, e.ids).tobytes()
+            groups = [fresh[i : i + 500] for i in range(k, min(k + 10_000, len(fresh)), 500)]
+            for words, e in zip(groups, self.library.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, self.kind)
+                # A word ends where its pieces have as many bytes as all words so far.
+                ends = np.searchsorted(np.cumsum(self.piece_bytes[ids]), np.cumsum([len(w.encode()) for w in words])) + 1
+                raw, start = ids.tobytes(), 0
+                for w, end in zip(words, (ends * self.kind.itemsize).tolist(), strict=True):
+                    self.pending[w] += raw[start:end]
+                    start = end
         self.pending.clear()
         return [b"".join(f) for f in found]
 
@@ -213,21 +221,9 @@ class WordIds(dict):
         return place
 
 
-_workers: dict = {}
-
-
-def _word_ids(shared) -> WordIds:
-    if _workers.get("of") is not shared.value:
-        known = _workers.get("words")
-        if known is None or _workers.get("key") != shared.value:
-            known = WordIds(*shared.value[:2])
-        _workers.update(of=shared.value, key=shared.value, words=known)
-    return _workers["words"]
-
-
 def shard_partition(batches, shared, end: int, shard_ids: int, partition: int):
     """Shard rows of one sorted partition."""
-    coder = _word_ids(shared)
+    coder = resident(shared.value, lambda: WordIds(*shared.value))
     stop = np.array([end], coder.kind).tobytes()
     doc_ids, coded, held, part = [], [], 0, 0
 
@@ -240,16 +236,14 @@ def shard_partition(batches, shared, end: int, shard_ids: int, partition: int):
             ["shard", "n_docs", "n_ids", "file"],
         )
 
-    for batch in batches:
-        for k in range(0, batch.num_rows, 500):
-            rows = batch.slice(k, 500)
-            for i, c in zip(rows.column(0).to_pylist(), coder.encode(rows.column(1).to_pylist()), strict=True):
-                doc_ids.append(i)
-                coded.append(c + stop)
-                held += len(coded[-1]) // coder.kind.itemsize
-                if held >= shard_ids:
-                    yield close()
-                    doc_ids, coded, held, part = [], [], 0, part + 1
+    for rows in small_batches(batches, 2 << 20):
+        for i, c in zip(rows.column(0).to_pylist(), coder.encode(rows.column(1).to_pylist()), strict=True):
+            doc_ids.append(i)
+            coded.append(c + stop)
+            held += len(coded[-1]) // coder.kind.itemsize
+            if held >= shard_ids:
+                yield close()
+                doc_ids, coded, held, part = [], [], 0, part + 1
     if doc_ids:
         yield close()
 
