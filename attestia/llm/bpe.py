@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from attestia.llm.common import ready, resident, small_batches
 
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 #: The word pattern for texts of ASCII characters, or of those and Latin letters of two blocks, where the standard
 #: library's engine is faster; all their white space is ASCII.
 ASCII_PATTERN = r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,8 @@ BROADCAST_ROWS, BROADCAST_BYTES = 250_000, 8 << 20
 #: Bytes of input that one shuffle bin may stand for.
 BIN_BYTES = 64 << 20
 SALTS = 16
+#: Most bytes in an Arrow batch, so that a batch of very long texts does not fill an executor.
+ARROW_BYTES = 8 << 20
 
 _scratch: list[tuple[SparkSession, str, str]] = []
 _scope = [""]
@@ -79,12 +83,27 @@ def resident(key, make):
 
 
 def release() -> None:
-    """Free what an earlier operator keeps in this Python worker."""
+    """Free what an earlier operator keeps in this Python worker, and give its memory back to the system."""
     _resident.clear()
+    gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system; Python workers live as long as their executor."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def ready(spark: SparkSession) -> None:
+    """Before an operator with Python stages: the package is importable there, Arrow batches are bounded."""
     ship(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
 
 
 def shuffle_width(spark: SparkSession, df: DataFrame | None = None, bin_bytes: int = BIN_BYTES) -> int:

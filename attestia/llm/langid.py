@@ -29,7 +29,7 @@ ORDERS, BUCKETS = 3, 1 << 15
 SWITCH, FLOOR, SMOOTH = 8.0, -12.0, 0.5
 #: Share of a language's training letters below which a script does not make it a candidate.
 SCRIPT_SHARE = 0.01
-MEMO_WORDS = 150_000
+MEMO_WORDS = 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 # First code points of script blocks, each with the script that reaches to the next entry.
 SCRIPTS = [
@@ -213,7 +213,7 @@ def label_batch(batch: pa.RecordBatch, shared, spans: bool):
     """Predictions for slices of a batch whose last column is the text."""
     scorer = resident(shared.value, lambda: Scorer(shared.value))
     langs = np.array(scorer.model["langs"], object)
-    for part in small_batches([batch]):
+    for part in small_batches([batch], 3 << 20):
         texts = part.column(part.num_columns - 1).to_pylist()
         n = len(texts)
         if len(langs):

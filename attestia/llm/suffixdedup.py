@@ -36,7 +36,7 @@ from attestia.llm.common import broadcastable, durable, ready, shuffle_width
 LENGTH, GRAM = 100, 48
 SEGMENT, SLICE = 1 << 20, 1 << 20
 #: Contexts of one anchor beyond which they are dealt over shards; at most about SHARDS of them, of MOST contexts.
-HOT, SHARDS, MOST = 1_000, 24, 100_000
+HOT, SHARDS, MOST = 400, 24, 100_000
 FIRST = -(1 << 63)
 SYMBOLS = 7  # of 9 bits in the first rank
 

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from attestia.llm.common import durable, ready
 
 CELLS = 32
-BLOCK_ROWS, LEAST_BLOCKS = 32_768, 48
+#: Vector components in a block of candidates, and the fewest blocks.
+BLOCK_VALUES, LEAST_BLOCKS = 2 << 20, 48
 #: Queries compared at once, and exact vectors read for each query in a step.
 QUERY_ROWS, STEP = 256, 64
 LIMIT = 1 << 53
@@ -62,9 +63,10 @@ class Block:
         """Upper bounds of the scores, widened by what float arithmetic may lose."""
         out = np.empty((len(queries), len(self.ids)))
         up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-        for k in range(0, len(self.ids), 8192):
-            cell = self.cell[k : k + 8192]
-            out[:, k : k + 8192] = up @ self.most[cell, self.dims].T + down @ self.least[cell, self.dims].T
+        rows = max(256, (1 << 19) // max(1, len(self.dims)))
+        for k in range(0, len(self.ids), rows):
+            cell = self.cell[k : k + rows]
+            out[:, k : k + rows] = up @ self.most[cell, self.dims].T + down @ self.least[cell, self.dims].T
         slack = np.abs(queries).sum(1) * self.reach * 1e-12
         return out + slack[:, None]
 
@@ -162,13 +164,13 @@ def _answers(block: Block, ids: np.ndarray, queries: np.ndarray, k: int):
 def search(vectors: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", scale: float = 1024.0) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k highest scores of every row for which `queries` holds.
 
-    Every block holds about BLOCK_ROWS candidates and sees all queries; a partition is one block.
+    Every block holds about BLOCK_VALUES vector components and sees all queries; a partition is one block.
     """
     spark = vectors.sparkSession
     ready(spark)
     points = durable(clean(vectors, vec_id, vector, scale, queries), "vectors")
-    n = points.count()
-    blocks = max(LEAST_BLOCKS, -(-n // BLOCK_ROWS))
+    values = points.agg(F.sum(F.size("_v"))).first()[0] or 0
+    blocks = max(LEAST_BLOCKS, -(-values // BLOCK_VALUES))
     candidates = points.select(F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int").alias("_b"), F.lit(False).alias("_q"), "_id", "_v")
     asking = points.filter("_ask").select(
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"), F.lit(True).alias("_q"), "_id", "_v"
