@@ -157,7 +157,7 @@ def encode_batch(batch: pa.RecordBatch, shared, digest: bool):
     from hashlib import sha256
 
     split, memo, pieces = worker(shared)
-    for part in small_batches([batch], 2 << 20):
+    for part in small_batches([batch], 512 << 10):
         if len(memo) > MEMO_WORDS:
             memo.clear()
         coded = [" ".join(map(memo.__getitem__, split(x))) if x else "" for x in part.column(part.num_columns - 1).to_pylist()]
