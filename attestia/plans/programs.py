@@ -22,11 +22,11 @@ def _json_verbal(agent: str, patient: str) -> str:
 
 
 PROGRAMS = [
-    ("proof", "adg", "\n".join(PROOF), None),
-    ("causal", "adg", "\n".join(CAUSAL), None),
-    ("technical", "adg", "\n".join(TECHNICAL), None),
+    ("proof", "surface", "\n".join(PROOF), None),
+    ("causal", "surface", "\n".join(CAUSAL), None),
+    ("technical", "surface", "\n".join(TECHNICAL), None),
     ("json-verbal", "json", _json_verbal("Raf", "Nasb"), None),
-    ("functions", "adg", "\n".join(FUNCTIONS), None),
+    ("functions", "surface", "\n".join(FUNCTIONS), None),
     ("agent-case", "json", _json_verbal("Nasb", "Nasb"), "ADG1001"),
     ("patient-case", "json", _json_verbal("Raf", "Raf"), "ADG1002"),
     ("jarr-case", "json", f'{{"kind": "governance", "operator": "في", "operand": {ISM.format("بيتُ", "Raf")}}}', "ADG1003"),
@@ -34,18 +34,18 @@ PROGRAMS = [
     ("explanation", "json", f'{{"kind": "explanation", "explained": {ISM.format("زيدٌ", "Raf")}, "explanation": {ISM.format("زيدًا", "Nasb")}}}', "ADG1005"),
     ("no-question", "json", '{"kind": "question", "operator": "هل"}', "ADG1006"),
     ("no-target", "json", '{"kind": "negation", "operator": "لا"}', "ADG1007"),
-    ("misspelt", "adg", "\n".join([HEADER, WRITE.replace("مرفوعٌ", "مرفوع")]), "K001"),
-    ("unknown-keyword", "adg", HEADER + '\nمبتدأٌ "زيدٌ" مرفوعٌ', "K002"),
-    ("mixed", "adg", HEADER + "\nجملةٌ ism", "K003"),
-    ("no-header", "adg", WRITE, "K004"),
-    ("left-to-right", "adg", "اتجاهُ النصِّ: LTR\n" + WRITE, "K005"),
-    ("bad-type", "adg", "\n".join([HEADER, DEFINE.replace("عددٌ", "شيءٌ")]), "F001"),
-    ("no-parameter", "adg", "\n".join([HEADER, 'دالةٌ "د" مُعامِلاتُها "الفاعلُ" مرفوعٌ', 'متنٌ "يدفعُ {المبلغُ}."', 'استدعاءٌ "د" "زيدٌ"']), "F002"),
-    ("text-condition", "adg", "\n".join([HEADER, 'دالةٌ "د" مُعامِلاتُها "الفاعلُ" مرفوعٌ', PAYS, 'شرطٌ "الفاعلُ" أكبرُ ٠ جزاؤُهُ "خطأٌ."', 'استدعاءٌ "د" "زيدٌ"']), "F003"),
-    ("no-body", "adg", "\n".join([HEADER, DEFINE, 'استدعاءٌ "د" "زيدٌ" ١']), "F004"),
-    ("no-function", "adg", "\n".join([*FUNCTIONS, 'استدعاءٌ "ك"']), "F005"),
-    ("arity", "adg", "\n".join([HEADER, DEFINE, PAYS, 'استدعاءٌ "د" "زيدٌ"']), "F006"),
-    ("argument-kind", "adg", "\n".join([HEADER, DEFINE, PAYS, 'استدعاءٌ "د" ١ ١']), "F007"),
-    ("twice", "adg", "\n".join([*FUNCTIONS, DEFINE, PAYS]), "F008"),
-    ("no-call", "adg", "\n".join([HEADER, DEFINE, PAYS]), "F009"),
+    ("misspelt", "surface", "\n".join([HEADER, WRITE.replace("مرفوعٌ", "مرفوع")]), "K001"),
+    ("unknown-keyword", "surface", HEADER + '\nمبتدأٌ "زيدٌ" مرفوعٌ', "K002"),
+    ("mixed", "surface", HEADER + "\nجملةٌ ism", "K003"),
+    ("no-header", "surface", WRITE, "K004"),
+    ("left-to-right", "surface", "اتجاهُ النصِّ: LTR\n" + WRITE, "K005"),
+    ("bad-type", "surface", "\n".join([HEADER, DEFINE.replace("عددٌ", "شيءٌ")]), "F001"),
+    ("no-parameter", "surface", "\n".join([HEADER, 'دالةٌ "د" مُعامِلاتُها "الفاعلُ" مرفوعٌ', 'متنٌ "يدفعُ {المبلغُ}."', 'استدعاءٌ "د" "زيدٌ"']), "F002"),
+    ("text-condition", "surface", "\n".join([HEADER, 'دالةٌ "د" مُعامِلاتُها "الفاعلُ" مرفوعٌ', PAYS, 'شرطٌ "الفاعلُ" أكبرُ ٠ جزاؤُهُ "خطأٌ."', 'استدعاءٌ "د" "زيدٌ"']), "F003"),
+    ("no-body", "surface", "\n".join([HEADER, DEFINE, 'استدعاءٌ "د" "زيدٌ" ١']), "F004"),
+    ("no-function", "surface", "\n".join([*FUNCTIONS, 'استدعاءٌ "ك"']), "F005"),
+    ("arity", "surface", "\n".join([HEADER, DEFINE, PAYS, 'استدعاءٌ "د" "زيدٌ"']), "F006"),
+    ("argument-kind", "surface", "\n".join([HEADER, DEFINE, PAYS, 'استدعاءٌ "د" ١ ١']), "F007"),
+    ("twice", "surface", "\n".join([*FUNCTIONS, DEFINE, PAYS]), "F008"),
+    ("no-call", "surface", "\n".join([HEADER, DEFINE, PAYS]), "F009"),
 ]

@@ -104,9 +104,9 @@ def test_adjudication_and_ratification_roots(spark):
 
 
 def test_program_sources(spark, tmp_path):
-    (tmp_path / "x.adg").write_text("اتجاهُ النصِّ: RTL\n# note\n\n clause fil \"كتبَ\" # end\n")
+    (tmp_path / "x.src").write_text("اتجاهُ النصِّ: RTL\n# note\n\n clause fil \"كتبَ\" # end\n")
     lines = [tuple(r) for r in S.program_lines(spark, str(tmp_path)).collect()]
-    assert lines == [("x.adg", 1, "اتجاهُ النصِّ: RTL"), ("x.adg", 4, 'clause fil "كتبَ"')]
+    assert lines == [("x.src", 1, "اتجاهُ النصِّ: RTL"), ("x.src", 4, 'clause fil "كتبَ"')]
 
 
 def test_sql_dump(spark):
