@@ -56,6 +56,7 @@ def components(edges: DataFrame) -> DataFrame:
         "edges",
     )
     levels: list[DataFrame] = []
+    hashed = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
 
     def finish(batches):
         from attestia.llm import components as c
@@ -70,9 +71,8 @@ def components(edges: DataFrame) -> DataFrame:
             levels.append(durable(pairs.select("a", "b").coalesce(1).mapInArrow(finish, "node long, up long"), "settled"))
             break
         ways = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("node", "to")
-        own = F.struct(F.xxhash64("node"), F.col("node").alias("id"))
-        hooks = ways.groupBy("node").agg(F.min(F.struct(F.xxhash64("to").alias("h"), F.col("to").alias("id"))).alias("m"))
-        level = durable(hooks.select("node", F.least("m", F.struct(own["col1"].alias("h"), own["id"].alias("id")))["id"].alias("up")), "hooks")
+        hooks = ways.groupBy("node").agg(F.min(hashed("to")).alias("least"))
+        level = durable(hooks.select("node", F.least("least", hashed("node"))["id"].alias("up")), "hooks")
         levels.append(level)
         for end in ("a", "b"):
             other = "b" if end == "a" else "a"

@@ -114,15 +114,15 @@ SKETCH = "bin int, kind int, anchor binary, told binary, doc binary, th binary,
 
 def sketch_batch(batch: pa.RecordBatch, bins: int):
     """Packed contexts (kind 0) by bin of their anchor, and repeats within a slice (kind 1), of (doc, th, bytes)."""
-    docs, ths, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+    docs, ths, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).cast(pa.binary())
+    _, offsets, values = texts.buffers()
+    base = np.frombuffer(offsets, np.int32, len(texts) + 1, texts.offset * 4)
+    whole = np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)
     segments: list[tuple[int, int, int]] = []
-    lengths = np.diff(np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)).tolist()
-    for row, size in enumerate(lengths):
+    for row, size in enumerate(np.diff(base).tolist()):
         for k in range(0, max(1, size), SEGMENT):
             if size - k >= LENGTH:
                 segments.append((row, k, min(size, k + SEGMENT + LENGTH - 1)))
-    base = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)
-    whole = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     for a, b in hashing.slices(segments, lambda s: s[2] - s[1], SLICE):
         part = segments[a:b]
         data = np.concatenate([whole[base[r] + s : base[r] + e] for r, s, e in part])
