@@ -9,6 +9,7 @@ from attestia.functions import text as T
 from attestia.operators import consensus as C
 from attestia.operators import queues as Q
 from attestia.operators import relational as R
+from attestia.plans import catalogue
 from attestia.sources import manifests
 from attestia.streaming import machine
 
@@ -121,3 +122,10 @@ def test_json_keys_and_times(spark):
 def test_reasons_in_order(spark):
     rules = {"a": F.lit(None).cast("boolean"), "b": F.lit(True), "c": F.lit(True)}
     assert one(spark, C.first_reason(rules), C.first_reason({"a": F.lit(False)}), C.first_reason({})) == ("b", "eligible", "eligible")
+
+
+def test_diacritics_go_from_whole_texts(spark, tmp_path):
+    long = "be " * 400 + "end"
+    spark.createDataFrame([(1, long), (2, "e"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.plain for r in catalogue.QUERIES["strip_diacritics_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: long, 2: "e", 3: None}
