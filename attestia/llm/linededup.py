@@ -7,7 +7,14 @@ deleted from the later document. Documents are ordered by doc_id, then by a hash
 on the input, not on what other deletions leave.
 
 Rarity is relative: patience diff anchors on lines that are unique in both documents, and no line is too frequent
-to link, so nothing has to be left out.
+to link.
+
+An alignment with first holders alone misses blocks that only another earlier document has, or has in another
+order. With `every` (as in op3_lines and the pipeline) a line goes if it lies in any run of neighbouring lines, of
+BLOCK_WORDS words or more, that some earlier document also has as neighbouring lines. Runs are compared by the hashes
+of their least windows: from each line on, and up to each line, the fewest lines that reach BLOCK_WORDS words. The
+windows of a common run cover it, and a window has an earlier holder just if its first holder is earlier, so no
+pairs are made. Every block that an alignment with an earlier document finds is such a run; lines of any length link.
 
 Defined results: documents without text or doc_id are kept as they are; rows that repeat both are the same
 document and get the same deletions; rows that share only a doc_id are documents of their own; empty lines count
@@ -25,6 +32,8 @@ from pyspark.sql import functions as F
 from attestia.llm.common import WORD, durable, lookup, ready
 
 LINE_WORDS, BLOCK_WORDS = 3, 10
+#: Odd, so that it has an inverse modulo 2 ** 64.
+BASE = 0x94D049BB133111EB
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -175,9 +184,76 @@ def removals(docs: DataFrame, line_words: int = LINE_WORDS, block_words: int = B
     )
 
 
-def dedup(docs: DataFrame, line_words: int = LINE_WORDS, block_words: int = BLOCK_WORDS, count: bool = False) -> DataFrame:
+def windows(h: np.ndarray, w: np.ndarray, block_words: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First line, end and hash of the least runs of lines with enough words, from each line on and up to each line."""
+    n = len(h)
+    sums = np.concatenate([[0], np.cumsum(w, dtype=np.int64)])
+    end = np.searchsorted(sums, sums[:-1] + block_words, "left")
+    start = np.searchsorted(sums, sums[1:] - block_words, "right") - 1
+    places = np.arange(n)
+    at = np.unique(np.concatenate([(places * (n + 1) + end)[end <= n], (start * (n + 1) + places + 1)[start >= 0]]))
+    first, last = at // (n + 1), at % (n + 1)
+    power = np.full(n + 1, np.uint64(BASE))
+    power[0] = 1
+    power = np.cumprod(power, dtype=np.uint64)
+    inverse = np.full(n + 1, np.uint64(pow(BASE, -1, 1 << 64)))
+    inverse[0] = 1
+    inverse = np.cumprod(inverse, dtype=np.uint64)
+    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h.view(np.uint64) * power[:-1], dtype=np.uint64)])
+    key = (prefix[last] - prefix[first]) * inverse[first] + (last - first).astype(np.uint64)
+    return first, last, key.view(np.int64)
+
+
+def run_removals(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Like `removals`, for the lines in runs that any earlier document has."""
+    ready(docs.sparkSession)
+
+    def cut(batches):
+        from attestia.llm import linededup
+
+        for batch in batches:
+            h, w = batch.column("h"), batch.column("w")
+            hashes, words, ends = h.flatten().to_numpy(), w.flatten().to_numpy(), np.cumsum([0, *h.value_lengths().to_pylist()])
+            found = [linededup.windows(hashes[a:b], words[a:b], block_words) for a, b in zip(ends, ends[1:], strict=False)]
+            offsets = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]), pa.int32())
+            first, last, key = (np.concatenate([f[k] for f in found]) if found else [] for k in range(3))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((first, pa.int32()), (last, pa.int32()), (key, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), h.value_lengths(), *lists], ["doc_id", "th", "n", "s", "e", "k"])
+
+    def united(batches):
+        for batch in batches:
+            keep = []
+            for n, runs in zip(batch.column("n").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+                depth = np.zeros(n + 1, np.int64)
+                for r in runs:
+                    depth[r["s"]] += 1
+                    depth[r["e"]] -= 1
+                keep.append((np.cumsum(depth)[:n] == 0).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(keep, pa.list_(pa.bool_()))], ["doc_id", "th", "keep"])
+
+    cuts = durable(
+        lines_of(docs).mapInArrow(cut, "doc_id long, th long, n int, s array<int>, e array<int>, k array<long>").filter(F.size("k") > 0), "windows"
+    )
+    me = F.struct("doc_id", "th").alias("me")
+    held = cuts.select(me, "n", F.explode(F.arrays_zip("s", "e", "k")).alias("run"))
+    keys = cuts.select(me, F.explode(F.array_distinct("k")).alias("k"))
+    firsts = durable(keys.groupBy("k").agg(F.min("me").alias("first"), F.max("me").alias("last")).filter("first < last").select("k", "first"), "firsts")
+    shared = lookup(held.select("me", "n", F.struct("run.s", "run.e").alias("run"), "run.k"), firsts, "k", F.col("me")).filter("first < me")
+    return durable(
+        shared.groupBy("me")
+        .agg(F.max("n").alias("n"), F.collect_set("run").alias("runs"))  # at most two runs for each of its own lines
+        .select("me.doc_id", "me.th", "n", "runs")
+        .mapInArrow(united, "doc_id long, th long, keep array<boolean>"),
+        "removals",
+    )
+
+
+def dedup(
+    docs: DataFrame, line_words: int = LINE_WORDS, block_words: int = BLOCK_WORDS, count: bool = False, every: bool = False
+) -> DataFrame:
     """The documents with their own columns, `text` without the deleted lines; with n_lines and n_removed if `count`."""
-    marks = removals(docs, line_words, block_words).select(F.struct("doc_id", "th").alias("me"), "keep")
+    found = run_removals(docs, block_words) if every else removals(docs, line_words, block_words)
+    marks = found.select(F.struct("doc_id", "th").alias("me"), "keep")
     me = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
     lines = F.split(F.col("row")["text"].cast("string"), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: F.get(F.col("keep"), i)), "\n")

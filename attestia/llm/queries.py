@@ -73,7 +73,7 @@ from spent group by doc_id, size, source_size, target
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     left = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    return linededup.dedup(docs, count=True).select(
+    return linededup.dedup(docs, count=True, every=True).select(
         "doc_id", "n_lines", "n_removed", F.octet_length(left).cast("long").alias("kept_bytes"), F.sha2(left, 256).alias("kept_sha256")
     )
 

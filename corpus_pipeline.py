@@ -36,8 +36,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Aligned blocks of lines that an earlier document has are deleted; n_chars follows the text."""
-    left = linededup.dedup(docs)
+    """Blocks of lines that an earlier document has are deleted; n_chars follows the text."""
+    left = linededup.dedup(docs, every=True)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 

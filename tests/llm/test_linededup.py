@@ -69,3 +69,41 @@ def test_repeats_nulls_and_empty_tables(spark):
     got = sorted((x.doc_id is not None, x.doc_id or 0, x.text or "") for x in L.dedup(docs).collect())
     assert got == [(False, 0, a), (True, 1, a + "\n" + b), (True, 2, ""), (True, 2, ""), (True, 2, "other"), (True, 3, "")]
     assert L.dedup(docs.limit(0)).count() == 0
+
+
+def brute_runs(rows, block_words=L.BLOCK_WORDS):
+    """(doc_id, text) -> text without the lines in any run of enough words that any earlier document has, by comparing all pairs."""
+    docs = sorted((i, t.split("\n")) for i, t in rows if i is not None and t is not None)
+    out = {}
+    for i, lines in docs:
+        mine, count, gone = [x.strip() for x in lines], [len(x.split()) for x in lines], set()
+        for j, other in docs:
+            theirs = [x.strip() for x in other]
+            for a in range(len(mine) if j < i else 0):
+                for b in range(len(theirs)):
+                    k = 0
+                    while a + k < len(mine) and b + k < len(theirs) and mine[a + k] == theirs[b + k]:
+                        k += 1
+                    if sum(count[a : a + k]) >= block_words:
+                        gone |= set(range(a, a + k))
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_every_earlier_holder_counts(spark):
+    r = random.Random(7)
+    pool = [words(r.choice([0, 1, 3, 4, 6, 12]), k) for k in range(30)]
+    rows = [(i, "\n".join(r.choices(pool, k=r.randint(1, 14)))) for i in range(90)]
+    p, q, x = words(6, 101), words(6, 102), words(15, 103)
+    y, z = words(15, 104), words(15, 105)
+    rows += [(200, p + "\n" + words(4, 110)), (201, q + "\n" + words(4, 111)), (202, words(4, 112) + "\n" + p + "\n" + q), (203, p + "\n" + q + "\nown")]
+    rows += [(210, "\n".join([x, y, z])), (211, "\n".join([z, "own", x, "more", y])), (300, ""), (301, None), (302, "\n\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {d.doc_id: d.text for d in L.dedup(docs, every=True).collect()}
+    want = brute_runs(rows)
+    assert {i: t for i, t in got.items() if i in want} == want and got[301] is None
+    assert got[202] == rows[92][1] and got[203] == "own"  # only 202, no first holder of a line, has both
+    assert got[211] == "own\nmore"
+    again = spark.createDataFrame([(1, x + "\n" + y), (2, x), (2, x), (2, y + "\nother"), (None, x)], "doc_id long, text string")
+    assert sorted((d.doc_id or 0, d.text) for d in L.dedup(again, every=True).collect()) == [(0, x), (1, x + "\n" + y), (2, ""), (2, ""), (2, "other")]
+    assert L.dedup(docs.limit(0), every=True).count() == 0
