@@ -37,7 +37,10 @@ BASE = 0x94D049BB133111EB
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
-    """Aligned (place in a, place in b), ascending in both: common ends, then lines unique in both, recursively."""
+    """Aligned (place in a, place in b), ascending in both: common ends, then lines unique in both, recursively.
+
+    A range without such lines anchors on the occurrences of its common lines, the n-th here with the n-th there.
+    """
     found: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -50,7 +53,7 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
             found.append((a1, b1))
         if a0 == a1 or b0 == b1:
             continue
-        anchors = _rising(_unique_pairs(a, a0, a1, b, b0, b1))
+        anchors = _rising(_unique_pairs(a, a0, a1, b, b0, b1) or _numbered_pairs(a, a0, a1, b, b0, b1))
         if not anchors:
             continue
         edges = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
@@ -70,6 +73,13 @@ def _unique_pairs(a, a0, a1, b, b0, b1) -> list[tuple[int, int]]:
     return sorted((once[x], j) for x, j in there.items() if j is not None)
 
 
+def _numbered_pairs(a, a0, a1, b, b0, b1) -> list[tuple[int, int]]:
+    places: dict = {}
+    for j in range(b1 - 1, b0 - 1, -1):
+        places.setdefault(b[j], []).append(j)
+    return [(i, places[a[i]].pop()) for i in range(a0, a1) if places.get(a[i])]
+
+
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest subsequence that ascends in its second place, by patience sorting."""
     from bisect import bisect_left

@@ -107,3 +107,14 @@ def test_every_earlier_holder_counts(spark):
     again = spark.createDataFrame([(1, x + "\n" + y), (2, x), (2, x), (2, y + "\nother"), (None, x)], "doc_id long, text string")
     assert sorted((d.doc_id or 0, d.text) for d in L.dedup(again, every=True).collect()) == [(0, x), (1, x + "\n" + y), (2, ""), (2, ""), (2, "other")]
     assert L.dedup(docs.limit(0), every=True).count() == 0
+
+
+def test_repeated_passages_align(spark):
+    assert L.patience(list("aPbPc"), list("Pk")) == [(1, 0)]
+    assert L.patience(list("xPy"), list("PkP")) == [(1, 0)]
+    assert L.patience(list("aPbPc"), list("kPlPm")) == [(1, 1), (3, 3)]
+    p = words(60, 1)
+    rows = [(1, p + "\nk"), (2, f"a\n{p}\nb\n{p}\nc"), (3, f"{p}\nd\n{p}"), (4, f"e\n{p}\nf")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {d.doc_id: d.text for d in L.dedup(docs, every=True).collect()} == {1: rows[0][1], 2: "a\nb\nc", 3: "d", 4: "e\nf"}
+    assert {d.doc_id: d.text for d in L.dedup(docs).collect()} == {1: rows[0][1], 2: f"a\nb\n{p}\nc", 3: f"d\n{p}", 4: "e\nf"}
