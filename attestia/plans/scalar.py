@@ -116,6 +116,17 @@ def manifest_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return root(table(spark, sf_dir, "documents").filter("lang = 'es'").select(path.alias("path"), F.encode("text", "utf-8").alias("content")))
 
 
+@query("""with files as (select 'd/' || lpad(cast(doc_id as varchar), 9, '0') as path, strlen(text) as bytes, sha256(text) || ' ' || strlen(text) || ' ' || 'd/' || lpad(cast(doc_id as varchar), 9, '0') || chr(10) as line from documents),
+leaves as (select left(sha256(path), 2) as range, count(*) as n, sum(bytes) as bytes, sha256(string_agg(line, '' order by path)) as leaf from files group by left(sha256(path), 2))
+select cast(sum(n) as bigint) as files, cast(sum(bytes) as bigint) as bytes, sha256(string_agg(leaf, chr(10) order by range)) as root from leaves""")
+def manifest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root digest of all documents, in two levels; `manifest_root`, whose SQL keeps one language, is for short lists."""
+    from attestia.sources.manifests import root_tree
+
+    path = F.concat(F.lit("d/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"))
+    return root_tree(table(spark, sf_dir, "documents").select(path.alias("path"), F.encode("text", "utf-8").alias("content")))
+
+
 @query("""select doc_id, source from documents where contains(lower(concat_ws(' ', source, lang, text)), lower('The Thanin')) and lang = 'en'""")
 def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     haystack = F.lower(F.concat_ws(" ", "source", "lang", "text"))

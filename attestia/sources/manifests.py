@@ -13,14 +13,33 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return read.select(F.regexp_replace("path", rf"^.*?\Q{base}\E/", "").alias("path"), "content")
 
 
+def _line():
+    return F.concat(F.sha2("content", 256), F.lit(" "), F.octet_length("content").cast("string"), F.lit(" "), F.col("path"), F.lit("\n"))
+
+
 def root(listed: DataFrame) -> DataFrame:
     """files, bytes and the root digest over `<sha256> <bytes> <path>` lines in ordinal path order.
 
-    Contents are reduced to their lines where they lie; only the lines meet, in the one task that orders them.
+    Contents are reduced to their lines where they lie; only the lines meet, in the one task that orders them:
+    for lists of bounded length. `root_tree` is for lists of any length.
     """
-    line = F.concat(F.sha2("content", 256), F.lit(" "), F.octet_length("content").cast("string"), F.lit(" "), F.col("path"), F.lit("\n"))
-    return listed.select("path", F.octet_length("content").alias("bytes"), line.alias("line")).agg(
+    return listed.select("path", F.octet_length("content").alias("bytes"), _line().alias("line")).agg(
         F.count(F.lit(1)).alias("files"),
         F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
         F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "line"))), lambda x: x["line"]), ""), 256).alias("root"),
     )
+
+
+def root_tree(listed: DataFrame, digits: int = 2) -> DataFrame:
+    """Like `root` for lists of any length: a digest over the digests of hash ranges of the paths, each in path order."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("path", "line"))), lambda x: x["line"])
+    leaves = (
+        listed.select("path", F.octet_length("content").alias("bytes"), _line().alias("line"))
+        .groupBy(F.substring(F.sha2("path", 256), 1, digits).alias("range"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(ordered, ""), 256).alias("leaf"))
+    )
+    return leaves.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("files"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
+        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "leaf"))), lambda x: x["leaf"]), "\n"), 256).alias("root"),
+    )

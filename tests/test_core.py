@@ -129,3 +129,15 @@ def test_diacritics_go_from_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, long), (2, "e"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.plain for r in catalogue.QUERIES["strip_diacritics_whole"](spark, str(tmp_path)).collect()}
     assert got == {1: long, 2: "e", 3: None}
+
+
+def test_manifest_tree_covers_every_document(spark, tmp_path):
+    rows = [(i, f"text {i}", r) for i, r in enumerate(["en", "es", "fr", None] * 80)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalogue.QUERIES["manifest_tree"](spark, str(tmp_path)).first()
+    leaves = {}
+    for i, t, _ in rows:
+        path = f"d/{i:09}"
+        leaves.setdefault(hashlib.sha256(path.encode()).hexdigest()[:2], []).append(f"{hashlib.sha256(t.encode()).hexdigest()} {len(t)} {path}\n")
+    digests = [hashlib.sha256("".join(x).encode()).hexdigest() for _, x in sorted(leaves.items())]
+    assert tuple(got) == (320, sum(len(t) for _, t, _ in rows), hashlib.sha256("\n".join(digests).encode()).hexdigest())
