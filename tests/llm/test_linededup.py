@@ -118,3 +118,9 @@ def test_repeated_passages_align(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {d.doc_id: d.text for d in L.dedup(docs, every=True).collect()} == {1: rows[0][1], 2: "a\nb\nc", 3: "d", 4: "e\nf"}
     assert {d.doc_id: d.text for d in L.dedup(docs).collect()} == {1: rows[0][1], 2: f"a\nb\n{p}\nc", 3: f"d\n{p}", 4: "e\nf"}
+
+
+def test_runs_of_short_lines_link(spark):
+    verse = "\n".join(words(1, 500 + k) for k in range(12))
+    docs = spark.createDataFrame([(1, verse), (2, "own\n" + verse)], "doc_id long, text string")
+    assert {d.doc_id: d.text for d in L.dedup(docs, every=True).collect()} == {1: verse, 2: "own"}
