@@ -19,8 +19,11 @@ BROADCAST_ROWS, BROADCAST_BYTES = 250_000, 8 << 20
 #: Bytes of input that one shuffle bin may stand for.
 BIN_BYTES = 64 << 20
 SALTS = 16
-#: Most bytes in an Arrow batch, so that a batch of very long texts does not fill an executor.
-ARROW_BYTES = 8 << 20
+#: Catalyst multiplies sizes that it cannot estimate; from here on an estimate says nothing.
+UNKNOWN = 1 << 60
+#: Bounds of what one task holds at once, for tables of very long texts: bytes of an Arrow batch, rows of a Parquet
+#: reader's batch and bytes of a Parquet writer's row group. A session keeps its own values where they are smaller.
+BOUNDS = {"spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.parquet.columnarReaderBatchSize": 1024, "parquet.block.size": 16 << 20}
 
 _scratch: list[tuple[SparkSession, str, str]] = []
 _scope = [""]
@@ -98,26 +101,49 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def freed(rows):
+    """The rows of a generator; what this Python worker holds goes back to the system before and after them."""
+    release()
+    try:
+        yield from rows
+    finally:
+        release()
+
+
 def ready(spark: SparkSession) -> None:
-    """Before an operator with Python stages: the package is importable there, Arrow batches are bounded."""
+    """Before an operator: the package is importable in Python workers, and what a task holds is bounded."""
     ship(spark)
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("b")) > ARROW_BYTES:
-        spark.conf.set(name, str(ARROW_BYTES))
+    for name, most in BOUNDS.items():
+        held = spark.conf.get(name, None)
+        if held is None or not held.rstrip("b").isdigit() or int(held.rstrip("b")) > most:
+            spark.conf.set(name, str(most))
 
 
 def shuffle_width(spark: SparkSession, df: DataFrame | None = None, bin_bytes: int = BIN_BYTES) -> int:
-    """Bins for an explicit exchange: the configured width, more if the input's size asks for it."""
+    """Bins for an explicit exchange: the configured width, more if the input's size asks for it.
+
+    An input of unknown size (no file scan below it, or a join whose estimate multiplies) is measured by its files.
+    """
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if df is not None:
-        width = max(width, input_bytes(df) // bin_bytes + 1)
+        size = input_bytes(df)
+        width = max(width, (size if size < UNKNOWN else file_bytes(df)) // bin_bytes + 1)
     return max(1, width)
 
 
+def file_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a table is read from."""
+    spark = df.sparkSession
+    total = 0
+    for name in df.inputFiles():
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        total += p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
+    return total
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate (file sizes for scans); unknown or absurd estimates count as none."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size if size < 1 << 50 else 0
+    """Catalyst's size estimate: file sizes for scans; a size it does not know is a large one."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, salt_from: Column, salts: int = SALTS) -> DataFrame:

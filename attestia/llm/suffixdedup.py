@@ -34,7 +34,7 @@ from attestia.llm.common import broadcastable, durable, ready, shuffle_width
 
 #: A longer GRAM makes more anchors, a shorter one more chance repeats of anchors, whose number grows with its square.
 LENGTH, GRAM = 100, 48
-SEGMENT, SLICE = 1 << 20, 1 << 20
+SEGMENT, SLICE = 1 << 19, 1 << 19
 #: Contexts of one anchor beyond which they are dealt over shards; at most about SHARDS of them, of MOST contexts.
 HOT, SHARDS, MOST = 400, 24, 100_000
 FIRST = -(1 << 63)
@@ -367,16 +367,15 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def sketch(batches):
         from attestia.llm import suffixdedup
-        from attestia.llm.common import release, small_batches
+        from attestia.llm.common import freed, small_batches
 
-        release()
-        for batch in small_batches(batches):
-            yield from suffixdedup.sketch_batch(batch, bins)
+        yield from freed(x for batch in small_batches(batches) for x in suffixdedup.sketch_batch(batch, bins))
 
     def meet(batches):
         from attestia.llm import suffixdedup
+        from attestia.llm.common import freed
 
-        yield from suffixdedup.bin_rows(batches)
+        yield from freed(suffixdedup.bin_rows(batches))
 
     def fetch(batches):
         from attestia.llm.common import small_batches
