@@ -19,10 +19,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestia.llm.common import ready, resident, small_batches
+from attestia.llm.hashing import slices
 
 SAMPLE = 1500
 ORDERS, BUCKETS = 3, 1 << 15
@@ -30,6 +32,8 @@ SWITCH, FLOOR, SMOOTH = 8.0, -12.0, 0.5
 #: Share of a language's training letters below which a script does not make it a candidate.
 SCRIPT_SHARE = 0.01
 MEMO_WORDS = 100_000
+#: Bytes of text that a worker labels, and counts, at once.
+LABEL_BYTES, COUNT_BYTES = 1 << 20, 256 << 10
 LETTERS = re.compile(r"[^\W\d_]+")
 # First code points of script blocks, each with the script that reaches to the next entry.
 SCRIPTS = [
@@ -135,7 +139,11 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
 
 
 def count_batch(batch: pa.RecordBatch):
-    langs, texts = (c.to_pylist() for c in batch.columns)
+    for part in small_batches([batch], COUNT_BYTES):
+        yield from _counted(*(c.to_pylist() for c in part.columns))
+
+
+def _counted(langs: list[str], texts: list[str]):
     for name in sorted(set(langs)):
         words = [w for x, t in zip(langs, texts, strict=True) if x == name for w in LETTERS.findall(t.lower())]
         if words:
@@ -210,10 +218,16 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
 
 
 def label_batch(batch: pa.RecordBatch, shared, spans: bool):
-    """Predictions for slices of a batch whose last column is the text."""
+    """Predictions for slices of a batch whose last column is the text, longest texts first.
+
+    All texts of a slice advance together, so a slice takes as many steps as its longest text has words.
+    """
     scorer = resident(shared.value, lambda: Scorer(shared.value))
     langs = np.array(scorer.model["langs"], object)
-    for part in small_batches([batch], 3 << 20):
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+    order = np.argsort(-sizes, kind="stable")
+    for a, b in slices(sizes[order].tolist(), lambda n: n, LABEL_BYTES):
+        part = batch.take(pa.array(order[a:b]))
         texts = part.column(part.num_columns - 1).to_pylist()
         n = len(texts)
         if len(langs):
