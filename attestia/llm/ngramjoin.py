@@ -38,7 +38,7 @@ from attestia.llm.components import Forest, components
 GROUP = 16
 #: A cluster of more documents or shingles is dealt into blocks; a block holds about so many.
 CLUSTER_DOCS, BLOCK_DOCS, MOST_BLOCK_DOCS, BLOCK_TOKENS = 192, 124, 2_048, 1_000_000
-SLICE = 2 << 20
+SLICE = 1 << 19
 NOBODY = -(1 << 63)
 
 
@@ -260,29 +260,31 @@ def token_links(batches):
 
 
 class Matrix:
-    """Token-group matrix over sets: groups of similar sets with the unions of their tokens."""
+    """Token-group matrix over sets: groups of similar sets with the unions of their tokens, stored by token."""
 
     def __init__(self, sets: list[np.ndarray], members: np.ndarray, width: int):
         """`members` are places of the sets to be grouped; tokens are numbered below `width`, as in `sets`."""
         order = members[np.lexsort((members, [len(sets[i]) for i in members], [sets[i].min() for i in members]))]
         self.groups = [order[k : k + GROUP] for k in range(0, len(order), GROUP)]
-        self.rows = np.zeros((len(self.groups), width), bool)
-        for g, of in enumerate(self.groups):
-            for i in of:
-                self.rows[g, sets[i]] = True
         self.sizes = [np.array([len(sets[i]) for i in of]) for of in self.groups]
         self.low, self.high = (np.array([f(s) for s in self.sizes]) for f in (np.min, np.max))
         self.tokens = [np.concatenate([sets[i] for i in of]) for of in self.groups]
         self.starts = [np.cumsum(s) - s for s in self.sizes]
+        unions = [np.unique(t) for t in self.tokens]
+        of_token = np.concatenate(unions)
+        by = np.argsort(of_token, kind="stable")
+        self.rows = np.repeat(np.arange(len(unions), dtype=np.int32), [len(u) for u in unions])[by]
+        self.ends = np.cumsum(np.bincount(of_token, minlength=width))
 
     def qualifying(self, q: np.ndarray, num: int, den: int) -> np.ndarray:
         """Groups whose union overlaps the query enough for a member of a fitting size."""
         n = len(q)
-        fits = np.flatnonzero((self.high * den >= n * num) & (self.low * num <= n * den))
-        if not len(fits):
-            return fits
-        most = self.rows[fits][:, q].sum(1)
-        return fits[most * den >= num * np.maximum(n, self.low[fits])]
+        ends = self.ends[q]
+        lengths = ends - np.where(q > 0, self.ends[q - 1], 0)
+        at = np.arange(lengths.sum()) + np.repeat(ends - np.cumsum(lengths), lengths)
+        most = np.bincount(self.rows[at], minlength=len(self.groups))
+        fits = (self.high * den >= n * num) & (self.low * num <= n * den)
+        return np.flatnonzero(fits & (most * den >= num * np.maximum(n, self.low)))
 
 
 def link_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -343,16 +345,15 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, text: str = "
 
     def sketch(batches):
         from attestia.llm import ngramjoin
-        from attestia.llm.common import release, small_batches
+        from attestia.llm.common import freed, small_batches
 
-        release()
-        for batch in small_batches(batches):
-            yield from ngramjoin.sketch_batch(batch, n, num, den, bins)
+        yield from freed(x for batch in small_batches(batches) for x in ngramjoin.sketch_batch(batch, n, num, den, bins))
 
     def meet(batches):
         from attestia.llm import ngramjoin
+        from attestia.llm.common import freed
 
-        yield from ngramjoin.bin_rows(batches)
+        yield from freed(ngramjoin.bin_rows(batches))
 
     def solved(table: pa.Table) -> pa.Table:
         from attestia.llm import ngramjoin
@@ -390,25 +391,27 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, text: str = "
 
     def rarely(batches):
         from attestia.llm import ngramjoin
-        from attestia.llm.common import small_batches
+        from attestia.llm.common import freed, small_batches
 
-        for batch in small_batches(batches):
-            yield from ngramjoin.spread_tokens(batch, n, bins)
+        yield from freed(x for batch in small_batches(batches) for x in ngramjoin.spread_tokens(batch, n, bins))
 
     def counted(batches):
         from attestia.llm import ngramjoin
+        from attestia.llm.common import freed
 
-        yield from ngramjoin.count_tokens(batches, bins)
+        yield from freed(ngramjoin.count_tokens(batches, bins))
 
     def rarest(batches):
         from attestia.llm import ngramjoin
+        from attestia.llm.common import freed
 
-        yield from ngramjoin.rarest_tokens(batches, num, den, bins)
+        yield from freed(ngramjoin.rarest_tokens(batches, num, den, bins))
 
     def shared(batches):
         from attestia.llm import ngramjoin
+        from attestia.llm.common import freed
 
-        yield from ngramjoin.token_links(batches)
+        yield from freed(ngramjoin.token_links(batches))
 
     weighed, large = weigh(clusters)
     again = large.filter("rows = 1").select("root", F.lit(True).alias("again"))  # one text for each node
