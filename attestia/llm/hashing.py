@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTES = _rng.integers(1, 1 << 63, 256, np.uint64) << np.uint64(1) | np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Longer spans are hashed one by one.
+LONG = 4096
 # White space of the word contracts.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -52,6 +56,30 @@ def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * down[start])
 
 
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:end], eight bytes at a time through `mix`: all spans advance together.
+
+    Unlike a polynomial modulo 2**64, whose collisions are known for periodic strings, every step is a bijection of
+    the state that depends on all bits of it. Spans of more than LONG bytes are hashed by BLAKE2b.
+    """
+    lengths = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    chunks = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = mix(lengths.astype(np.uint64) + BASE)
+    live = np.flatnonzero((lengths > 0) & (lengths <= LONG))
+    at, left = starts[live], lengths[live]
+    while len(live):
+        part = chunks[at]
+        short = left < 8
+        part = np.where(short, part & ((np.uint64(1) << (8 * np.minimum(left, 7)).astype(np.uint64)) - np.uint64(1)), part)
+        out[live] = mix(out[live] * np.uint64(3) + mix(part ^ BASE))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(lengths > LONG).tolist():
+        out[i] = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "<u8")[0]
+    return out
+
+
 def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of lower-cased texts in order, and how many each text has."""
     data = LOWER[np.frombuffer(b" ".join([*(t or b"" for t in texts), b""]) if texts else b"", np.uint8)]
@@ -62,7 +90,7 @@ def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     limits = np.cumsum([len(t or b"") + 1 for t in texts])
     counts = np.diff(np.searchsorted(starts, np.concatenate([[0], limits])))
-    return between(prefix(data), starts, ends), counts
+    return spans(data, starts, ends), counts
 
 
 def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:

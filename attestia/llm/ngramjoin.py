@@ -39,7 +39,6 @@ GROUP = 16
 #: A cluster of more documents or shingles is dealt into blocks; a block holds about so many.
 CLUSTER_DOCS, BLOCK_DOCS, MOST_BLOCK_DOCS, BLOCK_TOKENS = 192, 124, 2_048, 1_000_000
 SLICE = 1 << 19
-NOBODY = -(1 << 63)
 
 
 class Scheme:
@@ -110,12 +109,13 @@ def sketch_batch(batch: pa.RecordBatch, n: int, num: int, den: int, bins: int):
     ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
     for a, b in hashing.slices(texts, lambda t: len(t or b"") + 64, SLICE):
         sets = hashing.shingle_sets(texts[a:b], n)
-        docs = np.array([NOBODY if i is None else i for i in ids[a:b]], np.int64)
+        docs = np.array([i or 0 for i in ids[a:b]], np.int64)
+        named = np.array([i is not None for i in ids[a:b]], bool)
         sizes = np.fromiter(map(len, sets), np.int64, len(sets))
         sums = np.array([(s.sum(), hashing.mix(s).sum()) for s in sets], np.uint64).reshape(-1, 2)
         first: dict[tuple, int] = {}
         keys = [(*k, m) for k, m in zip(sums.tolist(), sizes.tolist(), strict=True)]
-        live = (sizes > 0) & (docs != NOBODY)
+        live = (sizes > 0) & named
         for i in np.flatnonzero(live).tolist():
             d = int(docs[i])
             first[keys[i]] = min(first.get(keys[i], d), d)
@@ -126,7 +126,7 @@ def sketch_batch(batch: pa.RecordBatch, n: int, num: int, den: int, bins: int):
         sig, owner = signatures([sets[i] for i in lead], num, den)
         rows += _dealt(0, hashing.mix(sig), bins, sig, docs[lead][owner])
         rows += _dealt(1, hashing.mix(sums[lead, 0] + sizes[lead].astype(np.uint64)), bins, np.ascontiguousarray(sums[lead]), docs[lead], sizes[lead])
-        rows += _dealt(2, np.full(len(docs), hashing.mix(docs[:1].view(np.uint64))[0]), bins, docs, same, sizes)
+        rows += _dealt(2, np.full(len(docs), hashing.mix(docs[:1].view(np.uint64))[0]), bins, docs, same, np.where(named, sizes, -1 - sizes))
         columns = list(zip(*rows, strict=True))
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bin", "kind", "a", "b", "c"])
@@ -142,7 +142,7 @@ def _leaders(order: np.ndarray, fresh: np.ndarray, docs: np.ndarray) -> tuple[np
 
 
 def bin_rows(batches):
-    """Of one bin: documents (kind 2: doc, first equal in its batch, size), equal sets (1) and group links (0)."""
+    """Of one bin: documents (kind 2: doc, first equal in its batch, size, below 0 without doc_id), equal sets (1) and group links (0)."""
     held: dict[int, list] = {0: [], 1: [], 2: []}
     for batch in batches:
         kinds, a, b, c = (batch.column(x).to_pylist() for x in ("kind", "a", "b", "c"))
@@ -374,7 +374,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, text: str = "
         links = lookup(links, first, end, F.col(other)).withColumn(end, F.coalesce("y", end)).drop("y")
     clusters = components(links)
 
-    every = found.filter("kind = 2").select(F.col("x").alias("node"), "n")
+    every = found.filter("kind = 2 and n >= 0").select(F.col("x").alias("node"), "n")
     sizes = durable(every.groupBy("node").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")), "sizes")
 
     def weigh(clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -447,6 +447,10 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, text: str = "
     roots = durable(pairs.filter("settled").select(F.col("a").alias("node"), F.col("b").alias("root")).union(far.select("node", "root")), "roots")
     through = lookup(equal.select(F.col("x").alias("same"), F.col("y").alias("node")), roots, "node", F.col("same")).select("same", F.coalesce("root", "node").alias("root"))
     final = durable(through.union(roots.select(F.col("node").alias("same"), "root")).groupBy("same").agg(F.min("root").alias("root")), "final")
-    told = lookup(found.filter("kind = 2").select(F.col("x").alias("doc_id"), F.col("y").alias("same"), F.col("n").alias("n_shingles")), final, "same", F.col("doc_id"))
-    me = F.when(F.col("doc_id") != NOBODY, F.col("doc_id"))
-    return told.select(me.alias("doc_id"), "n_shingles", F.when(me.isNotNull(), F.coalesce("root", "same")).alias("component_id"))
+    told = lookup(found.filter("kind = 2").select(F.col("x").alias("doc_id"), F.col("y").alias("same"), "n"), final, "same", F.col("doc_id"))
+    named = F.col("n") >= 0
+    return told.select(
+        F.when(named, F.col("doc_id")).alias("doc_id"),
+        F.when(named, F.col("n")).otherwise(-1 - F.col("n")).alias("n_shingles"),
+        F.when(named, F.coalesce("root", "same")).alias("component_id"),
+    )

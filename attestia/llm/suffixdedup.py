@@ -83,7 +83,7 @@ def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     last = windows[np.append(np.flatnonzero(fresh)[1:] - 1, len(windows) - 1)]
     at = at[fresh]
     shape = ((at - first) * LENGTH + (last - first)).astype(np.uint64)
-    told = hashing.mix(hashing.between(sums, first, last + LENGTH) + hashing.mix(shape))
+    told = hashing.mix(hashing.spans(data, first, last + LENGTH) + hashing.mix(shape))
     return np.searchsorted(starts, first, "right") - 1, first, last, values[at], told
 
 
@@ -354,8 +354,11 @@ def uncovered(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    """doc, th and body; of rows with the least doc, those without doc_id have a negative th, the others none."""
     body = F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "utf-8")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), F.xxhash64(body).alias("th"), body.alias("body"))
+    doc, th, sign = F.col("doc_id").cast("long"), F.xxhash64(body), F.lit(FIRST)
+    th = F.when(doc.isNull(), th.bitwiseOR(sign)).when(doc == sign, th.bitwiseAND(F.lit(~FIRST))).otherwise(th)
+    return docs.select(F.coalesce(doc, sign).alias("doc"), th.alias("th"), body.alias("body"))
 
 
 def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -380,7 +383,7 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     def fetch(batches):
         from attestia.llm.common import small_batches
 
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 2 << 20):
             anchors, docs_, ths, bodies, opened = (batch.column(c).to_pylist() for c in ("doc", "doc", "th", "body", "opened"))
             rows = [(o["anchor"], d, t, o["first"], o["last"], o["shards"], b[o["first"] : o["last"] + LENGTH]) for _, d, t, b, os_ in zip(anchors, docs_, ths, bodies, opened, strict=True) for o in os_]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
@@ -438,7 +441,7 @@ def dedup(docs: DataFrame, text: str = "text", digest: bool = False) -> DataFram
         from attestia.llm.common import small_batches
 
         for batch in small_batches(batches):
-            doc, body = batch.column("doc"), batch.column("body").to_pylist()
+            doc, th, body = batch.column("doc"), batch.column("th"), batch.column("body").to_pylist()
             lists = batch.column("windows")
             offsets, flat = lists.offsets.to_numpy(), lists.flatten()
             first, last = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
@@ -452,7 +455,7 @@ def dedup(docs: DataFrame, text: str = "text", digest: bool = False) -> DataFram
             left = np.fromiter(map(len, kept), np.int64, len(kept))
             out = pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()) if digest else pa.array(kept, pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [doc, pa.array(sizes), pa.array(sizes - left), pa.array(runs, pa.int64()), out], ["doc", "n_bytes", "n_removed", "n_spans", name]
+                [doc, th, pa.array(sizes), pa.array(sizes - left), pa.array(runs, pa.int64()), out], ["doc", "th", "n_bytes", "n_removed", "n_spans", name]
             )
 
     name = "kept_sha256" if digest else "kept"
@@ -462,6 +465,7 @@ def dedup(docs: DataFrame, text: str = "text", digest: bool = False) -> DataFram
         has = keys.withColumn("has", F.lit(True))
         flagged = source.join(F.broadcast(has), ["doc", "th"], "left")
         joined = flagged.filter("has").drop("has").join(found, ["doc", "th"], "left").unionByName(flagged.filter("has is null").drop("has").withColumn("windows", F.lit(None).cast("array<struct<first:int,last:int>>")))
-    rows = joined.select("doc", "body", F.coalesce("windows", none).alias("windows"))
-    cutout = rows.mapInArrow(cut, f"doc long, n_bytes long, n_removed long, n_spans long, {name} {'string' if digest else 'binary'}")
-    return cutout.select(F.when(F.col("doc") != FIRST, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", name)
+    rows = joined.select("doc", "th", "body", F.coalesce("windows", none).alias("windows"))
+    cutout = rows.mapInArrow(cut, f"doc long, th long, n_bytes long, n_removed long, n_spans long, {name} {'string' if digest else 'binary'}")
+    named = (F.col("doc") != FIRST) | (F.col("th") >= 0)
+    return cutout.select(F.when(named, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", name)

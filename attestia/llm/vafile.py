@@ -1,17 +1,19 @@
 """Exact top-k inner-product search with vector-approximation files.
 
-The candidates are dealt into blocks. In each block every component is quantised into at most CELLS cells; the
-cells' bounds give an upper bound of the score (the lower bound of the distance) of each query and candidate by
-two matrix products. Exact vectors are then read in the order of that bound until the k-th score lies above every
-bound that is left. The k best of each query and block meet by query for the final k.
+The candidates are dealt into blocks. In each block every component is quantised into CELLS cells of equal width, one
+byte each. A scan of the cells (one product in single precision, an eighth of the bytes of the exact one) gives each
+query and candidate the score of the cell's middle; half a cell's width in every component, which is the same for all
+candidates, makes it an upper bound (the lower bound of the distance). Exact vectors are then read in the order of
+that bound until the k-th score lies above every bound that is left. The k best of each query and block meet by query
+for the final k.
 
 Vectors are integers here: `floor(scale * x)`, saturated to 64 bits. Scores are exact: products run in float64 where all partial sums
 stay below 2**53, else in Python integers, saturated to 64 bits.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part, nor do rows without
-an id; vectors of another length than the query's are no candidates for it; rows that repeat an id count once,
-with the smallest vector; ties go to the smaller id; an empty table gives an empty result; other columns are
-ignored.
+an id; vectors of another length than the query's are no candidates for it, nor are rows of the query's own id; every
+other row is one, so rows that repeat an id are candidates of their own, and queries that repeat an id share the k best
+of all; ties go to the smaller id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from attestia.llm.common import durable, ready
 
-CELLS = 32
+CELLS = 256
 #: Vector components in a block of candidates, and the fewest blocks.
 BLOCK_VALUES, LEAST_BLOCKS = 2 << 20, 48
 #: Queries compared at once, and exact vectors read for each query in a step.
@@ -48,27 +50,27 @@ class Block:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order])
         low, high = vectors.min(0), vectors.max(0)
-        width = np.maximum((high - low) / CELLS, 1e-300)
-        cell = np.clip((self.vectors - low) / width, 0, CELLS - 1).astype(np.uint8)
-        # The cell's bounds are those of its members: each dimension's table of least and most values.
-        d = vectors.shape[1]
-        least, most = np.full((CELLS, d), np.inf), np.full((CELLS, d), -np.inf)
-        dims = np.broadcast_to(np.arange(d), cell.shape)
-        np.minimum.at(least, (cell, dims), self.vectors)
-        np.maximum.at(most, (cell, dims), self.vectors)
-        self.cell, self.least, self.most, self.dims = cell, least, most, np.arange(d)
+        self.width = (high - low) / CELLS
+        cell = (self.vectors - low) / np.where(self.width > 0, self.width, 1)
+        self.cells = np.clip(cell, 0, CELLS - 1).astype(np.uint8)
+        self.middle = low + self.width / 2
         self.reach = np.abs(self.vectors).max(initial=0.0)
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """Upper bounds of the scores, widened by what float arithmetic may lose."""
+        steps = queries * self.width
+        # Single precision holds 24 bits; scaled so that no step overflows it.
+        scale = np.maximum(np.abs(steps).max(1, initial=0.0), 1e-300)[:, None]
+        narrow = (steps / scale).astype(np.float32)
         out = np.empty((len(queries), len(self.ids)))
-        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-        rows = max(256, (1 << 19) // max(1, len(self.dims)))
+        rows = max(256, (1 << 20) // max(1, self.cells.shape[1]))
         for k in range(0, len(self.ids), rows):
-            cell = self.cell[k : k + rows]
-            out[:, k : k + rows] = up @ self.most[cell, self.dims].T + down @ self.least[cell, self.dims].T
+            out[:, k : k + rows] = narrow @ self.cells[k : k + rows].astype(np.float32).T
+        d = self.cells.shape[1]
+        lost = (d + 2) * 2.0**-22 * CELLS * np.abs(narrow).sum(1)[:, None].astype(np.float64) * scale
         slack = np.abs(queries).sum(1) * self.reach * 1e-12
-        return out + slack[:, None]
+        reach = queries @ self.middle + np.abs(steps).sum(1) / 2 * (1 + 1e-9) + slack
+        return out * scale + lost + reach[:, None]
 
     def exact(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
         if np.abs(query).max(initial=0.0) * self.reach * max(1, len(query)) < LIMIT:
@@ -92,7 +94,7 @@ class Block:
             fresh = np.setdiff1d(near, rows, assume_unique=True) if done else near
             scores, rows = np.append(scores, self.exact(query, fresh)), np.append(rows, fresh)
             done = len(rows)
-            order = np.lexsort((self.ids[rows], -scores))[:k]
+            order = np.lexsort((self.ids[rows], ~scores))[:k]
             read = [(int(scores[i]), int(self.ids[rows[i]])) for i in order]
             if done >= usable:
                 return read
@@ -103,16 +105,6 @@ class Block:
             n = min(usable, max(2 * n, int((bound >= read[-1][0]).sum())))
 
 
-def _distinct(ids: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One row for each id, the one with the smallest vector."""
-    if len(np.unique(ids)) == len(ids):
-        return ids, flat
-    order = np.lexsort((*flat.T[::-1], ids))
-    ids, flat = ids[order], flat[order]
-    first = np.append(True, ids[1:] != ids[:-1])
-    return ids[first], flat[first]
-
-
 def _matrices(batch: pa.RecordBatch):
     """(is query, ids, vectors) for each vector length in a batch, candidates first."""
     vectors = batch.column("_v")
@@ -128,25 +120,18 @@ def _matrices(batch: pa.RecordBatch):
 
 
 def search_block(batches, k: int):
-    """Best of each query among one partition's candidates; they come first, and each kind in the order of ids."""
+    """Best of each query among one partition's candidates, which come first."""
     gathered: dict[int, list] = {}
     blocks: dict[int, Block] | None = None
-    last: dict[int, int] = {}
     for batch in batches:
         for asks, d, ids, vectors in _matrices(batch):
             if not asks:
                 gathered.setdefault(d, []).append((ids, vectors))
                 continue
             if blocks is None:
-                blocks = {n: Block(*_distinct(np.concatenate([a for a, _ in x]), np.concatenate([b for _, b in x]))) for n, x in gathered.items()}
+                blocks = {n: Block(np.concatenate([a for a, _ in x]), np.concatenate([b for _, b in x])) for n, x in gathered.items()}
                 gathered.clear()
-            if d not in blocks:
-                continue
-            ids, vectors = _distinct(ids, vectors)
-            if ids[0] == last.get(d):  # its smallest vector was in the batch before
-                ids, vectors = ids[1:], vectors[1:]
-            if len(ids):
-                last[d] = ids[-1]
+            if d in blocks:
                 yield from _answers(blocks[d], ids, vectors, k)
 
 
@@ -171,20 +156,21 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_
     points = durable(clean(vectors, vec_id, vector, scale, queries), "vectors")
     values = points.agg(F.sum(F.size("_v"))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, -(-values // BLOCK_VALUES))
-    candidates = points.select(F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int").alias("_b"), F.lit(False).alias("_q"), "_id", "_v")
+    candidates = points.select(F.pmod(F.xxhash64("_id", "_v"), F.lit(blocks)).cast("int").alias("_b"), F.lit(False).alias("_q"), "_id", "_v")
     asking = points.filter("_ask").select(
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"), F.lit(True).alias("_q"), "_id", "_v"
     )
 
     def run(batches):
         from attestia.llm import vafile
+        from attestia.llm.common import freed
 
-        yield from vafile.search_block(batches, k)
+        yield from freed(vafile.search_block(batches, k))
 
     near = (
         candidates.unionByName(asking)
         .repartitionById(blocks, "_b")
-        .sortWithinPartitions("_q", "_id", "_v")
+        .sortWithinPartitions("_q")
         .select("_q", "_id", "_v")
         .mapInArrow(run, "query_id long, vec_id long, score long")
     )

@@ -7,19 +7,16 @@ from attestia.llm import vafile
 
 
 def brute(rows, k, is_query):
-    """Top k by Python integers over the smallest vector of each id."""
-    kept = {}
+    """Top k by Python integers; every row is a candidate, and queries of one id share their k best."""
+    kept = []
     for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        w = [math.floor(1024 * x) for x in v]
-        kept[i] = min(kept.get(i, w), w)
-    out = {}
-    for q, a in kept.items():
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            kept.append((i, [math.floor(1024 * x) for x in v]))
+    pooled = {}
+    for q, a in kept:
         if is_query(q):
-            scored = [(-sum(x * y for x, y in zip(a, b, strict=True)), c) for c, b in kept.items() if c != q and len(a) == len(b)]
-            out |= {(q, n): (c, -s) for n, (s, c) in enumerate(sorted(scored)[:k], 1)}
-    return out
+            pooled.setdefault(q, []).extend((-sum(x * y for x, y in zip(a, b, strict=True)), c) for c, b in kept if c != q and len(a) == len(b))
+    return {(q, n): (c, -s) for q, scored in pooled.items() for n, (s, c) in enumerate(sorted(scored)[:k], 1)}
 
 
 def check(spark, rows, k=10):
@@ -43,6 +40,23 @@ def test_ties_repeats_nulls_and_lengths(spark):
     check(spark, rows, k=1)
 
 
+def test_every_row_of_a_repeated_id_is_a_candidate(spark):
+    rows = [(0, [1.0, 0.0], 0), (1, [0.25, 0.0], 0), (1, [0.875, 0.0], 0), (1, [0.875, 0.0], 0), (2, [0.5, 0.0], 0), (5, [1.0, 1.0], 0), (5, [0.0, 2.0], 0)]
+    check(spark, rows)
+    check(spark, rows, k=2)
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(5)
+    for scale in (1.0, 1e4, 1e9):
+        vectors = np.floor(rng.normal(size=(500, 48)) * scale)
+        vectors[:, 3] = 7.0
+        queries = np.floor(rng.normal(size=(20, 48)) * scale)
+        block = vafile.Block(np.arange(500), vectors)
+        over = block.bounds(queries) - queries @ vectors.T
+        assert (over >= 0).all() and over.mean() < 0.2 * np.abs(queries @ vectors.T).max()
+
+
 def test_fewer_rows_than_k_and_none(spark):
     check(spark, [(0, [1.0], 0), (5, [2.0], 0), (7, [0.0], 0)])
     check(spark, [(0, [1.0], 0)])
