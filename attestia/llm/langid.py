@@ -1,14 +1,14 @@
 """Language identification of mixed-language text: script ranges, per-word scores and a Viterbi labelling.
 
-Words are runs of letters. Each language scores a word by hashed character n-grams of 1 to ORDERS characters
+Words are letters (Unicode category L) with the letters and marks that follow. Each language scores a word by hashed character n-grams of 1 to ORDERS characters
 (with word ends), learned from labelled rows; a language is a candidate for a word only if its training text
 used the word's script. Viterbi over the words of a text, with a penalty for each switch, labels every word; the
 runs are the spans, and the language of most letters is the text's, its share of all letters the score.
 
-Training uses a bounded sample: about SAMPLE rows for each label, chosen by a hash of doc_id; everything else
-covers all rows and whole texts.
+Training uses a bounded sample: about SAMPLE rows for each label, chosen by a hash of doc_id (all rows of a label that
+has fewer); everything else covers all rows and whole texts.
 
-Defined results: a text that is null, or has no letters, is `und` with score 0, as is every text if nothing could
+Defined results: a text that is null, or has no letters (digits, fractions and letter-like numerals are none), is `und` with score 0, as is every text if nothing could
 be learned; ties go to the language first in code point order; repeated rows give repeated rows; an empty table
 gives an empty result; kept columns pass through.
 """
@@ -20,10 +20,11 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestia.llm.common import ready, resident, small_batches
+from attestia.llm.common import durable, lookup, ready, resident, small_batches
 from attestia.llm.hashing import slices
 
 SAMPLE = 1500
@@ -34,7 +35,10 @@ SCRIPT_SHARE = 0.01
 MEMO_WORDS = 100_000
 #: Bytes of text that a worker labels, and counts, at once.
 LABEL_BYTES, COUNT_BYTES = 1 << 20, 256 << 10
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Texts of these characters alone (two Latin blocks, general punctuation) are cut by the standard library's engine.
+NOT_PLAIN = re.compile("[^\x00-\u024f\u2000-\u206f]").search
+PLAIN_WORDS = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 # First code points of script blocks, each with the script that reaches to the next entry.
 SCRIPTS = [
     (0x0000, "Latin"),
@@ -68,6 +72,16 @@ _NAMES = sorted({n for _, n in SCRIPTS})
 _SCRIPT_OF = np.array([_NAMES.index(n) for _, n in SCRIPTS], np.int64)
 
 
+def pattern_of(lowered: str):
+    """The pattern that cuts this text into words."""
+    return WORDS if NOT_PLAIN(lowered) else PLAIN_WORDS
+
+
+def words_of(text: str) -> list[str]:
+    lowered = text.lower()
+    return pattern_of(lowered).findall(lowered)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that take no part in learning: crc32 of the id's text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % 3 == 1, F.lit(False))
@@ -101,16 +115,18 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     spark = labelled.sparkSession
     ready(spark)
     known = labelled.filter(F.col(lang).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("_lang"))
-    sizes = {r["_lang"]: r["n"] for r in known.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
-    if not sizes:
-        return {"langs": []}
-    part = F.lit(0)
-    for name, n in sizes.items():
-        part = F.when(F.col("_lang") == name, F.lit(int(1_000_000 * min(1.0, sample / n)))).otherwise(part)
+    sizes = durable(known.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")), "labels")  # a row for each language
+    place = (F.xxhash64(F.col("_id").cast("string")).cast("double") + 2.0**63) / 2.0**64  # evenly from 0 to 1
     chosen = (
-        labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-        .select(F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("_lang"), F.col(text).cast("string").alias("_text"))
-        .filter(F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1_000_000)) < part)
+        lookup(
+            labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+                F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("_lang"), F.col(text).cast("string").alias("_text")
+            ),
+            sizes,
+            "_lang",
+            F.col("_id"),
+        )
+        .filter((F.col("_n") <= sample) | (place < F.lit(float(sample)) / F.col("_n")))
         .select("_lang", "_text")
     )
 
@@ -124,14 +140,16 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
         chosen.mapInArrow(count, "lang string, bucket int, n long")
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
-        .collect()  # at most BUCKETS and the scripts for each language
+        .toArrow()  # numbers: at most BUCKETS and the scripts for each language, as in the model itself
     )
-    langs = sorted({r["lang"] for r in rows})
-    if not langs:
+    told = rows.column("lang").combine_chunks().dictionary_encode() if len(rows) else None
+    if told is None:
         return {"langs": []}
+    found = told.dictionary.to_pylist()
+    langs = sorted(found)
+    at = np.array([langs.index(x) for x in found])[told.indices.to_numpy()]
     counts = np.zeros((len(langs), BUCKETS + len(_NAMES)))
-    for r in rows:
-        counts[langs.index(r["lang"]), r["bucket"]] = r["n"]
+    counts[at, rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     grams, scripts = counts[:, :BUCKETS], counts[:, BUCKETS:]
     logs = np.log((grams + SMOOTH) / (grams.sum(1, keepdims=True) + SMOOTH * BUCKETS))
     share = scripts / np.maximum(1, scripts.sum(1, keepdims=True))
@@ -145,7 +163,7 @@ def count_batch(batch: pa.RecordBatch):
 
 def _counted(langs: list[str], texts: list[str]):
     for name in sorted(set(langs)):
-        words = [w for x, t in zip(langs, texts, strict=True) if x == name for w in LETTERS.findall(t.lower())]
+        words = [w for x, t in zip(langs, texts, strict=True) if x == name for w in words_of(t)]
         if words:
             grams, _, script = features(words)
             letters = np.bincount(script, np.fromiter(map(len, words), np.float64, len(words)), len(_NAMES))
@@ -157,18 +175,22 @@ def _counted(langs: list[str], texts: list[str]):
 
 
 class Scorer:
-    """Emission scores of words, each distinct word scored once; at most MEMO_WORDS are kept."""
+    """Emission scores of words, each distinct word scored once; at most MEMO_WORDS are kept.
+
+    The last column tells whether any language uses the word's script.
+    """
 
     def __init__(self, model: dict):
-        self.model, self.index, self.rows = model, {}, [np.zeros((0, len(model["langs"])), np.float32)]
+        self.model, self.index, self.rows = model, {}, [np.zeros((0, len(model["langs"]) + 1), np.float32)]
 
     def score(self, words: list[str]) -> np.ndarray:
         grams, starts, script = features(words)
         s = np.add.reduceat(self.model["logs"][grams], starts, axis=0)
         s -= s.max(1, keepdims=True)
         allowed = self.model["allowed"][script]
-        s[~allowed & allowed.any(1, keepdims=True)] += FLOOR
-        return np.maximum(s, 2 * FLOOR).astype(np.float32)
+        known = allowed.any(1, keepdims=True)
+        s[~allowed & known] += FLOOR
+        return np.concatenate([np.maximum(s, 2 * FLOOR), known], axis=1).astype(np.float32)
 
     def __call__(self, words: list[str]) -> np.ndarray:
         if len(self.index) > MEMO_WORDS:
@@ -231,20 +253,22 @@ def label_batch(batch: pa.RecordBatch, shared, spans: bool):
         texts = part.column(part.num_columns - 1).to_pylist()
         n = len(texts)
         if len(langs):
-            found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+            found = [words_of(t) if t else [] for t in texts]
             words = [w for f in found for w in f]
             lengths = np.fromiter(map(len, found), np.int64, n)
-            labels = viterbi(scorer(words), lengths) if words else np.zeros(0, np.int64)
+            scored = scorer(words) if words else np.zeros((0, len(langs) + 1), np.float32)
+            labels = viterbi(np.ascontiguousarray(scored[:, :-1]), lengths)
             owner = np.repeat(np.arange(n), lengths)
             letters = np.fromiter(map(len, words), np.float64, len(words))
             share = np.bincount(owner * len(langs) + labels, letters, n * len(langs)).reshape(n, -1)
             top, of = share.argmax(1), share.sum(1)
             score = np.where(of > 0, share.max(1) / np.maximum(of, 1), 0.0)
             names = np.where(of > 0, langs[top], "und")
+            known = np.bincount(owner, letters * scored[:, -1], n) / np.maximum(of, 1)
         else:
-            names, score = np.full(n, "und", object), np.zeros(n)
-        made = [pa.array(names.tolist(), pa.string()), pa.array(score, pa.float64())]
-        columns = ["lang_pred", "score"]
+            names, score, known = np.full(n, "und", object), np.zeros(n), np.zeros(n)
+        made = [pa.array(names.tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())]
+        columns = ["lang_pred", "score", "known"]
         if spans:
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
             at = np.cumsum(lengths) - lengths if len(langs) else None
@@ -256,7 +280,8 @@ def label_batch(batch: pa.RecordBatch, shared, spans: bool):
 def _spans(text: str | None, labels: np.ndarray, langs: np.ndarray) -> list[dict]:
     """Runs of words of one label as character ranges of the text."""
     found: list[dict] = []
-    for m, label in zip(LETTERS.finditer((text or "").lower()), labels, strict=True):
+    lowered = (text or "").lower()
+    for m, label in zip(pattern_of(lowered).finditer(lowered), labels, strict=True):
         if found and found[-1]["lang"] == langs[label]:
             found[-1]["end"] = m.end()
         else:
@@ -265,11 +290,12 @@ def _spans(text: str | None, labels: np.ndarray, langs: np.ndarray) -> list[dict
 
 
 def predict(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",), spans: bool = False) -> DataFrame:
-    """The kept columns with lang_pred and score, and with spans (character ranges of the lower-cased text)."""
+    """The kept columns with lang_pred, score, known (the share of letters in words of a script that was learned), and
+    with spans (character ranges of the lower-cased text)."""
     spark = docs.sparkSession
     ready(spark)
     shared = spark.sparkContext.broadcast(model)
-    more = "lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
+    more = "lang_pred string, score double, known double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
     fields = spark.createDataFrame([], more).schema
     fields = type(fields)(docs.select(*keep).schema.fields + fields.fields)
 
@@ -288,6 +314,9 @@ def model_of(docs: DataFrame) -> dict:
 
 
 def accept(docs: DataFrame, model: dict, least: float = 0.3) -> DataFrame:
-    """Documents whose language is known with at least this share of their letters, with their own columns."""
+    """Documents whose language is known with at least this share of their letters, with their own columns.
+
+    Letters in scripts that no language of the training rows uses count as unknown.
+    """
     told = predict(docs.select(F.struct("*").alias("row"), F.col("text").alias("body")), model, text="body", keep=("row",))
-    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+    return told.filter((F.col("lang_pred") != "und") & (F.col("score") * F.col("known") >= least)).select("row.*")

@@ -9,13 +9,15 @@ Shard files are single-row Parquet values written by Spark, so any shared store
 costs only its unfinished shards.
 
 Defined results: a null or empty text has the end id only; rows that repeat a doc_id are documents of their own,
-ordered by text; a null doc_id comes first; an empty table gives an empty result; other columns are ignored;
-special-token strings are ordinary text.
+ordered by a hash of their text; a null doc_id comes first; an empty table gives an empty result; other columns are
+ignored; the string of an added token is that token, as the library has it by default (with `ordinary`, it is
+ordinary text).
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 
 import numpy as np
@@ -180,14 +182,16 @@ class Shard:
 class WordIds(dict):
     """Packed ids of words, each distinct word encoded once by the tokenizers library."""
 
-    def __init__(self, definition: str, pattern: str):
+    def __init__(self, definition: str, pattern: str, ordinary: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
         self.pending: dict[str, bytearray] = {}
         self.library = Tokenizer.from_str(definition)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = ordinary
+        added = [t.content for t in self.library.get_added_tokens_decoder().values() if not (ordinary and t.special)]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.split = Splitter(pattern)
         vocabulary = self.library.get_vocab()
         self.piece_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -200,7 +204,7 @@ class WordIds(dict):
         if len(self) > MEMO_WORDS:
             self.clear()
         get = self.__getitem__
-        found = [list(map(get, self.split(t))) if t else [] for t in texts]
+        found = [[] if not t else [self.whole(t)] if self.added(t) else list(map(get, self.split(t))) for t in texts]
         fresh = list(self.pending)
         for k in range(0, len(fresh), 10_000):
             groups = [fresh[i : i + 500] for i in range(k, min(k + 10_000, len(fresh)), 500)]
@@ -215,6 +219,10 @@ class WordIds(dict):
         self.pending.clear()
         return [b"".join(f) for f in found]
 
+    def whole(self, text: str) -> bytes:
+        """Packed ids of a text that holds an added token, which the library cuts out before it looks for words."""
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
     def __missing__(self, word: str) -> bytearray:
         """A place for the word's ids, filled before `encode` joins them."""
         place = self[word] = self.pending[word] = bytearray()
@@ -248,12 +256,14 @@ def shard_partition(batches, shared, end: int, shard_ids: int, partition: int):
         yield close()
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, end: int = 0, text: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_shards(
+    docs: DataFrame, tokenizer_path: str, end: int = 0, text: str = "text", shard_ids: int = SHARD_IDS, ordinary: bool = False
+) -> DataFrame:
     """The written shard table: shard (ascending with doc_id), n_docs, n_ids and file."""
     spark = docs.sparkSession
     ready(spark)
     with open(tokenizer_path) as f:
-        shared = spark.sparkContext.broadcast((f.read(), GENERAL_PATTERN))
+        shared = spark.sparkContext.broadcast((f.read(), GENERAL_PATTERN, ordinary))
 
     def run(batches):
         from pyspark import TaskContext
@@ -264,8 +274,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end: int = 0, text: str =
 
     ranged = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text"))
-        .repartitionByRange(shuffle_width(spark, docs, 32 << 20), "doc_id")
-        .sortWithinPartitions("doc_id", "_text")
+        .withColumn("_th", F.xxhash64("_text"))  # deals out the rows of one doc_id
+        .repartitionByRange(shuffle_width(spark, docs, 32 << 20), "doc_id", "_th")
+        .sortWithinPartitions("doc_id", "_th", "_text")
+        .drop("_th")
     )
     return durable(ranged.mapInArrow(run, "shard long, n_docs long, n_ids long, file binary"), "shards")
 
