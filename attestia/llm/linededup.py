@@ -1,25 +1,28 @@
 """Line deduplication by pairwise alignment.
 
-Lines (trimmed, of at least LINE_WORDS words) that two or more documents hold are the links: every later holder
-is paired with the line's first holder, so a line in n documents makes n - 1 pairs, never all. Each pair is
-aligned with patience diff over the line hashes, and aligned common blocks of at least BLOCK_WORDS words are
-deleted from the later document. Documents are ordered by doc_id, then by a hash of their text; lines are judged
-on the input, not on what other deletions leave.
-
-Rarity is relative: patience diff anchors on lines that are unique in both documents, and no line is too frequent
-to link.
-
-An alignment with first holders alone misses blocks that only another earlier document has, or has in another
-order. With `every` (as in op3_lines and the pipeline) a line goes if it lies in any run of neighbouring lines, of
-BLOCK_WORDS words or more, that some earlier document also has as neighbouring lines. Runs are compared by the hashes
-of their least windows: from each line on, and up to each line, the fewest lines that reach BLOCK_WORDS words. The
-windows of a common run cover it, and a window has an earlier holder just if its first holder is earlier, so no
-pairs are made. Every block that an alignment with an earlier document finds is such a run; lines of any length link.
+Documents are ordered by doc_id, then by a hash of their text; lines are trimmed, and judged on the input, not on what
+other deletions leave.
+
+1. Rare line hashes. A single line may be anywhere; a run of neighbouring lines with BLOCK_WORDS words is rare. Every
+   document gives the hashes of its least runs: from each line on, and up to each line, the fewest lines that reach
+   BLOCK_WORDS words, so at most two for each line.
+2. Pairs. A later document is paired with the first holder of each of its runs, so a run in n documents makes n - 1
+   pairs, never all. A run has an earlier holder just if its first holder is earlier, so no other pair can add
+   anything. What travels is the shared runs and their places in both, not the documents.
+3. Alignment. Each pair is aligned by patience diff over its shared runs: runs that occur once in both, in the longest
+   ascending order, then recursively between them, then repeated ones by occurrence. Blocks in another order than the
+   earlier document's, which no alignment in order can hold, follow as blocks of their own (`moved`).
+4. The aligned common blocks are deleted from the later document. The runs of a block cover it, so a line goes exactly
+   if it lies in any run of neighbouring lines, of BLOCK_WORDS words or more, that some earlier document also has.
+
+Words are runs of other characters than white space; two characters of a script that is written without spaces count
+as a word more.
 
 Defined results: documents without text or doc_id are kept as they are; rows that repeat both are the same
 document and get the same deletions; rows that share only a doc_id are documents of their own; empty lines count
-no words; a document may end up empty (an empty text, not null); an empty table gives an empty result; further
-columns pass through.
+no words; a document may end up empty (an empty text, not null); a very long document is as many runs as it has
+lines, at most twice, and meets each earlier holder with the shared ones only; an empty table gives an empty result;
+further columns pass through (n_lines and n_removed, if asked for, replace columns of these names).
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ from pyspark.sql import functions as F
 
 from attestia.llm.common import WORD, durable, lookup, ready
 
-LINE_WORDS, BLOCK_WORDS = 3, 10
+BLOCK_WORDS = 10
+# Code points of scripts written without spaces (Thai to Myanmar, Khmer, kana and Han).
+UNSPACED = r"[\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}]"
 #: Odd, so that it has an inverse modulo 2 ** 64.
 BASE = 0x94D049BB133111EB
 
@@ -103,24 +108,31 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def common_lines(later: list, earlier: list, words: list[int], block_words: int = BLOCK_WORDS) -> np.ndarray:
-    """Which lines of the later document lie in aligned common blocks of enough words."""
-    gone = np.zeros(len(later), bool)
-    block: list[int] = []
-    last = None
-    for i, j in [*patience(later, earlier), (-9, -9)]:
-        if last is not None and (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(words[k] for k in block) >= block_words:
-                gone[block] = True
-            block = []
-        block.append(i)
-        last = (i, j)
-    return gone
+def aligned(runs: list[tuple]) -> list[tuple[int, int, int, bool]]:
+    """Common blocks (start, end, start in the earlier document, moved) of one pair, from its shared runs of lines.
+
+    `runs` are (start, end, start in the earlier document).
+    """
+    runs = sorted(runs)
+    theirs = [(f, e - s) for s, e, f in runs]
+    chain = [i for i, _ in patience(theirs, sorted(set(theirs)))]
+    blocks: list[tuple[int, int, int, bool]] = []
+    for moved, part in ((False, chain), (True, sorted(set(range(len(runs))) - set(chain), key=lambda i: (runs[i][2] - runs[i][0], runs[i])))):
+        for s, e, f in (runs[i] for i in part):
+            if blocks and blocks[-1][3] == moved and f - s == blocks[-1][2] - blocks[-1][0] and s <= blocks[-1][1]:
+                blocks[-1] = (blocks[-1][0], max(e, blocks[-1][1]), blocks[-1][2], moved)
+            else:
+                blocks.append((s, e, f, moved))
+    return blocks
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), h (line hashes) and w (words of each line) of the documents that take part."""
     lines = F.split("_text", "\n", -1)
+    def count(x):
+        unspaced = F.when(F.octet_length(x) > F.length(x), F.floor(F.regexp_count(x, F.lit(UNSPACED)) / 2).cast("int")).otherwise(0)
+        return F.regexp_count(x, F.lit(WORD)) + unspaced
+
     return (
         docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
         .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"))
@@ -128,72 +140,11 @@ def lines_of(docs: DataFrame) -> DataFrame:
             "doc_id",
             F.xxhash64("_text").alias("th"),
             F.transform(lines, lambda x: F.xxhash64(F.trim(x))).alias("h"),
-            F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD))).alias("w"),
+            F.transform(lines, count).alias("w"),
         )
     )
 
 
-def removals(docs: DataFrame, line_words: int = LINE_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, th and keep (one boolean for each line) of the documents that lose lines, as a written table."""
-    spark = docs.sparkSession
-    ready(spark)
-    lines = durable(lines_of(docs), "lines")
-    me = F.struct("doc_id", "th").alias("me")
-    linking = F.array_distinct(
-        F.filter(F.transform(F.arrays_zip("h", "w"), lambda x: F.when(x["w"] >= line_words, x["h"])), lambda x: x.isNotNull())
-    )
-    held = lines.select(me, F.explode(linking).alias("line"))
-    firsts = durable(
-        held.groupBy("line").agg(F.min("me").alias("first"), F.max("me").alias("last")).filter("first < last").select("line", "first"), "firsts"
-    )
-    pairs = durable(
-        lookup(held, firsts, "line", F.col("me")).filter("first < me").groupBy("me", "first").agg(F.count(F.lit(1)).alias("shared")), "pairs"
-    )
-    arrays = lines.select(me, "h", "w").dropDuplicates(["me"])
-    early = durable(
-        arrays.join(pairs.select(F.col("first").alias("me")).distinct(), "me", "leftsemi").select(F.col("me").alias("first"), F.col("h").alias("early")),
-        "early",
-    )
-    both = lookup(pairs.join(arrays, "me"), early, "first", F.col("me"))
-
-    def align(batches):
-        from attestia.llm import linededup
-        from attestia.llm.common import release, small_batches
-
-        release()
-        for batch in small_batches(batches, 1 << 20):
-            ids, h, w, early = (batch.column(n).to_pylist() for n in ("me", "h", "w", "early"))
-            rows = [(i, linededup.common_lines(a, b, n, block_words)) for i, a, n, b in zip(ids, h, w, early, strict=True)]
-            rows = [(i, g) for i, g in rows if g.any()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([i["doc_id"] for i, _ in rows], pa.int64()),
-                    pa.array([i["th"] for i, _ in rows], pa.int64()),
-                    pa.array([len(g) for _, g in rows], pa.int32()),
-                    pa.array([np.packbits(g).tobytes() for _, g in rows], pa.binary()),
-                ],
-                ["doc_id", "th", "n", "gone"],
-            )
-
-    def united(batches):
-        from attestia.llm.common import small_batches
-
-        for batch in small_batches(batches, 1 << 20):
-            keep = []
-            for n, maps in zip(batch.column("n").to_pylist(), batch.column("maps").to_pylist(), strict=True):
-                gone = np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in maps])
-                keep.append((np.unpackbits(gone, count=n) == 0).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(keep, pa.list_(pa.bool_()))], ["doc_id", "th", "keep"])
-
-    aligned = both.select("me", "h", "w", "early").mapInArrow(align, "doc_id long, th long, n int, gone binary")
-    return durable(
-        aligned.groupBy("doc_id", "th")
-        .agg(F.max("n").alias("n"), F.collect_set("gone").alias("maps"))  # at most one map for each of its own lines
-        .mapInArrow(united, "doc_id long, th long, keep array<boolean>"),
-        "removals",
-    )
-
-
 def windows(h: np.ndarray, w: np.ndarray, block_words: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First line, end and hash of the least runs of lines with enough words, from each line on and up to each line."""
     n = len(h)
@@ -214,55 +165,84 @@ def windows(h: np.ndarray, w: np.ndarray, block_words: int = BLOCK_WORDS) -> tup
     return first, last, key.view(np.int64)
 
 
-def run_removals(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Like `removals`, for the lines in runs that any earlier document has."""
+BLOCKS = "array<struct<start:int,end:int,of:long,of_th:long,of_start:int,moved:boolean>>"
+
+
+def common_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, th, n_lines, keep (one boolean for each line) and blocks of the documents that lose lines, as a written table.
+
+    A block names its lines (start, end), the earlier document and its first line there, and whether it is moved.
+    """
     ready(docs.sparkSession)
 
     def cut(batches):
         from attestia.llm import linededup
+        from attestia.llm.common import freed
 
-        for batch in batches:
-            h, w = batch.column("h"), batch.column("w")
-            hashes, words, ends = h.flatten().to_numpy(), w.flatten().to_numpy(), np.cumsum([0, *h.value_lengths().to_pylist()])
-            found = [linededup.windows(hashes[a:b], words[a:b], block_words) for a, b in zip(ends, ends[1:], strict=False)]
-            offsets = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]), pa.int32())
-            first, last, key = (np.concatenate([f[k] for f in found]) if found else [] for k in range(3))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((first, pa.int32()), (last, pa.int32()), (key, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), h.value_lengths(), *lists], ["doc_id", "th", "n", "s", "e", "k"])
-
-    def united(batches):
-        for batch in batches:
-            keep = []
-            for n, runs in zip(batch.column("n").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                depth = np.zeros(n + 1, np.int64)
-                for r in runs:
-                    depth[r["s"]] += 1
-                    depth[r["e"]] -= 1
-                keep.append((np.cumsum(depth)[:n] == 0).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(keep, pa.list_(pa.bool_()))], ["doc_id", "th", "keep"])
+        yield from freed(linededup.window_batch(batch, block_words) for batch in batches)
+
+    def align(batches):
+        from attestia.llm import linededup
+        from attestia.llm.common import freed, small_batches
+
+        yield from freed(linededup.align_batch(batch) for batch in small_batches(batches, 1 << 20))
 
     cuts = durable(
         lines_of(docs).mapInArrow(cut, "doc_id long, th long, n int, s array<int>, e array<int>, k array<long>").filter(F.size("k") > 0), "windows"
     )
     me = F.struct("doc_id", "th").alias("me")
     held = cuts.select(me, "n", F.explode(F.arrays_zip("s", "e", "k")).alias("run"))
-    keys = cuts.select(me, F.explode(F.array_distinct("k")).alias("k"))
-    firsts = durable(keys.groupBy("k").agg(F.min("me").alias("first"), F.max("me").alias("last")).filter("first < last").select("k", "first"), "firsts")
-    shared = lookup(held.select("me", "n", F.struct("run.s", "run.e").alias("run"), "run.k"), firsts, "k", F.col("me")).filter("first < me")
+    place = F.struct("doc_id", "th", "run.s").alias("place")
+    keys = cuts.select("doc_id", "th", F.explode(F.arrays_zip("s", "k")).alias("run")).select(F.col("run.k").alias("k"), place)
+    spread = keys.groupBy("k").agg(F.min("place").alias("first"), F.max(F.struct("place.doc_id", "place.th")).alias("last"))
+    firsts = durable(spread.filter(F.struct("first.doc_id", "first.th") < F.col("last")).select("k", "first"), "firsts")
+    shared = lookup(held.select("me", "n", "run.s", "run.e", "run.k"), firsts, "k", F.struct("me", "s")).filter(
+        F.col("first").isNotNull() & (F.struct("first.doc_id", "first.th") < F.col("me"))
+    )
+    run = F.struct("s", "e", F.col("first.doc_id").alias("of"), F.col("first.th").alias("of_th"), F.col("first.s").alias("of_start"))
     return durable(
         shared.groupBy("me")
-        .agg(F.max("n").alias("n"), F.collect_set("run").alias("runs"))  # at most two runs for each of its own lines
+        .agg(F.max("n").alias("n"), F.collect_set(run).alias("runs"))  # at most two runs for each of its own lines
         .select("me.doc_id", "me.th", "n", "runs")
-        .mapInArrow(united, "doc_id long, th long, keep array<boolean>"),
-        "removals",
+        .mapInArrow(align, f"doc_id long, th long, n_lines int, keep array<boolean>, blocks {BLOCKS}"),
+        "blocks",
+    )
+
+
+def window_batch(batch: pa.RecordBatch, block_words: int) -> pa.RecordBatch:
+    """The least runs of the documents of a batch."""
+    h, w = batch.column("h"), batch.column("w")
+    hashes, words, ends = h.flatten().to_numpy(), w.flatten().to_numpy(), np.cumsum([0, *h.value_lengths().to_pylist()])
+    found = [windows(hashes[a:b], words[a:b], block_words) for a, b in zip(ends, ends[1:], strict=False)]
+    offsets = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]), pa.int32())
+    first, last, key = (np.concatenate([f[k] for f in found]) if found else [] for k in range(3))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((first, pa.int32()), (last, pa.int32()), (key, pa.int64()))]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), h.value_lengths(), *lists], ["doc_id", "th", "n", "s", "e", "k"])
+
+
+def align_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The alignments of the documents of a batch with the first holders of their runs."""
+    keep, blocks = [], []
+    for n, runs in zip(batch.column("n").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+        partners: dict[tuple[int, int], list] = {}
+        for r in runs:
+            partners.setdefault((r["of"], r["of_th"]), []).append((r["s"], r["e"], r["of_start"]))
+        found = sorted((s, e, *p, f, moved) for p, own in partners.items() for s, e, f, moved in aligned(own))
+        left = np.ones(n, bool)
+        for s, e, *_ in found:
+            left[s:e] = False
+        keep.append(left.tolist())
+        blocks.append([dict(zip(("start", "end", "of", "of_th", "of_start", "moved"), b, strict=True)) for b in found])
+    kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("of", pa.int64()), ("of_th", pa.int64()), ("of_start", pa.int32()), ("moved", pa.bool_())])
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc_id"), batch.column("th"), batch.column("n"), pa.array(keep, pa.list_(pa.bool_())), pa.array(blocks, pa.list_(kind))],
+        ["doc_id", "th", "n_lines", "keep", "blocks"],
     )
 
 
-def dedup(
-    docs: DataFrame, line_words: int = LINE_WORDS, block_words: int = BLOCK_WORDS, count: bool = False, every: bool = False
-) -> DataFrame:
+def dedup(docs: DataFrame, block_words: int = BLOCK_WORDS, count: bool = False) -> DataFrame:
     """The documents with their own columns, `text` without the deleted lines; with n_lines and n_removed if `count`."""
-    found = run_removals(docs, block_words) if every else removals(docs, line_words, block_words)
+    found = common_blocks(docs, block_words)
     marks = found.select(F.struct("doc_id", "th").alias("me"), "keep")
     me = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
     lines = F.split(F.col("row")["text"].cast("string"), "\n", -1)
@@ -270,4 +250,5 @@ def dedup(
     text = F.when(F.col("keep").isNull(), F.col("row")["text"].cast("string")).otherwise(kept)
     told = [F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(F.size(F.filter("keep", lambda x: ~x)), F.lit(0)).alias("n_removed")]
     joined = lookup(docs.select(F.struct("*").alias("row"), me.alias("me")), marks, "me", F.col("me"), 1)
-    return joined.select(*[(text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns], *(told if count else []))
+    own = [c for c in docs.columns if not (count and c in ("n_lines", "n_removed"))]
+    return joined.select(*[(text if c == "text" else F.col("row")[c]).alias(c) for c in own], *(told if count else []))

@@ -27,21 +27,21 @@ def words(n, seed):
     return " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
 
 
-def brute(rows, block_words=L.BLOCK_WORDS, line_words=L.LINE_WORDS):
-    """(doc_id, text) -> text after removal, for unique doc_ids, by comparing lines directly."""
+def brute_runs(rows, block_words=L.BLOCK_WORDS):
+    """(doc_id, text) -> text without the lines in any run of enough words that any earlier document has, by comparing all pairs."""
     docs = sorted((i, t.split("\n")) for i, t in rows if i is not None and t is not None)
-    first = {}
-    for i, lines in docs:
-        for x in lines:
-            if len(x.split()) >= line_words:
-                first.setdefault(x.strip(), i)
-    by = dict(docs)
     out = {}
     for i, lines in docs:
-        gone = set()
-        for p in {first[x.strip()] for x in lines if len(x.split()) >= line_words} - {i}:
-            mine, theirs = [x.strip() for x in lines], [x.strip() for x in by[p]]
-            gone |= set(L.common_lines(mine, theirs, [len(x.split()) for x in lines], block_words).nonzero()[0].tolist())
+        mine, count, gone = [x.strip() for x in lines], [len(x.split()) for x in lines], set()
+        for j, other in docs:
+            theirs = [x.strip() for x in other]
+            for a in range(len(mine) if j < i else 0):
+                for b in range(len(theirs)):
+                    k = 0
+                    while a + k < len(mine) and b + k < len(theirs) and mine[a + k] == theirs[b + k]:
+                        k += 1
+                    if sum(count[a : a + k]) >= block_words:
+                        gone |= set(range(a, a + k))
         out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
 
@@ -55,11 +55,13 @@ def test_against_brute_force(spark):
     rows += [(300, ""), (301, None), (302, "\n\n")]
     docs = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, keep string, me int")
     got = {x.doc_id: x for x in L.dedup(docs, count=True).collect()}
-    want = brute(rows)
+    want = brute_runs(rows)
     assert {i: x.text for i, x in got.items() if i in want} == want
     assert got[301].text is None and got[301].n_lines == 0 and got[300].text == ""
     assert sum(x.n_removed > 0 for x in got.values()) > 50
     assert L.dedup(docs).columns == docs.columns
+    clash = L.dedup(docs.withColumnRenamed("me", "n_lines"), count=True)
+    assert sorted(clash.columns) == ["doc_id", "keep", "n_lines", "n_removed", "text"]
 
 
 def test_repeats_nulls_and_empty_tables(spark):
@@ -71,23 +73,41 @@ def test_repeats_nulls_and_empty_tables(spark):
     assert L.dedup(docs.limit(0)).count() == 0
 
 
-def brute_runs(rows, block_words=L.BLOCK_WORDS):
-    """(doc_id, text) -> text without the lines in any run of enough words that any earlier document has, by comparing all pairs."""
-    docs = sorted((i, t.split("\n")) for i, t in rows if i is not None and t is not None)
-    out = {}
-    for i, lines in docs:
-        mine, count, gone = [x.strip() for x in lines], [len(x.split()) for x in lines], set()
-        for j, other in docs:
-            theirs = [x.strip() for x in other]
-            for a in range(len(mine) if j < i else 0):
-                for b in range(len(theirs)):
-                    k = 0
-                    while a + k < len(mine) and b + k < len(theirs) and mine[a + k] == theirs[b + k]:
-                        k += 1
-                    if sum(count[a : a + k]) >= block_words:
-                        gone |= set(range(a, a + k))
-        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
-    return out
+def test_blocks_name_their_partner(spark):
+    x, y, z, u = (words(15, k) for k in (103, 104, 105, 106))
+    rows = [(1, "\n".join([x, "gap", y, z])), (2, "\n".join([z, "own", x, "more", y])), (3, "\n".join([u, x])), (4, "\n".join([x, u]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: sorted((b.start, b.end, b.of, b.of_start, b.moved) for b in r.blocks) for r in L.common_blocks(docs).collect()}
+    assert set(got) == {2, 3, 4}
+    assert [b[:4] for b in got[2]] == [(0, 1, 1, 3), (2, 3, 1, 0), (4, 5, 1, 2)]
+    assert [b[4] for b in got[2]] == [True, False, False]  # x and y keep their order, z is moved
+    assert [b[:4] for b in got[4]] == [(0, 1, 1, 0), (1, 2, 3, 0)]  # two partners
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 20), st.integers(1, 3), st.integers(0, 20)), max_size=30))
+def test_every_shared_run_lies_in_a_block(found):
+    runs = [(s, s + n, f) for s, n, f in set(found)]
+    blocks = L.aligned(runs)
+    assert all(any(a <= s and e <= b and f - s == g - a for a, b, g, _ in blocks) for s, e, f in runs)
+    assert {i for a, b, _, _ in blocks for i in range(a, b)} == {i for s, e, _ in runs for i in range(s, e)}
+    order = [(a, g) for a, _, g, moved in blocks if not moved]
+    assert order == sorted(order) and sorted(g for _, g in order) == [g for _, g in order]
+
+
+def test_a_document_of_many_lines(spark):
+    lines = [words(11, k) for k in range(3000)]
+    long = "\n".join(lines[k % 3000] + ("" if k < 3000 else " x") for k in range(100_000))
+    rows = [(k, lines[k]) for k in range(3000)] + [(9000, long), (9001, "own\n" + long)]
+    got = {x.doc_id: x for x in L.dedup(spark.createDataFrame(rows, "doc_id long, text string"), count=True).collect()}
+    assert got[9000].n_lines == 100_000 and got[9000].n_removed == 3000  # each with a first holder of its own
+    assert got[9001].text == "own" and got[9001].n_removed == 100_000
+
+
+def test_scripts_without_spaces(spark):
+    line = "今日は天気がとても良いので散歩に出かけました"
+    docs = spark.createDataFrame([(1, line + "\n終"), (2, "別\n" + line), (3, "短い")], "doc_id long, text string")
+    assert {d.doc_id: d.text for d in L.dedup(docs).collect()} == {1: line + "\n終", 2: "別", 3: "短い"}
 
 
 def test_every_earlier_holder_counts(spark):
@@ -99,14 +119,14 @@ def test_every_earlier_holder_counts(spark):
     rows += [(200, p + "\n" + words(4, 110)), (201, q + "\n" + words(4, 111)), (202, words(4, 112) + "\n" + p + "\n" + q), (203, p + "\n" + q + "\nown")]
     rows += [(210, "\n".join([x, y, z])), (211, "\n".join([z, "own", x, "more", y])), (300, ""), (301, None), (302, "\n\n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {d.doc_id: d.text for d in L.dedup(docs, every=True).collect()}
+    got = {d.doc_id: d.text for d in L.dedup(docs).collect()}
     want = brute_runs(rows)
     assert {i: t for i, t in got.items() if i in want} == want and got[301] is None
     assert got[202] == rows[92][1] and got[203] == "own"  # only 202, no first holder of a line, has both
     assert got[211] == "own\nmore"
     again = spark.createDataFrame([(1, x + "\n" + y), (2, x), (2, x), (2, y + "\nother"), (None, x)], "doc_id long, text string")
-    assert sorted((d.doc_id or 0, d.text) for d in L.dedup(again, every=True).collect()) == [(0, x), (1, x + "\n" + y), (2, ""), (2, ""), (2, "other")]
-    assert L.dedup(docs.limit(0), every=True).count() == 0
+    assert sorted((d.doc_id or 0, d.text) for d in L.dedup(again).collect()) == [(0, x), (1, x + "\n" + y), (2, ""), (2, ""), (2, "other")]
+    assert L.dedup(docs.limit(0)).count() == 0
 
 
 def test_repeated_passages_align(spark):
@@ -116,11 +136,10 @@ def test_repeated_passages_align(spark):
     p = words(60, 1)
     rows = [(1, p + "\nk"), (2, f"a\n{p}\nb\n{p}\nc"), (3, f"{p}\nd\n{p}"), (4, f"e\n{p}\nf")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {d.doc_id: d.text for d in L.dedup(docs, every=True).collect()} == {1: rows[0][1], 2: "a\nb\nc", 3: "d", 4: "e\nf"}
-    assert {d.doc_id: d.text for d in L.dedup(docs).collect()} == {1: rows[0][1], 2: f"a\nb\n{p}\nc", 3: f"d\n{p}", 4: "e\nf"}
+    assert {d.doc_id: d.text for d in L.dedup(docs).collect()} == {1: rows[0][1], 2: "a\nb\nc", 3: "d", 4: "e\nf"}
 
 
 def test_runs_of_short_lines_link(spark):
     verse = "\n".join(words(1, 500 + k) for k in range(12))
     docs = spark.createDataFrame([(1, verse), (2, "own\n" + verse)], "doc_id long, text string")
-    assert {d.doc_id: d.text for d in L.dedup(docs, every=True).collect()} == {1: verse, 2: "own"}
+    assert {d.doc_id: d.text for d in L.dedup(docs).collect()} == {1: verse, 2: "own"}
