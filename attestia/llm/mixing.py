@@ -5,12 +5,14 @@ source has served up to and including it, divided by the source's weight. Sortin
 and cutting at the word budget serves every source in proportion to its weight until it runs out of epochs,
 and what it leaves is shared by the rest in proportion to theirs.
 
-No source's rows meet in one task: running sums are taken within small hash buckets of a source, then over
-bucket totals, and for the global cut within range partitions, then over partition totals.
+No source's rows, and no doc_id's, meet in one task: running sums are taken within range partitions of a total order
+(of a source, then of the whole queue), then over the partitions' totals.
 
 Defined results: a null or empty text has size 0, takes no words and is kept in the manifest; a null source is
-a source of its own, ordered last; rows that repeat a doc_id are separate rows; an empty table gives an empty
-result; further columns of the input are ignored.
+a source of its own, ordered last; rows that repeat a doc_id (null too) are separate rows, ordered by size and by a hash
+of their text, so that the order of the input does not matter; rows equal in all these are interchangeable; a very
+long document is one item, of which the mix takes all or nothing; an empty table gives an empty result; further
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +25,6 @@ from pyspark.sql import functions as F
 from attestia.llm.common import BROADCAST_ROWS, WORD, durable, lookup, ready, shuffle_width
 
 SEED = "mix"
-#: Rows of one source and epoch that one bucket may hold on average.
-BUCKET_ROWS = 100_000
 
 
 def words_in(text: Column) -> Column:
@@ -69,33 +69,43 @@ def targets(sized: DataFrame, weigh, ratio: float, cap: float) -> DataFrame:
     )
 
 
+def ranged(rows: DataFrame, order: list[str], width: int) -> DataFrame:
+    """The rows, written in range partitions of a total order, with `place`: the number of their partition."""
+    placed = rows.repartitionByRange(width, *order).withColumn("place", F.spark_partition_id())
+    return durable(placed, "mix-ranged")
+
+
 def running(rows: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """`out`: the sum of `value` over all rows up to this one in (group[:-1]), group[-1] being an ordered bucket."""
-    totals = durable(rows.groupBy(*group).agg(F.sum(value).alias("_t")), "mix-totals")
-    wider = Window.partitionBy(*group[:-1]) if group[:-1] else Window.partitionBy()
+    """`out`: the sum of `value` over all rows of a group up to this one, of rows in range partitions (`place`)."""
+    totals = durable(rows.groupBy(*group, "place").agg(F.sum(value).alias("_t")), "mix-totals")
     before = totals.select(
         *group,
+        "place",
         F.coalesce(
-            F.sum("_t").over(wider.orderBy(group[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+            F.sum("_t").over(Window.partitionBy(*group).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("_before"),
     )
-    within = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*group, "place").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     if totals.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         before = F.broadcast(before)
     return (
         rows.withColumn("_in", F.sum(value).over(within))
-        .join(before, group, "left")
+        .join(before, [*group, "place"], "left")
         .withColumn(out, F.col("_before") + F.col("_in"))
         .drop("_in", "_before")
     )
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def mix(docs: DataFrame, weigh, ratio: float = 1.5, cap: float = 2.0, seed: str = SEED) -> DataFrame:
     """The mix as a manifest: one row for each document and epoch.
 
-    Columns: rid (row of the input), doc_id, skey, size, source_size, weight, target, epoch, finish (virtual time),
-    place (range partition; the manifest is sorted by finish over places) and taken (within the budget).
-    `weigh` adds a positive `weight` to a DataFrame of sources; `cap` bounds how often a source may be read.
+    Columns: rid (row of the input), doc_id, skey, th (hash of the text), size, source_size, weight, target, epoch,
+    finish (virtual time), place (range partition; the manifest is sorted by finish over places) and taken (within the
+    budget). `weigh` adds a positive `weight` to a DataFrame of sources; `cap` bounds how often a source may be read.
     """
     spark = docs.sparkSession
     ready(spark)
@@ -105,31 +115,24 @@ def mix(docs: DataFrame, weigh, ratio: float = 1.5, cap: float = 2.0, seed: str
             "doc_id",
             source_key(F.col("source")).alias("skey"),
             words_in(F.col("text")).alias("size"),
+            text_hash(F.col("text")).alias("th"),
         ),
         "mix-sized",
     )
     sources = durable(targets(sized, weigh, ratio, cap), "mix-sources")
-    hottest = sources.agg(F.max("n")).first()[0] or 0
-    digits = max(2, math.ceil(math.log(max(1, hottest / BUCKET_ROWS), 16)))
+    width = shuffle_width(spark, sized)
     name = F.concat_ws(":", F.lit(seed), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    turn = ["_h", "doc_id", "size", "th", "rid"]  # rid only tells equal rows apart, so that they have different places
     rows = (
         lookup(sized, sources.drop("n"), "skey", F.col("rid"))
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(cap) - 1))))
-        .withColumn("_h", F.md5(name))
-        .withColumn("_b", F.substring("_h", 1, digits))
+        .withColumn("_h", F.unhex(F.md5(name)))
     )
-    rows = running(rows, ["skey", "epoch", "_b"], ["_h", "doc_id", "rid"], "size", "served")
+    rows = running(ranged(rows, ["skey", "epoch", *turn], width), ["skey", "epoch"], turn, "size", "served").drop("place")
     rows = rows.withColumn("served", F.col("served") + F.col("epoch") * F.col("source_size"))
     rows = rows.withColumn("finish", F.col("served").cast("double") / F.col("weight"))
-    order = ["finish", "skey", "epoch", "_h", "doc_id", "rid"]
-    ranged = durable(
-        rows.select("rid", "doc_id", "skey", "size", "source_size", "weight", "target", "budget", "served", *[c for c in order if c in ("finish", "epoch", "_h")])
-        .repartitionByRange(shuffle_width(spark, sized), *order)
-        .sortWithinPartitions(*order)
-        .withColumn("place", F.spark_partition_id()),
-        "mix-ranged",
-    )
-    cut = running(ranged, ["place"], order, "size", "spent")
+    order = ["finish", "skey", "epoch", *turn]
+    cut = running(ranged(rows, order, width), [], order, "size", "spent")
     inside = (F.col("spent").cast("double") <= F.col("budget")) & (
         F.col("served").cast("double") <= F.lit(float(cap)) * F.col("source_size").cast("double")
     )
@@ -154,17 +157,22 @@ def taken_words(manifest: DataFrame) -> DataFrame:
 def take(docs: DataFrame, manifest: DataFrame) -> DataFrame:
     """The mixed documents with their own columns, a document repeated as often as the mix takes it.
 
-    Documents of no words are in the mix as often as their virtual time says. Rows that share a doc_id are taken
-    as often as the most-taken of them; rows without a doc_id are taken once.
+    Documents of no words are in the mix as often as their virtual time says. Rows of one doc_id, source and text
+    (null doc_ids too) are interchangeable: they share what the mix takes of them, none more than one time more
+    than another.
     """
+    key = ["doc_id", "skey", "th"]
     copies = durable(
-        manifest.filter("taken and doc_id is not null")
-        .groupBy("doc_id", "rid")
-        .agg(F.count(F.lit(1)).cast("int").alias("_n"))
-        .groupBy("doc_id")
-        .agg(F.max("_n").alias("_n")),
+        manifest.groupBy(*key)
+        .agg(F.sum(F.col("taken").cast("long")).alias("_n"), F.sum((F.col("epoch") == 0).cast("long")).alias("_rows"))
+        .select(F.struct(*key).alias("me"), F.floor(F.col("_n") / F.col("_rows")).cast("int").alias("_each"), (F.col("_n") % F.col("_rows")).cast("int").alias("_more")),
         "mix-copies",
     )
-    times = F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.coalesce("_n", F.lit(0)))
-    rows = docs.select(F.struct("*").alias("row"), "doc_id")
-    return lookup(rows, copies, "doc_id", F.col("doc_id"), 1).select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
+    me = F.struct(F.col("doc_id"), source_key(F.col("source")).alias("skey"), text_hash(F.col("text")).alias("th"))
+    rows = lookup(docs.select(F.struct("*").alias("row"), me.alias("me")), copies, "me", F.col("me"), 1)
+    even = rows.filter("_more = 0").select("row", F.col("_each").alias("_times"))
+    if copies.filter("_more > 0").limit(1).count():  # equal rows that are not taken equally often
+        turn = F.row_number().over(Window.partitionBy("me").orderBy(F.lit(0)))
+        odd = rows.filter("_more > 0").withColumn("_times", F.col("_each") + (turn <= F.col("_more")).cast("int"))
+        even = even.unionByName(odd.select("row", "_times"))
+    return even.select("row", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select("row.*")

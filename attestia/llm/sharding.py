@@ -2,15 +2,19 @@
 
 Groups (equal texts by default) are sorted by size and each enters the bin with the tightest remaining capacity
 that still holds it, found in a balanced tree of remaining capacities. `pack` minimises the number of bins of a
-given capacity; `spread` searches the smallest capacity for which a given number of bins suffices, which makes
-the shards nearly equal.
+given capacity (`shard` with `capacity`); `spread` searches the smallest capacity for which a given number of bins
+suffices, which makes the shards nearly equal.
 
 At any input size the packing handles a bounded number of items: groups of at least 1/BIG of all bytes are items
 of their own (at most BIG of them), all smaller groups are first joined by hash into PARCELS parcels, themselves
 indivisible. Only those item sizes reach the driver.
 
+Slots follow doc_id and group in every shard; they are numbered within range partitions, so that neither a shard nor
+the rows of one doc_id meet in a task.
+
 Defined results: null and empty texts form one group, each row of size 1; rows may repeat, also in doc_id (null
-too), and each gets its own slot; an empty table gives an empty result; other columns are ignored.
+too), and each gets its own slot; a very long text is an item like any other, and one above the capacity has a shard to
+itself; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,11 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestia.llm.common import BROADCAST_ROWS, durable, ready
+from attestia.llm.common import BROADCAST_ROWS, durable, ready, shuffle_width
 
 BIG, PARCELS = 16_384, 4_096
-#: Rows that one slot bucket may hold on average, and the fewest buckets of a shard.
-SLOT_ROWS, SLOT_BUCKETS = 50_000, 64
 
 
 class _Node:
@@ -157,8 +159,11 @@ def spread(sizes: list[int], bins: int, rounds: int = 24) -> list[int]:
     return where
 
 
-def shard(docs: DataFrame, shards: int = 8, text: str = "text", key: Column | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, group (binary digest), shard and slot (gapless in a shard, from 0) of every row."""
+def shard(docs: DataFrame, shards: int = 8, text: str = "text", key: Column | None = None, capacity: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, group (binary digest), shard and slot (gapless in a shard, from 0) of every row.
+
+    `shards` of nearly equal bytes, or as few as best-fit-decreasing finds of `capacity` bytes each.
+    """
     spark = docs.sparkSession
     ready(spark)
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8")
@@ -168,6 +173,7 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text", key: Column | No
             (F.octet_length(body) + 1).cast("long").alias("size"),
             F.crc32(body).alias("text_crc32"),
             F.unhex(F.md5(F.encode(key.cast("string"), "utf-8") if key is not None else body)).alias("group"),
+            F.monotonically_increasing_id().alias("rid"),
         ),
         "shard-rows",
     )
@@ -177,7 +183,8 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text", key: Column | No
     is_big = F.col("bytes") * BIG >= total
     big = groups.filter(is_big).collect()  # at most BIG rows, whatever the input
     small = groups.filter(~is_big).groupBy(parcel.alias("p")).agg(F.sum("bytes").alias("bytes")).collect()
-    where = spread([r["bytes"] for r in big] + [r["bytes"] for r in small], shards)
+    sizes = [r["bytes"] for r in big] + [r["bytes"] for r in small]
+    where = spread(sizes, shards) if capacity is None else pack(sizes, capacity)
     big_at = spark.createDataFrame(
         [(bytes(r["group"]), s) for r, s in zip(big, where, strict=False)], "group binary, _s int"
     )
@@ -187,18 +194,19 @@ def shard(docs: DataFrame, shards: int = 8, text: str = "text", key: Column | No
     placed = rows.join(F.broadcast(big_at), "group", "left").withColumn(
         "shard", F.coalesce("_s", F.element_at(F.lit(of_parcel), parcel + 1)).cast("int")
     )
-    n = rows.count()
-    buckets = max(SLOT_BUCKETS, -(-n // (shards * SLOT_ROWS)))
-    placed = placed.drop("_s").withColumn("_b", F.pmod(F.xxhash64("doc_id", "group"), F.lit(buckets)).cast("int"))
-    counts = durable(placed.groupBy("shard", "_b").agg(F.count(F.lit(1)).alias("_n")), "shard-counts")
-    prior = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    start = counts.select("shard", "_b", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_from"))
-    if buckets * shards <= BROADCAST_ROWS:
+    order = ["doc_id", "group", "rid"]  # rid only tells equal rows apart
+    placed = durable(
+        placed.drop("_s").repartitionByRange(shuffle_width(spark, rows), "shard", *order).withColumn("place", F.spark_partition_id()), "shard-placed"
+    )
+    counts = durable(placed.groupBy("shard", "place").agg(F.count(F.lit(1)).alias("_n")), "shard-counts")
+    prior = Window.partitionBy("shard").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    start = counts.select("shard", "place", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_from"))
+    if counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         start = F.broadcast(start)
-    turn = F.row_number().over(Window.partitionBy("shard", "_b").orderBy("doc_id", "group"))
+    turn = F.row_number().over(Window.partitionBy("shard", "place").orderBy(*order))
     return (
         placed.withColumn("_i", turn - 1)
-        .join(start, ["shard", "_b"], "left")
+        .join(start, ["shard", "place"], "left")
         .withColumn("slot", F.col("_from") + F.col("_i"))
         .select("doc_id", "size", "text_crc32", "group", "shard", "slot")
     )

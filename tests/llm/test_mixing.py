@@ -73,3 +73,31 @@ def test_take_repeats_rows(spark):
     copies = {x.doc_id: x["count"] for x in mixing.take(docs, manifest).groupBy("doc_id").count().collect()}
     assert copies == {i: n // 10 for i, n in words.items() if n}
     assert max(copies.values()) == 2
+
+
+def test_the_order_of_the_input_does_not_matter(spark):
+    r = random.Random(4)
+    rows = [(r.choice([1, 2, None, i]), r.choice(["a", "b"]), r.choice([0, 10, 30, 50])) for i in range(300)]
+    rows += [(None, "a", n) for n in range(1, 200)]  # one key with many rows
+    seen = []
+    for _ in range(2):
+        r.shuffle(rows)
+        docs = frame(spark, rows).repartition(r.randint(1, 9))
+        seen.append(sorted(map(str, mixing.taken_words(mixing.mix(docs, mixing.cyclic_weights((3, 1)))).collect())))
+    assert seen[0] == seen[1]
+
+
+def test_no_id_meets_in_one_task(spark):
+    rows = [(None if i % 2 else i, "a", 1 + i % 7) for i in range(4000)]
+    manifest = mixing.mix(frame(spark, rows), mixing.cyclic_weights((1,)))
+    most = manifest.filter("doc_id is null").groupBy("place").count().agg(F.max("count")).first()[0]
+    assert most < 0.6 * 4000  # of 4,000 rows in two epochs, over four places
+
+
+def test_take_shares_what_equal_rows_are_taken(spark):
+    rows = [(None, "a", 10)] * 5 + [(1, "a", 10), (1, "a", 20), (1, "b", 20), (2, "b", 300)]
+    docs = frame(spark, rows)
+    manifest = mixing.mix(docs, mixing.cyclic_weights((1, 5)))
+    words = mixing.taken_words(manifest).agg(F.sum("taken")).first()[0]
+    got = mixing.take(docs, manifest)
+    assert got.agg(F.sum(F.size(F.split("text", " ")))).first()[0] == words

@@ -67,3 +67,35 @@ def test_stages(spark, tmp_path):
 
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(str, whole.collect())) == sorted(map(str, seen[5]))
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, node int, gone boolean"
+
+
+def odd_rows():
+    r = random.Random(3)
+    a, b, c, d = (test_langid.text("en", 40, r) for _ in range(4))
+    rows = [(1, a), (1, b), (1, b), (2, a + " the"), (None, c), (None, c), (3, c), (None, d), (4, None), (5, ""), (6, test_langid.text("en", 30_000, r))]
+    rows += [(10 + i, test_langid.text("en", 30, r)) for i in range(40)]
+    return [(i, t, "en", "s", 0, "x", 7, True) for i, t in rows], (a, b, c, d)
+
+
+def test_rows_that_repeat_ids_or_have_none(spark):
+    rows, (a, b, c, d) = odd_rows()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    left = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((str(x.doc_id), x.text) for x in left if x.doc_id in (1, 2, 3) or x.doc_id is None) == sorted([("1", a), ("1", b), ("3", c), ("None", d)])
+    assert {4, 5, 6} <= {x.doc_id for x in left} and len(left) == len(rows) - 4
+
+
+def test_stages_of_odd_and_empty_tables(spark, tmp_path):
+    rows, _ = odd_rows()
+    for n, docs in enumerate([spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], SCHEMA)]):
+        docs.write.parquet(str(tmp_path / f"{n}" / "documents.parquet"))
+        docs = spark.read.parquet(str(tmp_path / f"{n}" / "documents.parquet"))
+        for k, (name, f) in enumerate(corpus_pipeline.STAGES):
+            f(spark, docs, "").write.parquet(str(tmp_path / f"{n}" / f"stage{k}"))
+            after = spark.read.parquet(str(tmp_path / f"{n}" / f"stage{k}"))
+            assert k == 4 or after.columns == docs.columns, name
+            docs = after
+        assert (docs.count() > 30) == (n == 0)
