@@ -69,13 +69,13 @@ def targets(sized: DataFrame, weigh, ratio: float, cap: float) -> DataFrame:
     )
 
 
-def ranged(rows: DataFrame, order: list[str], width: int) -> DataFrame:
+def ranged(rows: DataFrame, order: list, width: int) -> DataFrame:
     """The rows, written in range partitions of a total order, with `place`: the number of their partition."""
     placed = rows.repartitionByRange(width, *order).withColumn("place", F.spark_partition_id())
     return durable(placed, "mix-ranged")
 
 
-def running(rows: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+def running(rows: DataFrame, group: list[str], order: list, value: str, out: str) -> DataFrame:
     """`out`: the sum of `value` over all rows of a group up to this one, of rows in range partitions (`place`)."""
     totals = durable(rows.groupBy(*group, "place").agg(F.sum(value).alias("_t")), "mix-totals")
     before = totals.select(
@@ -122,21 +122,20 @@ def mix(docs: DataFrame, weigh, ratio: float = 1.5, cap: float = 2.0, seed: str
     sources = durable(targets(sized, weigh, ratio, cap), "mix-sources")
     width = shuffle_width(spark, sized)
     name = F.concat_ws(":", F.lit(seed), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    turn = ["_h", "doc_id", "size", "th", "rid"]  # rid only tells equal rows apart, so that they have different places
-    rows = (
-        lookup(sized, sources.drop("n"), "skey", F.col("rid"))
-        .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(cap) - 1))))
-        .withColumn("_h", F.unhex(F.md5(name)))
+    # Equal rows differ in rid alone, so that they have different places; only narrow columns travel.
+    turn = [F.unhex(F.md5(name)), F.col("doc_id"), F.col("size"), F.col("th"), F.col("rid")]
+    rows = sized.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(cap) - 1))))
+    rows = running(ranged(rows, ["skey", "epoch", *turn], width), ["skey", "epoch"], turn, "size", "_served").drop("place")
+    served = F.col("_served") + F.col("epoch") * F.col("source_size")
+    rows = lookup(rows, sources.select("skey", "source_size", "weight"), "skey", F.col("rid")).select(
+        *sized.columns, "epoch", served.alias("served"), (served.cast("double") / F.col("weight")).alias("finish")
     )
-    rows = running(ranged(rows, ["skey", "epoch", *turn], width), ["skey", "epoch"], turn, "size", "served").drop("place")
-    rows = rows.withColumn("served", F.col("served") + F.col("epoch") * F.col("source_size"))
-    rows = rows.withColumn("finish", F.col("served").cast("double") / F.col("weight"))
     order = ["finish", "skey", "epoch", *turn]
-    cut = running(ranged(rows, order, width), [], order, "size", "spent")
+    cut = lookup(running(ranged(rows, order, width), [], order, "size", "spent"), sources.drop("n"), "skey", F.col("rid"))
     inside = (F.col("spent").cast("double") <= F.col("budget")) & (
         F.col("served").cast("double") <= F.lit(float(cap)) * F.col("source_size").cast("double")
     )
-    return cut.withColumn("taken", inside).drop("budget", "served", "_h")
+    return cut.withColumn("taken", inside).drop("budget", "served")
 
 
 def taken_words(manifest: DataFrame) -> DataFrame:
