@@ -45,4 +45,4 @@ def test_shards(spark):
 
 def test_removals_of_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert linededup.removals(docs).count() == 0 and suffixdedup.repeats(docs).count() == 0
+    assert linededup.common_blocks(docs).count() == 0 and suffixdedup.repeats(docs).count() == 0
