@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,8 +32,21 @@ def rowset_profile(rows: DataFrame, *columns: str) -> DataFrame:
     )
 
 
-def rowset_tree(rows: DataFrame, *columns: str, digits: int = 2) -> DataFrame:
-    """Like `rowset_profile` for tables of any size: a digest over the digests of hash ranges of the rows."""
+#: Rows of a leaf of `rowset_tree`, on average, beyond which its ranges are divided again.
+LEAF_ROWS = 1_000_000
+
+
+def leaf_digits(n: int) -> int:
+    """Hash digits that name a range of LEAF_ROWS rows or fewer: two at least, so 256 ranges up to 256 million rows."""
+    return max(2, math.ceil(math.log(max(1, n / LEAF_ROWS), 16)))
+
+
+def rowset_tree(rows: DataFrame, *columns: str, digits: int | None = None) -> DataFrame:
+    """Like `rowset_profile` for tables of any size: a digest over the digests of hash ranges of the rows.
+
+    The number of ranges follows from the number of rows, so that a range fits a task at any size.
+    """
+    digits = leaf_digits(rows.count()) if digits is None else digits
     line = F.sha2(F.concat_ws("|", *[canonical_part(F.col(c)) for c in columns]), 256)
     leaves = (
         rows.select(line.alias("line"))

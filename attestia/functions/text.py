@@ -97,6 +97,7 @@ def excerpt(c: Column, limit: int = 500) -> Column:
 
 
 def escape_html(c: Column) -> Column:
+    # Characters and their entities.
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
@@ -104,6 +105,7 @@ def escape_html(c: Column) -> Column:
 
 def escape_public(c: Column) -> Column:
     """HTML-safe text whose @ signs mention nobody."""
+    # Characters and their entities; a joiner follows each @.
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("@", "@\u200b")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c

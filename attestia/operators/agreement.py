@@ -31,8 +31,11 @@ def align(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, [*keys, "field"], "full_outer").withColumnRenamed("field", "dimension")
 
 
-def agreement(paired: DataFrame, dimension: str = "dimension") -> DataFrame:
-    """n, disagreements, raw and kappa (null where chance agreement is complete) for each dimension."""
+def agreement(paired: DataFrame, dimension: str = "dimension", dimensions: tuple[str, ...] | None = None) -> DataFrame:
+    """n, disagreements, raw and kappa (null where chance agreement is complete) for each dimension.
+
+    With `dimensions` there is a row for each of them: one without pairs agrees entirely and has no kappa.
+    """
     n, apart = F.col("n"), ~F.col("a").eqNullSafe(F.col("b"))
     cells = paired.groupBy(dimension, "a", "b").agg(F.count(F.lit(1)).alias("n"))
     # Each cell counts once for either rater's label, so that one pass gives both marginals.
@@ -47,7 +50,14 @@ def agreement(paired: DataFrame, dimension: str = "dimension") -> DataFrame:
     )
     n = F.col("n").cast("double")
     po, pe = 1 - F.col("disagreements") / n, F.col("chance") / (n * n)
-    return totals.select(dimension, "n", "disagreements", po.alias("raw"), F.when(pe != 1, (po - pe) / (1 - pe)).alias("kappa"))
+    scores = totals.select(dimension, "n", "disagreements", po.alias("raw"), F.when(pe != 1, (po - pe) / (1 - pe)).alias("kappa"))
+    if dimensions is None:
+        return scores
+    every = paired.sparkSession.createDataFrame([(d,) for d in dimensions], f"{dimension} string")
+    zero = F.lit(0).cast("long")
+    return every.join(scores, dimension, "left").select(
+        dimension, F.coalesce("n", zero).alias("n"), F.coalesce("disagreements", zero).alias("disagreements"), F.coalesce("raw", F.lit(1.0)).alias("raw"), "kappa"
+    )
 
 
 def macro(scores: DataFrame) -> DataFrame:

@@ -37,7 +37,9 @@ def root_tag(schema: Column) -> Column:
 
 def packet_root() -> Column:
     """Canonical root of a packet row."""
-    policy = F.to_json(F.struct(*[F.col("metricPolicy")[f].alias(f) for f in POLICY_FIELDS]), {"ignoreNullFields": "false"})
+    # Keys that a policy lacks are no part of it, and its whole numbers have no fraction.
+    policy = F.to_json(F.struct(*[F.col("metricPolicy")[f].alias(f) for f in POLICY_FIELDS]))
+    policy = F.regexp_replace(policy, r'"(minimumDefinedKappa|minimumRawAgreement)":(-?\d+)\.0(?=[,}])', r'"$1":$2')
     head = _parts([root_tag(F.col("schema")), F.col("schema"), *map(F.col, TASK), policy, *map(F.col, PACKET_FLAGS)])
     token = lambda t: _parts([t["id"], t["form"]])
     body = _each(F.col("sentences"), lambda s: F.concat(_parts([s["sentenceId"], s["text"]]), _each(s["tokens"], token)))

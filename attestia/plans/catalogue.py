@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from attestia.plans import grammar, nested, relational, scalar, stateful, statistics
+from attestia.plans import grammar, nested, relational, scalar, stateful, statistics, workflow
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (statistics, relational, scalar, nested, stateful, grammar):
+for _module in (statistics, relational, scalar, nested, stateful, grammar, workflow):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -22,7 +22,7 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
 
 
-_COUNTS = {"proof": (7, 2, 13), "causal": (6, 2, 13), "technical": (4, 1, 8), "json-verbal": (2, 0, 4), "functions": (0, 0, 0)}
+_COUNTS = {"market": (10, 3, 18), "reason": (3, 1, 8), "technical": (4, 1, 8), "json-verbal": (2, 0, 4), "functions": (0, 0, 0)}
 
 
 @query("select program_id, code, cast(relations as int) as relations, cast(operators as int) as operators, cast(frames as int) as frames from (values "
@@ -33,10 +33,10 @@ def grammar_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("select * from (values " + _values([
-    ("proof", "كتبَ الطالبُ الدرسَ ثم قرأَ المعلمُ الكتابَ في بيتِ العلمِ"),
-    ("causal", "كتبَ الطالبُ الدرسَ ثم قرأَ المعلمُ الكتابَ لأنَّه اجتهدَ كثيرًا"),
-    ("technical", "كتبَ الطالبُ ثم قرأَ المعلمُ الكتابَ"),
-    ("json-verbal", "كتبَ الطالبُ الدرسَ"),
+    ("market", "فتحَ الحارسُ البابَ ثم حملَ الجارُ الصندوقَ إلى سوقِ المدينةِ ثم رسمَ الأخُ الخريطةَ"),
+    ("reason", "رسمَ الأخُ الخريطةَ لأنَّه سافرَ بعيدًا"),
+    ("technical", "نامَ الطفلُ ثم فتحَ الحارسُ البابَ"),
+    ("json-verbal", "فتحَ الحارسُ البابَ"),
 ]) + ") t(program_id, text)")
 def grammar_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts rendered from the node table."""
@@ -44,18 +44,21 @@ def grammar_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("select * from (values " + _values([
-    ("proof", 0, "ConnectiveRelation", "VerbalSentence", "VerbalSentence"),
-    ("proof", 1, "Fa'il", "كتبَ", "الطالبُ"),
-    ("proof", 2, "Maf'ul", "كتبَ", "الدرسَ"),
-    ("proof", 3, "Fa'il", "قرأَ", "المعلمُ"),
-    ("proof", 4, "Maf'ul", "قرأَ", "الكتابَ"),
-    ("proof", 5, "HarfGovernance", "في", "IdafaPhrase(Ism[Jarr]: بيتِ, Ism[Jarr]: العلمِ)"),
-    ("proof", 6, "Idafa", "بيتِ", "العلمِ"),
+    ("market", 0, "ConnectiveRelation", "ConnectedSentence(ثم)", "VerbalSentence"),
+    ("market", 1, "ConnectiveRelation", "VerbalSentence", "VerbalSentence"),
+    ("market", 2, "Fa'il", "فتحَ", "الحارسُ"),
+    ("market", 3, "Maf'ul", "فتحَ", "البابَ"),
+    ("market", 4, "Fa'il", "حملَ", "الجارُ"),
+    ("market", 5, "Maf'ul", "حملَ", "الصندوقَ"),
+    ("market", 6, "HarfGovernance", "إلى", "IdafaPhrase(Ism[Jarr]: سوقِ, Ism[Jarr]: المدينةِ)"),
+    ("market", 7, "Idafa", "سوقِ", "المدينةِ"),
+    ("market", 8, "Fa'il", "رسمَ", "الأخُ"),
+    ("market", 9, "Maf'ul", "رسمَ", "الخريطةَ"),
 ]) + ") t(program_id, ord, kind, head, dependent)")
 def grammar_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.part(done(spark).filter("program_id = 'proof'"), "relations")
+    return G.part(done(spark).filter("program_id = 'market'"), "relations")
 
 
-@query("select 'functions' as program_id, 1 as functions, 2 as calls, '«البند رقم 1»' || chr(10) || 'يدفعُ زيدٌ.' || chr(10) || 'غرامةٌ مقدارُها 100.' || chr(10) || chr(10) || '«البند رقم 2»' || chr(10) || 'يدفعُ عمرٌو.' || chr(10) || chr(10) as text")
+@query("select 'functions' as program_id, 1 as functions, 2 as calls, '«البند رقم 1»' || chr(10) || 'ينقلُ سالمٌ البضاعةَ.' || chr(10) || 'الحمولةُ ثقيلةٌ: 45 رطلًا.' || chr(10) || chr(10) || '«البند رقم 2»' || chr(10) || 'ينقلُ هندٌ البضاعةَ.' || chr(10) || chr(10) as text")
 def function_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done(spark).filter("form = 'functions' and code is null").select("program_id", "functions", "calls", "text")

@@ -13,17 +13,15 @@ from attestia.session import table
 QUERIES, ORACLES, query = registry()
 
 
-@query(r"""select doc_id, regexp_replace(trim(replace(left(text, 200), 'e', 'e' || chr(1614))), '[\x{064B}-\x{065F}\x{0670}]', '', 'g') as plain,
-  regexp_matches(text, '[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}]') as arabic from documents""")
-def strip_diacritics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = F.replace(F.substring("text", 1, 200), F.lit("e"), F.lit("eَ"))
-    return table(spark, sf_dir, "documents").select("doc_id", T.strip_diacritics(marked).alias("plain"), T.has_arabic_letter(F.col("text")).alias("arabic"))
+def HMAC_SQL(column: str, key: bytes = b"example key") -> str:  # noqa: N802
+    """HMAC-SHA-256 of a text column, from the plain digest."""
+    pads = ["".join(f"\\x{b ^ x:02X}" for b in key.ljust(64, b"\0")) for x in (0x36, 0x5C)]
+    return f"sha256('{pads[1]}'::blob || unhex(sha256('{pads[0]}'::blob || encode({column}))))"
 
 
 @query(r"""select doc_id, regexp_replace(trim(replace(text, 'e', 'e' || chr(1614))), '[\x{064B}-\x{065F}\x{0670}]', '', 'g') as plain,
   regexp_matches(text, '[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}]') as arabic from documents""")
-def strip_diacritics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Like `strip_diacritics`, whose SQL ends at 200 characters, over whole texts."""
+def strip_diacritics(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = F.replace(F.col("text"), F.lit("e"), F.lit("eَ"))
     return table(spark, sf_dir, "documents").select("doc_id", T.strip_diacritics(marked).alias("plain"), T.has_arabic_letter(F.col("text")).alias("arabic"))
 
@@ -107,20 +105,20 @@ def canonical_json_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select count(*) as files, cast(sum(bytes) as bigint) as bytes, sha256(string_agg(line, '' order by path)) as root from (
   select 'd/' || lpad(cast(doc_id as varchar), 9, '0') as path, strlen(text) as bytes, sha256(text) || ' ' || strlen(text) || ' ' || 'd/' || lpad(cast(doc_id as varchar), 9, '0') || chr(10) as line
-  from documents where lang = 'es')""")
+  from documents)""")
 def manifest_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Root digest of a file list: digest, size and path of each file, in path order."""
     from attestia.sources.manifests import root
 
     path = F.concat(F.lit("d/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"))
-    return root(table(spark, sf_dir, "documents").filter("lang = 'es'").select(path.alias("path"), F.encode("text", "utf-8").alias("content")))
+    return root(table(spark, sf_dir, "documents").select(path.alias("path"), F.encode("text", "utf-8").alias("content")))
 
 
 @query("""with files as (select 'd/' || lpad(cast(doc_id as varchar), 9, '0') as path, strlen(text) as bytes, sha256(text) || ' ' || strlen(text) || ' ' || 'd/' || lpad(cast(doc_id as varchar), 9, '0') || chr(10) as line from documents),
 leaves as (select left(sha256(path), 2) as range, count(*) as n, sum(bytes) as bytes, sha256(string_agg(line, '' order by path)) as leaf from files group by left(sha256(path), 2))
 select cast(sum(n) as bigint) as files, cast(sum(bytes) as bigint) as bytes, sha256(string_agg(leaf, chr(10) order by range)) as root from leaves""")
 def manifest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Root digest of all documents, in two levels; `manifest_root`, whose SQL keeps one language, is for short lists."""
+    """Root digest of all documents in two levels, for lists that no task should order whole as `manifest_root` does."""
     from attestia.sources.manifests import root_tree
 
     path = F.concat(F.lit("d/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"))
@@ -161,7 +159,7 @@ def path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", T.base64url(n).alias("path"), n.rlike(T.IDENTIFIER).alias("identifier"), F.sha2(n, 256).alias("digest"))
 
 
-@query()
+@query(f"select c_custkey, {HMAC_SQL('c_name')} as signature from customer")
 def keyed_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HMAC-SHA-256 of names from built-in functions."""
     return table(spark, sf_dir, "customer").select("c_custkey", H.hmac_sha256(F.col("c_name"), b"example key").alias("signature"))
@@ -209,7 +207,7 @@ def document_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", kind.when(F.col("lang") == "fr", "decision").otherwise("unknown").alias("kind"))
 
 
-@query()
+@query("""select p_name, row_number() over (order by lower(p_name)) as place from (select distinct p_name from part)""")
 def locale_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths in locale order (a Unicode collation) rather than by bytes."""
     from pyspark.sql import Window

@@ -137,19 +137,23 @@ class Database:
         if m := re.match(r"(?is)delete\s+from\s+(\w+)\s*(?:where\s+(.*))?$", sql):
             name, where = m.groups()
             gone = self.read(f"select * from {name} where {where or 'true'}", args, tables)
-            return name, self._version(tables[name].exceptAll(gone), tables[name]), gone.count()
+            return name, self._version(self._kept(name, where, args, tables), tables[name]), gone.count()
         if m := re.match(r"(?is)update\s+(\w+)\s+set\s+(.*)$", sql):
             name, rest = m.groups()
             sets, where = cut(rest, "where")
             old = self.read(f"select * from {name} where {where or 'true'}", args, tables)
             new = self.read(f"select {self._columns(tables[name], sets)} from {name} where {where or 'true'}", args, tables)
-            kept = tables[name].exceptAll(old)
+            kept = self._kept(name, where, args, tables)
             self._check(name, new, kept)
             return name, self._version(kept.unionByName(_like(new, tables[name])), tables[name]), old.count()
         if m := re.match(r"(?is)insert\s+(or\s+ignore\s+)?into\s+(\w+)\s*\(([^)]*)\)\s*(.*)$", sql):
             return self._insert(m[2], [c.strip() for c in m[3].split(",")], m[4], bool(m[1]), args, tables)
         raise ValueError(f"Unsupported statement: {sql[:60]}")
 
+    def _kept(self, name: str, where: str | None, args: dict, tables: dict[str, DataFrame]) -> DataFrame:
+        """Rows for which a condition does not hold: a second filter of the same scan, nothing is shuffled."""
+        return self.read(f"select * from {name} where not coalesce(({where or 'true'}), false)", args, tables)
+
     def _insert(self, name, columns, rest, ignore, args, tables):
         source, conflict = cut(rest, "on conflict")
         current = tables[name]
@@ -176,7 +180,7 @@ class Database:
         join = f"from {name} join excluded on {on} where {where or 'true'}"
         old = self.read(f"select {name}.* {join}", args, both)
         new = self.read(f"select {self._columns(current, sets, name)} {join}", args, both)
-        kept = current.exceptAll(old)
+        kept = current.join(old.select(*keys[0]), keys[0], "left_anti").select(*current.columns)
         next_ = kept.unionByName(_like(new, current)).unionByName(fresh)
         return name, self._version(next_, current), new.count() + fresh.count()
 

@@ -127,7 +127,7 @@ def test_reasons_in_order(spark):
 def test_diacritics_go_from_whole_texts(spark, tmp_path):
     long = "be " * 400 + "end"
     spark.createDataFrame([(1, long), (2, "e"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.plain for r in catalogue.QUERIES["strip_diacritics_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.plain for r in catalogue.QUERIES["strip_diacritics"](spark, str(tmp_path)).collect()}
     assert got == {1: long, 2: "e", 3: None}
 
 

@@ -8,7 +8,16 @@ from attestia.operators import agreement as A
 from attestia.operators import documents as D
 from attestia.sources import documents as S
 
-TASK = {k: k[:3] for k in D.TASK} | {"taskVersion": 2}
+# The orders of the format, spelled out: a wrong order in the operators must not pass.
+TASK_ORDER = ("taskId", "taskVersion", "packetId", "holdoutId", "protocolId", "guidelineVersion", "dataVersion", "protocolVersion")
+FLAG_ORDER = ("releaseCandidateId", "pilotOnly", "developerVisible", "parserPredictionsExcluded", "derivedFromExcludedCorpus", "holdoutManifestSha256")
+ORIGIN_ORDER = ("independentFromImplementationTeam", "blindToParserInternals", "parserPredictionsViewed")
+TOKEN_ORDER = ("universalPartOfSpeech", "headTokenId", "dependencyRelation", "irabHeadTokenId", "irabCategory", "irabNotApplicable")
+RATIFICATION_ORDER = (
+    "taskId", "taskVersion", "packetId", "holdoutId", "protocolVersion", "packetMerkleRoot", "primaryReceiptId", "primaryAdjudicationMerkleRoot",
+    "reviewerSlot", "reviewerPseudonym", "reviewerIsHuman", "reviewerIsSynthetic", "independentFromImplementationTeam", "decision",
+)
+TASK = {k: k[:3] for k in TASK_ORDER} | {"taskVersion": 2}
 POLICY = {
     "schema": "s", "policyVersion": "p", "metrics": ["raw"], "minimumRawAgreement": 0.9, "minimumDefinedKappa": 0.8,
     "undefinedKappaFallback": "raw-agreement", "automaticFinalization": False, "claimBoundary": "c é",
@@ -27,7 +36,7 @@ def digest(values):
 
 def packet_root(p):
     policy = json.dumps(p["metricPolicy"], sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    values = ["demo-packet-root-v3", p["schema"], *[p[k] for k in D.TASK], policy, *[p[k] for k in D.PACKET_FLAGS], len(p["sentences"])]
+    values = ["demo-packet-root-v3", p["schema"], *[p[k] for k in TASK_ORDER], policy, *[p[k] for k in FLAG_ORDER], len(p["sentences"])]
     for s in p["sentences"]:
         values += [s["sentenceId"], s["text"], len(s["tokens"]), *[x for t in s["tokens"] for x in (t["id"], t["form"])]]
     return digest([*values, 0])
@@ -59,15 +68,23 @@ def test_roots(files):
     got = {r[0]: r[1] for r in annotations.select("annotatorSlot", D.annotation_root()).collect()}
     for slot, head in (("A", 1), ("B", 0)):
         a = annotation(slot, head, packet_root(PACKET))
-        columns = ("packetMerkleRoot", *D.TASK, "annotatorSlot", "annotatorPseudonym", "isHuman", "isSynthetic", *D.ORIGIN)
+        columns = ("packetMerkleRoot", *TASK_ORDER, "annotatorSlot", "annotatorPseudonym", "isHuman", "isSynthetic", *ORIGIN_ORDER)
         values = ["demo-annotation-root-v3", a["schema"], *[a[c] for c in columns], 1]
         for s in a["sentences"]:
             values += [s["sentenceId"], True, True, "n", 2]
             for t in s["tokens"]:
-                values += [t["tokenId"], *[t[f] for f in D.TOKEN_FIELDS], None]
+                values += [t["tokenId"], *[t[f] for f in TOKEN_ORDER], None]
         assert got[slot] == digest(values)
 
 
+def test_whole_numbers_and_absent_keys_of_a_policy(spark, tmp_path):
+    policy = {"metrics": ["raw"], "minimumRawAgreement": 1, "minimumDefinedKappa": 0, "schema": "s"}
+    packet = {**PACKET, "metricPolicy": policy}
+    (tmp_path / "p.json").write_text(json.dumps(packet, indent=2, ensure_ascii=False))
+    got = S.json_documents(spark, str(tmp_path / "p.json"), "packet").select(D.packet_root()).first()[0]
+    assert got == packet_root(packet)
+
+
 def test_units_and_agreement(files):
     units = D.units(files[1], F.col("annotatorSlot"))
     assert units.groupBy("rater").count().select("count").distinct().first()[0] == 2 + 2 * 6
@@ -97,12 +114,19 @@ def test_validation(spark, files):
 def test_adjudication_and_ratification_roots(spark):
     decision = spark.createDataFrame([], S.ADJUDICATION).select(D.adjudication_root().alias("root"))
     assert decision.columns == ["root"] and decision.count() == 0
-    row = {c: c for c in D.RATIFICATION} | {"taskVersion": 3, "reviewerIsHuman": True}
-    values = ["demo-ratification-root-v1", "demo-ratification-v1", *[row[c] for c in D.RATIFICATION], "because"]
+    row = {c: c for c in RATIFICATION_ORDER} | {"taskVersion": 3, "reviewerIsHuman": True}
+    values = ["demo-ratification-root-v1", "demo-ratification-v1", *[row[c] for c in RATIFICATION_ORDER], "because"]
     frame = spark.createDataFrame([{**row, "schema": "demo-ratification-v1", "rationale": "  because "}])
     assert frame.select(D.ratification_root()).first()[0] == digest(values)
 
 
+def test_dimensions_without_pairs(spark):
+    paired = spark.createDataFrame([("x", "1", "1"), ("x", "1", "2")], "dimension string, a string, b string")
+    got = {r.dimension: (r.n, r.disagreements, r.raw, r.kappa) for r in A.agreement(paired, dimensions=("x", "y")).collect()}
+    assert got["x"][:3] == (2, 1, 0.5) and got["y"] == (0, 0, 1.0, None)
+    assert A.macro(A.agreement(paired, dimensions=("x", "y"))).first().macro_raw == 0.75
+
+
 def test_program_sources(spark, tmp_path):
     (tmp_path / "x.src").write_text("اتجاهُ النصِّ: RTL\n# note\n\n clause fil \"كتبَ\" # end\n")
     lines = [tuple(r) for r in S.program_lines(spark, str(tmp_path)).collect()]
