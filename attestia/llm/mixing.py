@@ -9,8 +9,8 @@ No source's rows, and no doc_id's, meet in one task: running sums are taken with
 (of a source, then of the whole queue), then over the partitions' totals.
 
 Defined results: a null or empty text has size 0, takes no words and is kept in the manifest; a null source is
-a source of its own, ordered last; rows that repeat a doc_id (null too) are separate rows, ordered by size and by a hash
-of their text, so that the order of the input does not matter; rows equal in all these are interchangeable; a very
+a source of its own, ordered last; rows that repeat a doc_id (null too) are separate rows, ordered by a hash of their
+text, so that the order of the input does not matter; rows equal in all these are interchangeable; a very
 long document is one item, of which the mix takes all or nothing; an empty table gives an empty result; further
 columns of the input are ignored.
 """
@@ -100,6 +100,11 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
+def shuffled(epoch: Column, seed: str = SEED) -> Column:
+    """The place of a document in the shuffled order of an epoch: a digest of its doc_id."""
+    return F.unhex(F.md5(F.concat_ws(":", F.lit(seed), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+
+
 def mix(docs: DataFrame, weigh, ratio: float = 1.5, cap: float = 2.0, seed: str = SEED) -> DataFrame:
     """The mix as a manifest: one row for each document and epoch.
 
@@ -121,9 +126,8 @@ def mix(docs: DataFrame, weigh, ratio: float = 1.5, cap: float = 2.0, seed: str
     )
     sources = durable(targets(sized, weigh, ratio, cap), "mix-sources")
     width = shuffle_width(spark, sized)
-    name = F.concat_ws(":", F.lit(seed), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     # Equal rows differ in rid alone, so that they have different places; only narrow columns travel.
-    turn = [F.unhex(F.md5(name)), F.col("doc_id"), F.col("size"), F.col("th"), F.col("rid")]
+    turn = [shuffled(F.col("epoch"), seed), F.col("doc_id"), F.col("th"), F.col("rid")]
     rows = sized.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(cap) - 1))))
     rows = running(ranged(rows, ["skey", "epoch", *turn], width), ["skey", "epoch"], turn, "size", "_served").drop("place")
     served = F.col("_served") + F.col("epoch") * F.col("source_size")
@@ -153,25 +157,41 @@ def taken_words(manifest: DataFrame) -> DataFrame:
     )
 
 
-def take(docs: DataFrame, manifest: DataFrame) -> DataFrame:
-    """The mixed documents with their own columns, a document repeated as often as the mix takes it.
+def cuts(manifest: DataFrame, seed: str = SEED) -> DataFrame:
+    """skey and an array of (epoch, last, n, rows): what is taken of a source's epoch is what comes up to `last`.
 
-    Documents of no words are in the mix as often as their virtual time says. Rows of one doc_id, source and text
-    (null doc_ids too) are interchangeable: they share what the mix takes of them, none more than one time more
-    than another.
+    Virtual time grows along the shuffled order of a source, so the budget's cut is a cut in that order. `rows` rows
+    equal the last one in doc_id and text, and `n` of them are taken.
     """
-    key = ["doc_id", "skey", "th"]
-    copies = durable(
-        manifest.groupBy(*key)
-        .agg(F.sum(F.col("taken").cast("long")).alias("_n"), F.sum((F.col("epoch") == 0).cast("long")).alias("_rows"))
-        .select(F.struct(*key).alias("me"), F.floor(F.col("_n") / F.col("_rows")).cast("int").alias("_each"), (F.col("_n") % F.col("_rows")).cast("int").alias("_more")),
-        "mix-copies",
+    last = F.struct(shuffled(F.col("epoch"), seed).alias("h"), "doc_id", "th")
+    found = durable(manifest.filter("taken").groupBy("skey", "epoch").agg(F.max(last).alias("last")), "mix-cuts")
+    side = F.broadcast(found) if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else found
+    equal = (
+        manifest.select("skey", "epoch", "taken", last.alias("mine"))
+        .join(side, ["skey", "epoch"])
+        .filter(F.col("mine").eqNullSafe(F.col("last")))
+        .groupBy("skey", "epoch")
+        .agg(F.first("last").alias("last"), F.sum(F.col("taken").cast("long")).alias("n"), F.count(F.lit(1)).alias("rows"))
     )
-    me = F.struct(F.col("doc_id"), source_key(F.col("source")).alias("skey"), text_hash(F.col("text")).alias("th"))
-    rows = lookup(docs.select(F.struct("*").alias("row"), me.alias("me")), copies, "me", F.col("me"), 1)
-    even = rows.filter("_more = 0").select("row", F.col("_each").alias("_times"))
-    if copies.filter("_more > 0").limit(1).count():  # equal rows that are not taken equally often
-        turn = F.row_number().over(Window.partitionBy("me").orderBy(F.lit(0)))
-        odd = rows.filter("_more > 0").withColumn("_times", F.col("_each") + (turn <= F.col("_more")).cast("int"))
-        even = even.unionByName(odd.select("row", "_times"))
-    return even.select("row", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select("row.*")
+    return durable(equal.groupBy("skey").agg(F.collect_list(F.struct("epoch", "last", "n", "rows")).alias("cuts")), "mix-source-cuts")  # epochs
+
+
+def take(docs: DataFrame, manifest: DataFrame, seed: str = SEED) -> DataFrame:
+    """The mixed documents with their own columns, a document repeated as often as the mix takes it.
+
+    Documents meet only the cuts of their source, one for each epoch; texts are not shuffled. Of rows that are equal in
+    doc_id, source and text, and at a cut, as many are taken as the mix takes, whichever they are.
+    """
+    found = cuts(manifest, seed)
+    named = docs.select(F.struct("*").alias("row"), "doc_id", source_key(F.col("source")).alias("skey"), text_hash(F.col("text")).alias("th"))
+    rows = lookup(named, found, "skey", F.col("th"))
+    at = lambda c: F.struct(shuffled(c["epoch"], seed).alias("h"), F.col("doc_id").alias("doc_id"), F.col("th").alias("th"))
+    split = lambda c: (c["n"] < c["rows"]) & at(c).eqNullSafe(c["last"])
+    before = F.coalesce(F.size(F.filter("cuts", lambda c: (at(c) <= c["last"]) & ~split(c))), F.lit(0))
+    taken = rows.select("row", F.greatest(before, F.lit(0)).alias("_times"))
+    if found.filter(F.exists("cuts", lambda c: c["n"] < c["rows"])).limit(1).count():  # a cut among equal rows
+        turn = F.row_number().over(Window.partitionBy("skey", "doc_id", "th").orderBy(F.lit(0)))
+        odd = rows.filter(F.exists("cuts", split)).withColumn("_turn", turn)
+        more = odd.withColumn("_times", F.size(F.filter("cuts", lambda c: split(c) & (F.col("_turn") <= c["n"]))))
+        taken = taken.unionByName(more.select("row", "_times"))
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select("row.*")
