@@ -14,6 +14,8 @@ Two documents link when den * |A and B| >= num * |A or B| for their sets of dist
    least shingle and cut into groups of GROUP; the matrix has a row for each group: the union of its tokens. A
    query's overlap with a row bounds its overlap with every member, so only groups that can reach the threshold
    and are not yet connected to the query are opened and compared exactly.
+   Members of a large cluster first meet a few representatives of it. Where these link nearly all, as in a group of near
+   copies, only the members left apart are compared with the others, so that texts are not copied for all pairs of blocks.
 3. Components. Small clusters are settled where they are; links of large ones meet in a distributed components
    step.
 
@@ -39,6 +41,8 @@ GROUP = 16
 #: A cluster of more documents or shingles is dealt into blocks; a block holds about so many.
 CLUSTER_DOCS, BLOCK_DOCS, MOST_BLOCK_DOCS, BLOCK_TOKENS = 192, 124, 2_048, 1_000_000
 SLICE = 1 << 19
+#: Members of a large cluster that all others are compared with first.
+REPRESENTATIVES = 3
 
 
 class Scheme:
@@ -427,22 +431,41 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, text: str = "
     members = durable(lookup(weighed, blocks, "root", F.col("node")).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"), F.coalesce("blocks", F.lit(1)).alias("blocks")), "members")
     texts = of(members)
     one = texts.filter("blocks = 1").select("cluster", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(2).alias("side"), "doc_id", "text", F.lit(True).alias("settled"))
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    near = lambda rows: rows.groupBy("cluster", "p", "q").applyInArrow(solved, "a long, b long, settled boolean")
+
+    def side(rows: DataFrame, p, q, k) -> DataFrame:
+        return rows.withColumn("p", p).withColumn("q", q).select("cluster", "p", "q", F.lit(k).alias("side") if isinstance(k, int) else k.alias("side"), "doc_id", "text", F.lit(False).alias("settled"))
+
+    # Members of a large cluster meet a few representatives; those linked through them need no more comparisons.
+    crowded = members.filter("blocks > 1")
+    chosen = crowded.groupBy("cluster", "blocks").agg(
+        F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id"))["doc_id"] for k in range(REPRESENTATIVES)])).alias("ids")
+    )
+    chosen = durable(chosen.select("cluster", "blocks", F.explode("ids").alias("doc_id")), "representatives")
+    met = side(texts.filter("blocks > 1"), deal("blocks"), F.lit(0), 0).union(side(of(chosen), every("blocks"), F.lit(0), 1))
+    first = durable(near(met), "first-links")
+    through = components(first.select("a", "b"))
+    ranked = durable(lookup(crowded.withColumnRenamed("doc_id", "node"), through, "node", F.col("node")).select("cluster", "blocks", F.col("node").alias("doc_id"), F.coalesce("root", "node").alias("root")), "linked")
+    main = ranked.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("docs"))
+    main = durable(main.select("cluster", F.col("main.root").alias("main"), "docs", (F.col("docs") - F.col("main.n")).alias("loose")), "main")
+    state = lookup(ranked, main, "cluster", F.col("doc_id")).filter("loose > 0")
+    left = F.ceil(F.col("loose") * F.col("blocks") / F.col("docs")).cast("int")
+    open_ = durable(state.select("cluster", "doc_id", "blocks", left.alias("lefts"), (F.col("root") != F.col("main")).alias("apart"), (2 * F.col("loose") > F.col("docs")).alias("whole")), "unlinked")
+    rest = of(open_)
+
+    # Most members apart: all pairs of blocks. Else blocks of those apart against all blocks.
+    mine = deal("blocks")
+    whole = rest.filter("whole").withColumn("mine", mine).withColumn("other", every("blocks"))
+    both = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
+    some = rest.filter("not whole")
     many = (
-        texts.filter("blocks > 1")
-        .withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "cluster",
-            F.least("mine", "other").alias("p"),
-            F.greatest("mine", "other").alias("q"),
-            F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
-            "doc_id",
-            "text",
-            F.lit(False).alias("settled"),
-        )
+        side(whole, F.least("mine", "other"), F.greatest("mine", "other"), both)
+        .union(side(some.filter("apart"), deal("lefts"), every("blocks"), 0))
+        .union(side(some, every("lefts"), mine, 1))
     )
-    pairs = durable(one.union(many).groupBy("cluster", "p", "q").applyInArrow(solved, "a long, b long, settled boolean"), "links")
+    pairs = durable(near(one.union(many)).union(first), "links")
     far = components(pairs.filter("not settled").select("a", "b"))
     roots = durable(pairs.filter("settled").select(F.col("a").alias("node"), F.col("b").alias("root")).union(far.select("node", "root")), "roots")
     through = lookup(equal.select(F.col("x").alias("same"), F.col("y").alias("node")), roots, "node", F.col("same")).select("same", F.coalesce("root", "node").alias("root"))
