@@ -149,3 +149,23 @@ def test_words_are_split_at_ascii_space_only():
     texts = ["A b c\x0bd e", None, "", "É é"]
     _, counts = hashing.word_hashes([None if t is None else t.encode() for t in texts])
     assert counts.tolist() == [3, 0, 0, 2]
+
+
+def test_a_large_cluster_with_few_apart(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "CLUSTER_DOCS", 20)
+    monkeypatch.setattr(ngramjoin, "BLOCK_DOCS", 8)
+    r = random.Random(21)
+    vocabulary = ["".join(r.choices("abcdef", k=5)) for _ in range(500)]
+    base = r.choices(vocabulary, k=120)
+    rows = []
+    for i in range(150):  # near copies of one text
+        w = list(base)
+        w[r.randrange(120)] = r.choice(vocabulary)
+        rows.append((i, " ".join(w)))
+    w = list(base)
+    for i in range(150, 190):  # a chain that drifts away from it
+        w[3 * (i - 150)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, " ".join(r.choices(vocabulary, k=40) + base[:60])) for i in range(30)]  # share only a passage
+    check(spark, rows, 3, 90, 100)
+    check(spark, rows, 5, 8, 10)
