@@ -163,9 +163,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_
 
     def run(batches):
         from attestia.llm import vafile
-        from attestia.llm.common import freed
 
-        yield from freed(vafile.search_block(batches, k))
+        yield from vafile.search_block(batches, k)  # a block is bounded by BLOCK_VALUES
 
     near = (
         candidates.unionByName(asking)
