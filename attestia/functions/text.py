@@ -122,8 +122,19 @@ def base64url(c: Column) -> Column:
 
 
 def unsafe_flags(c: Column) -> dict[str, Column]:
-    """One boolean for each kind of unsafe public text."""
-    return {name: F.coalesce(c.rlike(pattern), F.lit(False)) for name, pattern in UNSAFE.items()}
+    """One boolean for each kind of unsafe public text.
+
+    A pattern is only tried on texts with the characters that every match needs.
+    """
+    digits = F.length(c) - F.length(F.translate(c, "0123456789", ""))
+    needs = {
+        "email": c.contains("@"),
+        "phone": digits >= 7,
+        "raw_html": c.contains("<"),
+        "markdown_image": c.contains("!["),
+        "unsafe_url": c.contains(":"),
+    }
+    return {name: F.coalesce(needs.get(name, F.lit(True)) & c.rlike(pattern), F.lit(False)) for name, pattern in UNSAFE.items()}
 
 
 def _nfkc(x: pd.Series) -> pd.Series:
