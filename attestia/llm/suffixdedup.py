@@ -35,8 +35,9 @@ from attestia.llm.common import broadcastable, durable, ready, shuffle_width
 #: A longer GRAM makes more anchors, a shorter one more chance repeats of anchors, whose number grows with its square.
 LENGTH, GRAM = 100, 48
 SEGMENT, SLICE = 1 << 19, 1 << 19
-#: Contexts of one anchor beyond which they are dealt over shards; at most about SHARDS of them, of MOST contexts.
-HOT, SHARDS, MOST = 400, 24, 100_000
+#: Contexts of one anchor beyond which they are dealt over shards: about SHARDS of them, more once a shard would have
+#: more than MOST contexts. A pair of shards takes about 65 kB for each context of a shard while it is merged.
+HOT, SHARDS, MOST = 400, 24, 4_000
 FIRST = -(1 << 63)
 SYMBOLS = 7  # of 9 bits in the first rank
 

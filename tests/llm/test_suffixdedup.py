@@ -86,6 +86,13 @@ def test_hot_anchors_are_merged_by_binary_search(spark, monkeypatch):
     check(spark, varied(3, 150))
 
 
+def test_a_hot_anchor_takes_more_shards_once_they_are_full(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 3)
+    monkeypatch.setattr(S, "SHARDS", 2)
+    monkeypatch.setattr(S, "MOST", 4)
+    check(spark, varied(4, 60))
+
+
 def test_segments_of_long_texts_and_periods(spark, monkeypatch):
     monkeypatch.setattr(S, "SEGMENT", 500)
     monkeypatch.setattr(S, "SLICE", 900)
