@@ -183,3 +183,27 @@ def iso_utc(ms: Column) -> Column:
 def iso_millis(c: Column) -> Column:
     """Epoch milliseconds of an ISO-8601 UTC text; null in any other form."""
     return F.when(c.rlike(ISO_UTC), F.unix_millis(F.try_to_timestamp(c)))
+
+
+def unique_list(items: Column, pattern: str, most: int) -> Column:
+    """The different trimmed items in the order of their first use; null if there are more than `most` or one does not match.
+
+    A null list is empty.
+    """
+    trimmed = F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit(""))))
+    return F.when((F.size(trimmed) <= most) & F.forall(trimmed, lambda x: x.rlike(pattern)), F.array_distinct(trimmed))
+
+
+def _pretty(texts: pd.Series) -> pd.Series:
+    def one(text):
+        try:
+            return json.dumps(json.loads(text), indent=2, ensure_ascii=False) + "\n"
+        except (TypeError, ValueError):
+            return None
+
+    return texts.map(one)
+
+
+def pretty_json(c: Column) -> Column:
+    """A JSON text with an indent of two spaces and a line end, its keys in their order; null if it is no JSON."""
+    return F.pandas_udf(_pretty, "string")(c)

@@ -47,9 +47,14 @@ def program_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def program_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Statement lines of surface programs: without comments and blanks, with their numbers from 1."""
+    return statement_lines(program_files(spark, path))
+
+
+def statement_lines(programs: DataFrame) -> DataFrame:
+    """program_id, line and text of the statements in programs (program_id, source)."""
     from attestia.functions.text import strip_comment
 
-    lines = program_files(spark, path).select("program_id", F.posexplode(F.split("source", "\\R")).alias("at", "raw"))
+    lines = programs.select("program_id", F.posexplode(F.split("source", "\\R")).alias("at", "raw"))
     return lines.select("program_id", (F.col("at") + 1).alias("line"), F.trim(strip_comment(F.col("raw"))).alias("text")).filter("text <> ''")
 
 
