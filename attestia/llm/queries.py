@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestia.llm import bpe, langid, linededup, media, mixing, ngramjoin, sharding, suffixdedup, vafile, wavelet
-from attestia.llm.common import durable
+from attestia.llm import bpe, hardneg, langid, linededup, media, mixing, ngramjoin, sharding, suffixdedup, tokencount, vafile, wavelet, wordruns
+from attestia.llm.common import WORD, durable
 from attestia.session import table
 
 QUERIES: dict = {}
@@ -146,3 +146,62 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def periodic(docs: DataFrame) -> DataFrame:
+    """Documents in which h, the crc32 of the decimal doc_id, is a multiple of 10 repeat their words from word a on.
+
+    A document without doc_id stays as it is.
+    """
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8"))
+    g, n = F.floor(h / 10), F.size("_w")
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    place = lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p))
+    again = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at("_w", place(i) + 1)), " ")
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    split = docs.select("doc_id", "text", F.when(chosen, words).alias("_w"))
+    return split.select("doc_id", F.when(F.coalesce(F.size("_w") > 0, F.lit(False)), again).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordruns.runs(periodic(table(spark, sf_dir, "documents")), digest=True)
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.count(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+ORACLES["op13_hard_negatives"] = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, cast(list_inner_product(a.e, c.e) as bigint) as score
+  from v a join v c on a.vec_id <> c.vec_id and len(a.e) = len(c.e)
+  where a.vec_id % 100 = 0
+), positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score
+  from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as n from scored where same) where n <= 5
+), ranked as (
+  select p.anchor_id, p.positive_id, p.positive_score, s.vec_id as negative_id, s.score as negative_score,
+         cast(row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) as int) as rank
+  from positives p join scored s on p.anchor_id = s.anchor_id
+  where not s.same and 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score
+)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from ranked where rank <= 10
+"""
