@@ -25,6 +25,9 @@ UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f
 SHA256 = r"^[a-f0-9]{64}$"
 ISO_UTC = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{3})?Z$"
 
+# The characters that trimming removes.
+WHITE_SPACE = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 UNSAFE = {
     "email": EMAIL,
     "phone": PHONE,
@@ -35,18 +38,23 @@ UNSAFE = {
 }
 
 
+def trim(c: Column | str) -> Column:
+    """The text without white space at its ends: line ends, tabs and Unicode spaces too."""
+    return F.trim(c, F.lit(WHITE_SPACE))
+
+
 def strip_diacritics(c: Column) -> Column:
-    return F.regexp_replace(F.trim(c), DIACRITICS, "")
+    return F.regexp_replace(trim(c), DIACRITICS, "")
 
 
 def surface_key(c: Column) -> Column:
     """Key of a surface keyword: lower case without joiners and diacritics."""
-    return F.regexp_replace(F.lower(F.trim(c)), "[_\\-\u064b-\u065f\u0670]", "")
+    return F.regexp_replace(F.lower(trim(c)), "[_\\-\u064b-\u065f\u0670]", "")
 
 
 def json_key(c: Column) -> Column:
     """Key of a JSON label: lower case without white space, joiners, quotes and hamza."""
-    return F.regexp_replace(F.lower(F.trim(c)), "(?U)[\\s_\\-\u2018\u2019'`\u0621]", "")
+    return F.regexp_replace(F.lower(trim(c)), "(?U)[\\s_\\-\u2018\u2019'`\u0621]", "")
 
 
 def has_arabic_letter(c: Column) -> Column:
@@ -76,7 +84,7 @@ def tokens_quoted(line: Column) -> Column:
 
 def placeholders(template: Column) -> Column:
     """Trimmed names of the {name} places of a template, in order."""
-    return F.transform(F.regexp_extract_all(template, F.lit(r"\{([^}]*)\}"), F.lit(1)), lambda x: F.trim(x))
+    return F.transform(F.regexp_extract_all(template, F.lit(r"\{([^}]*)\}"), F.lit(1)), lambda x: trim(x))
 
 
 def render_template(template: Column, values: dict[str, Column]) -> Column:
@@ -88,7 +96,7 @@ def render_template(template: Column, values: dict[str, Column]) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def excerpt(c: Column, limit: int = 500) -> Column:
@@ -144,7 +152,7 @@ def _nfkc(x: pd.Series) -> pd.Series:
 def normalise_email(c: Column) -> Column:
     """Compatibility-normalised, trimmed, lower-cased address; null if it is none."""
     nfkc = F.pandas_udf(_nfkc, "string")
-    mail = F.lower(F.trim(nfkc(F.coalesce(c, F.lit("")))))
+    mail = F.lower(trim(nfkc(F.coalesce(c, F.lit("")))))
     return F.when(F.length(mail).between(5, 160) & mail.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), mail)
 
 
@@ -190,7 +198,7 @@ def unique_list(items: Column, pattern: str, most: int) -> Column:
 
     A null list is empty.
     """
-    trimmed = F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit(""))))
+    trimmed = F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: trim(F.coalesce(x, F.lit(""))))
     return F.when((F.size(trimmed) <= most) & F.forall(trimmed, lambda x: x.rlike(pattern)), F.array_distinct(trimmed))
 
 

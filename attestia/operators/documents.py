@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestia.functions.hashing import canonical_part
-from attestia.functions.text import IDENTIFIER, unsafe_flags
+from attestia.functions.text import IDENTIFIER, trim, unsafe_flags
 
 # Field orders of the canonical roots and the decision fields.
 TASK = ("taskId", "taskVersion", "packetId", "holdoutId", "protocolId", "guidelineVersion", "dataVersion", "protocolVersion")
@@ -77,7 +77,7 @@ RATIFICATION = (
 
 def ratification_root() -> Column:
     """Canonical root of a ratification row; the rationale is trimmed."""
-    return F.sha2(_parts([root_tag(F.col("schema")), F.col("schema"), *map(F.col, RATIFICATION), F.trim("rationale")]), 256)
+    return F.sha2(_parts([root_tag(F.col("schema")), F.col("schema"), *map(F.col, RATIFICATION), trim("rationale")]), 256)
 
 
 def json_value(c: Column, text: bool) -> Column:
@@ -127,7 +127,7 @@ def unresolved(paired: DataFrame, final: DataFrame) -> DataFrame:
     """
     both = paired.join(final, ["sentence_id", "token_id", "dimension"])
     needs = (F.col("a") != F.col("b")) | (F.col("value") != F.col("a"))
-    return both.filter(needs & (F.trim(F.coalesce("note", F.lit(""))) == ""))
+    return both.filter(needs & (trim(F.coalesce("note", F.lit(""))) == ""))
 
 
 def packet_rejects(packets: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def _reasons(rows: DataFrame, keys: str | list[str], rules: dict[str, Column]) -
 
 def comment_rejects(comments: DataFrame, categories: tuple[str, ...], key: str = "comment_id") -> DataFrame:
     """Reasons against a comment: its category, length or unsafe text."""
-    body = F.trim(F.coalesce("body", F.lit("")))
+    body = trim(F.coalesce("body", F.lit("")))
     rules = {"category": ~F.coalesce(F.col("category").isin(*categories), F.lit(False)), "length": ~F.length(body).between(*NOTE_LENGTHS)}
     return _reasons(comments, key, rules | {f"unsafe-{k}": v for k, v in unsafe_flags(F.col("body")).items()})
 

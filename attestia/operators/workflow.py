@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestia.functions.hashing import hmac_sha256
-from attestia.functions.text import IDENTIFIER, UUID, unsafe_flags
+from attestia.functions.text import IDENTIFIER, UUID, trim, unsafe_flags
 from attestia.operators.documents import NOTE_LENGTHS
 
 # Limits of the delivery of notifications, and the decisions of a second reviewer.
@@ -134,7 +134,7 @@ def missing_columns(source: DataFrame, target: DataFrame) -> list[str]:
 
 def unique_list(items: Column, most: int = 20) -> Column:
     """Trimmed items in order, each once; null lists are empty; null if there are more than `most`, or one is blank."""
-    trimmed = F.transform(items, lambda x: F.trim(x.cast("string")))
+    trimmed = F.transform(items, lambda x: trim(x.cast("string")))
     valid = (F.size(items) <= most) & F.forall(trimmed, lambda x: F.coalesce(x != "", F.lit(False)))
     return F.when(items.isNull(), F.array().cast("array<string>")).when(valid, F.array_distinct(trimmed))
 
@@ -151,7 +151,7 @@ def started(started_at: Column, updated_at: Column) -> Column:
 
 def note_texts(documents: DataFrame, key: str) -> DataFrame:
     """Public free texts of nested documents: key, place and text of the notes of sentences and tokens and the rationale."""
-    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    blank = lambda c: trim(F.coalesce(c, F.lit(""))) == ""
     of = lambda place, c: F.struct(F.lit(place).alias("place"), c.alias("text"))
     sentences = F.transform("sentences", lambda s: of("sentence", s["note"]))
     tokens = F.flatten(F.transform("sentences", lambda s: F.transform(s["tokens"], lambda t: of("token", t["resolutionNote"]))))
@@ -178,7 +178,7 @@ def ratification_rejects(ratifications: DataFrame, finals: DataFrame, identity:
         "final-root": F.col("primaryAdjudicationMerkleRoot") != F.col("_final"),
         "slot": F.col("reviewerSlot") != "J2",
         "decision": ~F.col("decision").isin(*DECISIONS),
-        "rationale": (F.length(F.trim("rationale")) < NOTE_LENGTHS[0]) | (F.length("rationale") > NOTE_LENGTHS[1]),
+        "rationale": (F.length(trim("rationale")) < NOTE_LENGTHS[0]) | (F.length("rationale") > NOTE_LENGTHS[1]),
     }
     return _reasons(rows, key, rules)
 
@@ -188,7 +188,7 @@ def issue_rejects(reports: DataFrame, key: str = "report_id") -> DataFrame:
 
     reports: the key, privacy_confirmed, category, summary (one line), details, steps (may be null).
     """
-    summary, details, steps = F.trim("summary"), F.trim("details"), F.coalesce(F.trim("steps"), F.lit(""))
+    summary, details, steps = trim("summary"), trim("details"), F.coalesce(trim("steps"), F.lit(""))
     unsafe = reduce(lambda x, y: x | y, [hit for c in (summary, details, steps) for hit in unsafe_flags(c).values()])
     rules = {
         "privacy": ~F.col("privacy_confirmed"),

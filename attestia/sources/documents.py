@@ -52,10 +52,10 @@ def program_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def statement_lines(programs: DataFrame) -> DataFrame:
     """program_id, line and text of the statements in programs (program_id, source)."""
-    from attestia.functions.text import strip_comment
+    from attestia.functions.text import strip_comment, trim
 
     lines = programs.select("program_id", F.posexplode(F.split("source", "\\R")).alias("at", "raw"))
-    return lines.select("program_id", (F.col("at") + 1).alias("line"), F.trim(strip_comment(F.col("raw"))).alias("text")).filter("text <> ''")
+    return lines.select("program_id", (F.col("at") + 1).alias("line"), trim(strip_comment(F.col("raw"))).alias("text")).filter("text <> ''")
 
 
 def sql_dump(spark: SparkSession, script: str, tables: list[str]) -> dict[str, DataFrame]:
