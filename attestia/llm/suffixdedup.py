@@ -137,20 +137,26 @@ def sketch_batch(batch: pa.RecordBatch, bins: int):
         doc, th, first, last = docs[row], ths[row], first + move, last + move
         keep, again = _reduced([anchor, told], doc, th, first)
         keep = np.sort(keep)
-        to = (anchor[keep] >> np.uint64(48)).astype(np.int64) % bins
-        order = keep[np.argsort(to, kind="stable")]
-        edges = np.searchsorted(np.sort(to), np.arange(bins + 1)).tolist()
+        to = bins_of(anchor[keep], bins)
+        by = np.argsort(to, kind="stable")
+        order, to = keep[by], to[by]
+        edges = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to)).tolist()  # of the bins that have contexts
         out = []
-        for n, (i, j) in enumerate(zip(edges, edges[1:], strict=False)):
+        for i, j in zip(edges, edges[1:], strict=False):
             if i < j:
                 o = order[i:j]
-                out.append((n, 0, _six(anchor[o]), _six(told[o]), doc[o].tobytes(), th[o].tobytes(), first[o].astype(np.uint32).tobytes(), (last - first)[o].astype(np.uint8).tobytes()))
+                out.append((int(to[i]), 0, _six(anchor[o]), _six(told[o]), doc[o].tobytes(), th[o].tobytes(), first[o].astype(np.uint32).tobytes(), (last - first)[o].astype(np.uint8).tobytes()))
         if len(again):
             out.append((int(anchor[0] % np.uint64(bins)), 1, b"", b"", doc[again].tobytes(), th[again].tobytes(), first[again].astype(np.uint32).tobytes(), (last - first)[again].astype(np.uint8).tobytes()))
         kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 6)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["bin", "kind", "anchor", "told", "doc", "th", "first", "last"])
 
 
+def bins_of(anchors: np.ndarray, bins: int) -> np.ndarray:
+    """The bin of each anchor, from all of its 64 bits: there may be any number of bins."""
+    return (hashing.mix(anchors) % np.uint64(bins)).astype(np.int64)
+
+
 MET = "open boolean, anchor long, doc long, th long, first long, last long"
 
 

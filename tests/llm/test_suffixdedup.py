@@ -114,3 +114,12 @@ def test_rows_that_share_an_id(spark):
     assert got[-1] == (2, 300, 300)
     assert [g[:2] for g in got] == [(1, 300), (1, 300), (1, 301), (2, 300)]
     assert got[0][2] == got[1][2] and sorted((got[0][2], got[2][2])) == [0, 300]
+
+
+def test_bins_take_all_bits_of_an_anchor():
+    anchors = np.random.default_rng(1).integers(0, 1 << 63, 400_000, np.uint64)
+    for bins in (12, 1_600_000, 1 << 31):
+        used = S.bins_of(anchors, bins)
+        assert used.min() >= 0 and used.max() < bins
+        assert len(np.unique(used)) > 0.8 * bins * (1 - np.exp(-len(anchors) / bins))
+    assert len(np.unique(S.bins_of(np.arange(100_000, dtype=np.uint64) << np.uint64(20), 1 << 20))) > 90_000
