@@ -5,8 +5,9 @@ Words are letters (Unicode category L) with the letters and marks that follow. E
 used the word's script. Viterbi over the words of a text, with a penalty for each switch, labels every word; the
 runs are the spans, and the language of most letters is the text's, its share of all letters the score.
 
-Training uses a bounded sample: about SAMPLE rows for each label, chosen by a hash of doc_id (all rows of a label that
-has fewer); everything else covers all rows and whole texts.
+Training uses a bounded sample: about SAMPLE rows for each label, chosen by a hash of doc_id and text, so that neither rows without
+an id nor rows that share one are drawn together; all rows of a label that has fewer. Rows that repeat both count once.
+Everything else covers all rows and whole texts.
 
 Defined results: a text that is null, or has no letters (digits, fractions and letter-like numerals are none), is `und` with score 0, as is every text if nothing could
 be learned; ties go to the language first in code point order; repeated rows give repeated rows; an empty table
@@ -114,19 +115,18 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     """Model from a bounded, hashed sample of labelled rows: languages, n-gram log-probabilities and scripts."""
     spark = labelled.sparkSession
     ready(spark)
-    known = labelled.filter(F.col(lang).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("_lang"))
-    sizes = durable(known.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")), "labels")  # a row for each language
-    place = (F.xxhash64(F.col("_id").cast("string")).cast("double") + 2.0**63) / 2.0**64  # evenly from 0 to 1
+    known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(lang).cast("string").alias("_lang"),
+        F.xxhash64(F.col(doc_id).cast("string"), F.col(text).cast("string")).alias("_h"),
+        F.col(text).cast("string").alias("_text"),
+    )
+    different = known.select("_lang", "_h").distinct()
+    sizes = durable(different.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")), "labels")  # a row for each language
+    place = (F.col("_h").cast("double") + 2.0**63) / 2.0**64  # evenly from 0 to 1
     chosen = (
-        lookup(
-            labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-                F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("_lang"), F.col(text).cast("string").alias("_text")
-            ),
-            sizes,
-            "_lang",
-            F.col("_id"),
-        )
+        lookup(known, sizes, "_lang", F.col("_h"))
         .filter((F.col("_n") <= sample) | (place < F.lit(float(sample)) / F.col("_n")))
+        .dropDuplicates(["_lang", "_h"])
         .select("_lang", "_text")
     )
 

@@ -111,3 +111,13 @@ def test_nulls_and_nothing_learned(spark):
     assert {r.lang_pred for r in langid.predict(odd, bare, spans=True).collect()} == {"und"}
     assert langid.accept(docs, langid.model_of(docs)).columns == docs.columns
     assert langid.predict(odd.limit(0), bare).count() == 0
+
+
+def test_rows_without_or_with_one_id_are_drawn_each_for_itself(spark):
+    own = [(None, f"le chat numéro {k} dort dans la maison", "fr") for k in range(300)] + [(7, f"der hund nummer {k} schläft im haus", "de") for k in range(300)]
+    copies = [(None, "the cat sleeps in the house", "en")] * 300
+    model = langid.learn(spark.createDataFrame(own + copies, "doc_id long, text string, lang string"), sample=60)
+    assert model["langs"] == ["de", "en", "fr"]
+    drawn = spark.createDataFrame(own, "doc_id long, text string, lang string")
+    told = langid.predict(drawn.filter("lang = 'fr'"), model).filter("lang_pred = 'fr'").count()
+    assert told > 290
