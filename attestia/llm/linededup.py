@@ -1,6 +1,6 @@
 """Line deduplication by pairwise alignment.
 
-Documents are ordered by doc_id, then by a hash of their text; lines are trimmed, and judged on the input, not on what
+Documents are ordered by doc_id, then by a hash of their text; lines are trimmed of all white space, line ends included, and judged on the input, not on what
 other deletions leave.
 
 1. Rare line hashes. A single line may be anywhere; a run of neighbouring lines with BLOCK_WORDS words is rare. Every
@@ -11,7 +11,7 @@ other deletions leave.
    anything. What travels is the shared runs and their places in both, not the documents.
 3. Alignment. Each pair is aligned by patience diff over its shared runs: runs that occur once in both, in the longest
    ascending order, then recursively between them, then repeated ones by occurrence. Blocks in another order than the
-   earlier document's, which no alignment in order can hold, follow as blocks of their own (`moved`).
+   earlier document's, which no alignment in order can hold, are found by further alignments of what is left (`moved`).
 4. The aligned common blocks are deleted from the later document. The runs of a block cover it, so a line goes exactly
    if it lies in any run of neighbouring lines, of BLOCK_WORDS words or more, that some earlier document also has.
 
@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestia.functions.text import trim
 from attestia.llm.common import WORD, durable, lookup, ready
 
 BLOCK_WORDS = 10
@@ -111,18 +112,33 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def aligned(runs: list[tuple]) -> list[tuple[int, int, int, bool]]:
     """Common blocks (start, end, start in the earlier document, moved) of one pair, from its shared runs of lines.
 
-    `runs` are (start, end, start in the earlier document).
+    `runs` are (start, end, start in the earlier document). The first alignment is in the earlier document's order. What it
+    leaves is aligned again, in that order and against its reverse in turns, until no run is left: of n runs in any
+    order, one of two alignments finds the root of n at least. Then a run that occurs for the n-th time meets the n-th
+    of as many copies of the earlier document, one after the other.
     """
-    runs = sorted(runs)
-    theirs = [(f, e - s) for s, e, f in runs]
-    chain = [i for i, _ in patience(theirs, sorted(set(theirs)))]
     blocks: list[tuple[int, int, int, bool]] = []
-    for moved, part in ((False, chain), (True, sorted(set(range(len(runs))) - set(chain), key=lambda i: (runs[i][2] - runs[i][0], runs[i])))):
-        for s, e, f in (runs[i] for i in part):
-            if blocks and blocks[-1][3] == moved and f - s == blocks[-1][2] - blocks[-1][0] and s <= blocks[-1][1]:
-                blocks[-1] = (blocks[-1][0], max(e, blocks[-1][1]), blocks[-1][2], moved)
+    rest, turn = sorted(runs), 0
+    while rest:
+        times: dict[tuple[int, int], int] = {}
+        theirs = []
+        for s, e, f in rest:
+            times[f, e - s] = times.get((f, e - s), -1) + 1
+            theirs.append((times[f, e - s] if turn else 0, f, e - s))
+        backwards = turn > 0 and turn % 2 == 0
+        found = {i for i, _ in patience(theirs, sorted(set(theirs), reverse=backwards))}
+        if not found:
+            break
+        chain = [rest[i] for i in sorted(found)]
+        if turn:
+            chain.sort(key=lambda r: (r[2] - r[0], r))
+        for s, e, f in chain:
+            if blocks and blocks[-1][3] == (turn > 0) and f - s == blocks[-1][2] - blocks[-1][0] and blocks[-1][0] <= s <= blocks[-1][1]:
+                blocks[-1] = (blocks[-1][0], max(e, blocks[-1][1]), blocks[-1][2], turn > 0)
             else:
-                blocks.append((s, e, f, moved))
+                blocks.append((s, e, f, turn > 0))
+        rest = [r for i, r in enumerate(rest) if i not in found]
+        turn += 1
     return blocks
 
 
@@ -139,7 +155,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
         .select(
             "doc_id",
             F.xxhash64("_text").alias("th"),
-            F.transform(lines, lambda x: F.xxhash64(F.trim(x))).alias("h"),
+            F.transform(lines, lambda x: F.xxhash64(trim(x))).alias("h"),
             F.transform(lines, count).alias("w"),
         )
     )

@@ -95,6 +95,41 @@ def test_every_shared_run_lies_in_a_block(found):
     assert order == sorted(order) and sorted(g for _, g in order) == [g for _, g in order]
 
 
+def test_only_alignment_finds_blocks(spark, monkeypatch):
+    r = random.Random(3)
+    pool = [words(12, k) for k in range(30)]
+    rows = [(i, "\n".join(r.choices(pool, k=8))) for i in range(40)]
+    pairs = [[(s, s + 1, r.randrange(20)) for s in range(20)] for _ in range(50)]
+    assert all({i for a, b, *_ in L.aligned(p) for i in range(a, b)} == set(range(20)) for p in pairs)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {d.doc_id: d.text for d in L.dedup(docs).collect()} == brute_runs(rows)
+    whole = L.patience
+    monkeypatch.setattr(L, "patience", lambda a, b: [])
+    assert all(L.aligned(p) == [] for p in pairs)  # nothing else removes a line
+    monkeypatch.setattr(L, "patience", lambda a, b: whole(a, b) if list(b) == sorted(b) else [])
+    assert any({i for a, b, *_ in L.aligned(p) for i in range(a, b)} < set(range(20)) for p in pairs)
+
+
+def test_moved_and_repeated_runs_take_few_alignments(monkeypatch):
+    calls, whole = [], L.patience
+    monkeypatch.setattr(L, "patience", lambda a, b: (calls.append(1), whole(a, b))[1])
+    n = 3000
+    for runs, most in (
+        ([(i, i + 1, n - i) for i in range(n)], 4),  # lines in reverse
+        ([(i, i + 1, 7) for i in range(n)], 3),  # a line that repeats
+        ([(i, i + 1, f) for i, f in enumerate(random.Random(1).sample(range(n), n))], 6 * int(n**0.5)),
+    ):
+        calls.clear()
+        assert {i for a, b, *_ in L.aligned(runs) for i in range(a, b)} == set(range(n)) and len(calls) <= most
+
+
+def test_line_ends_and_tabs_do_not_tell_lines_apart(spark):
+    a, b = words(12, 1), words(15, 2)
+    rows = [(1, f"{a}\n{b}"), (2, f"{a}\r\n{b}\r"), (3, f"\t{a}\u00a0\n own \n  {b}\t"), (4, f"x{a}\n{b}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {d.doc_id: d.text for d in L.dedup(docs).collect()} == {1: rows[0][1], 2: "", 3: " own ", 4: "x" + a}
+
+
 def test_a_document_of_many_lines(spark):
     lines = [words(11, k) for k in range(3000)]
     long = "\n".join(lines[k % 3000] + ("" if k < 3000 else " x") for k in range(100_000))
