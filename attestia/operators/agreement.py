@@ -31,38 +31,47 @@ def align(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, [*keys, "field"], "full_outer").withColumnRenamed("field", "dimension")
 
 
-def agreement(paired: DataFrame, dimension: str = "dimension", dimensions: tuple[str, ...] | None = None) -> DataFrame:
-    """n, disagreements, raw and kappa (null where chance agreement is complete) for each dimension.
+def contingency(paired: DataFrame, *keys: str) -> DataFrame:
+    """How often each pair of values occurs for each key: keys, a, b, n. Tables of parts of the pairs add up."""
+    return paired.groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
-    With `dimensions` there is a row for each of them: one without pairs agrees entirely and has no kappa.
-    """
+
+def scores(cells: DataFrame, *keys: str) -> DataFrame:
+    """n, disagreements, raw and kappa (null where chance agreement is complete) of each key's contingency table."""
     n, apart = F.col("n"), ~F.col("a").eqNullSafe(F.col("b"))
-    cells = paired.groupBy(dimension, "a", "b").agg(F.count(F.lit(1)).alias("n"))
     # Each cell counts once for either rater's label, so that one pass gives both marginals.
     nothing = F.lit(0).cast("long")
     sides = F.array(
         F.struct(F.col("a").alias("label"), n.alias("l"), nothing.alias("r"), F.when(apart, n).otherwise(nothing).alias("d")),
         F.struct(F.col("b").alias("label"), nothing.alias("l"), n.alias("r"), nothing.alias("d")),
     )
-    labels = cells.select(dimension, F.inline(sides)).groupBy(dimension, "label").agg(*[F.sum(c).alias(c) for c in "lrd"])
-    totals = labels.groupBy(dimension).agg(
+    labels = cells.select(*keys, F.inline(sides)).groupBy(*keys, "label").agg(*[F.sum(c).alias(c) for c in "lrd"])
+    totals = labels.groupBy(*keys).agg(
         F.sum("l").alias("n"), F.sum("d").alias("disagreements"), F.sum(F.col("l").cast("double") * F.col("r")).alias("chance")
     )
     n = F.col("n").cast("double")
     po, pe = 1 - F.col("disagreements") / n, F.col("chance") / (n * n)
-    scores = totals.select(dimension, "n", "disagreements", po.alias("raw"), F.when(pe != 1, (po - pe) / (1 - pe)).alias("kappa"))
+    return totals.select(*keys, "n", "disagreements", po.alias("raw"), F.when(pe != 1, (po - pe) / (1 - pe)).alias("kappa"))
+
+
+def agreement(paired: DataFrame, dimension: str = "dimension", dimensions: tuple[str, ...] | None = None) -> DataFrame:
+    """n, disagreements, raw and kappa (null where chance agreement is complete) for each dimension.
+
+    With `dimensions` there is a row for each of them: one without pairs agrees entirely and has no kappa.
+    """
+    found = scores(contingency(paired, dimension), dimension)
     if dimensions is None:
-        return scores
+        return found
     every = paired.sparkSession.createDataFrame([(d,) for d in dimensions], f"{dimension} string")
     zero = F.lit(0).cast("long")
-    return every.join(scores, dimension, "left").select(
+    return every.join(found, dimension, "left").select(
         dimension, F.coalesce("n", zero).alias("n"), F.coalesce("disagreements", zero).alias("disagreements"), F.coalesce("raw", F.lit(1.0)).alias("raw"), "kappa"
     )
 
 
-def macro(scores: DataFrame) -> DataFrame:
-    """units, exact agreement, mean raw agreement and mean of the defined kappas over all dimensions."""
-    return scores.agg(
+def macro(scored: DataFrame, *keys: str) -> DataFrame:
+    """units, exact agreement, mean raw agreement and mean of the defined kappas over all dimensions (of each key)."""
+    return scored.groupBy(*keys).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("units"),
         F.coalesce(F.bool_and(F.col("disagreements") == 0), F.lit(True)).alias("exact"),
         F.avg("raw").alias("macro_raw"),

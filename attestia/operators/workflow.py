@@ -42,7 +42,19 @@ def reconcile(tasks: DataFrame, submissions: DataFrame) -> DataFrame:
             role("J2", "decision").alias("decision"),
         )
     )
-    state, passed, novel, decision = F.col("state"), F.coalesce("passed", F.lit(False)), F.coalesce("novel", F.lit(0)) > 0, F.col("decision")
+    state, decision = F.col("state"), F.col("decision")
+    raters, first, second = steps(F.coalesce("passed", F.lit(False)), F.coalesce("novel", F.lit(0)) > 0, decision)
+    move = (
+        F.when((state == "independent-review") & F.col("A").isNotNull() & F.col("B").isNotNull(), raters)
+        .when((state == "discussion") & F.col("J1").isNotNull(), first)
+        .when((state == "final-review") & F.col("J2").isNotNull() & decision.isNotNull(), second)
+    )
+    moved = tasks.join(slots, ["task_id", "round_id"]).withColumn("move", move).filter("move is not null")
+    return moved.select("task_id", state.alias("from_state"), "move.*")
+
+
+def steps(passed: Column, novel: Column, decision: Column) -> tuple[Column, Column, Column]:
+    """The steps after both raters, the first and the second judge, over the columns round_id, A, B, J1 and J2 (receipts)."""
     agrees = decision == "agree"
 
     def step(to, event, reason, key, reissued=F.lit(False)):
@@ -50,6 +62,7 @@ def reconcile(tasks: DataFrame, submissions: DataFrame) -> DataFrame:
         return F.struct(*[c.alias(n) for n, c in named])
 
     pick = lambda test, yes, no: F.when(test, yes).otherwise(no)
+    # States, event types, reason codes and key prefixes.
     raters = step(
         F.lit("discussion"),
         pick(passed, "independent-quorum-reached", "independent-disagreement-routed"),
@@ -70,13 +83,7 @@ def reconcile(tasks: DataFrame, submissions: DataFrame) -> DataFrame:
         F.concat_ws(":", F.lit("j2-ratification"), "J2"),
         ~agrees,
     )
-    move = (
-        F.when((state == "independent-review") & F.col("A").isNotNull() & F.col("B").isNotNull(), raters)
-        .when((state == "discussion") & F.col("J1").isNotNull(), first)
-        .when((state == "final-review") & F.col("J2").isNotNull() & decision.isNotNull(), second)
-    )
-    moved = tasks.join(slots, ["task_id", "round_id"]).withColumn("move", move).filter("move is not null")
-    return moved.select("task_id", state.alias("from_state"), "move.*")
+    return raters, first, second
 
 
 def rearm(jobs: DataFrame, now_ms: int) -> DataFrame:

@@ -79,3 +79,20 @@ def dedup(events: DataFrame, lateness: str = "40 days") -> DataFrame:
 
 def dedup_to_end(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return to_table(dedup(source(spark, folder, name)), "append")
+
+
+def arrivals(parts: list[DataFrame], step, path: str) -> None:
+    """Feed parts to a stream as they arrive: each is appended to a log, and an available-now run takes it up.
+
+    `step(batch, number)` gets the micro-batches. Log and checkpoint are in `path`, so the runs continue each other.
+    """
+    for part in parts:
+        part.write.mode("append").parquet(f"{path}/log")
+        spark = part.sparkSession
+        rows = spark.readStream.schema(part.schema).parquet(f"{path}/log")
+        rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def stream_path(spark: SparkSession, name: str) -> str:
+    """A new folder for a stream's log, checkpoint, state and results, in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/attestia-{name}-{uuid.uuid4().hex}"
