@@ -34,16 +34,17 @@ def chain(events: DataFrame, key: str, state: str, *order: str) -> DataFrame:
     return events.withColumn("version", F.row_number().over(w)).withColumn("before", F.lag(state).over(w))
 
 
-def apply_guarded(events: DataFrame, key: str, state: str, start: str, transitions=TRANSITIONS, *order: str, chunk: Column | None = None) -> DataFrame:
-    """Fold the events of each key: a transition that is not legal from the state reached so far is ignored.
+def _allowed(transitions) -> Column:
+    return F.create_map(*[x for k, v in transitions.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]) if v else F.array().cast("array<string>"))])
 
-    Returns key, state, version (transitions applied) and rejected. Events are folded in chunks, each for every state
-    that it may begin in; the chunks of a key are then chained, which is a look-up for each. `chunk` must ascend with
-    the order (a day, an hour); with it, a key of any number of events is shared among tasks.
+
+def outcomes(events: DataFrame, key: str, state: str, start: str, transitions, *order: str, chunk: Column | None = None) -> DataFrame:
+    """key, _chunk and _from: for every state in which a chunk of a key's events may begin, the state it ends in, with counts.
+
+    These maps compose, so a key's chunks can be folded apart and then chained.
     """
     states = sorted({start, *transitions, *[s for t in transitions.values() for s in t]})
-    allowed = F.create_map(*[x for k, v in transitions.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]) if v else F.array().cast("array<string>"))])
-    zero = F.lit(0).cast("long")
+    allowed, zero = _allowed(transitions), F.lit(0).cast("long")
 
     def step(acc, e):
         ok = F.coalesce(F.array_contains(F.element_at(allowed, acc["state"]), e["_to"]), F.lit(False))
@@ -54,12 +55,23 @@ def apply_guarded(events: DataFrame, key: str, state: str, start: str, transitio
         )
 
     rows = events.select(key, (F.lit(0) if chunk is None else chunk).alias("_chunk"), F.struct(*order, F.col(state).alias("_to")).alias("_event"))
-    ordered = F.array_sort(F.collect_list("_event"))
+    chunks = rows.groupBy(key, "_chunk").agg(F.array_sort(F.collect_list("_event")).alias("_events"))
     begin = lambda s: F.struct(s.alias("state"), zero.alias("version"), zero.alias("rejected"))
-    chunks = rows.groupBy(key, "_chunk").agg(ordered.alias("_events"))
-    outcomes = F.map_from_arrays(F.array(*[F.lit(s) for s in states]), F.array(*[F.aggregate("_events", begin(F.lit(s)), step) for s in states]))
-    parts = chunks.select(key, "_chunk", outcomes.alias("_from"))
+    found = F.map_from_arrays(F.array(*[F.lit(s) for s in states]), F.array(*[F.aggregate("_events", begin(F.lit(s)), step) for s in states]))
+    return chunks.select(key, "_chunk", found.alias("_from"))
+
+
+def apply_guarded(events: DataFrame, key: str, state: str, start: str, transitions=TRANSITIONS, *order: str, chunk: Column | None = None) -> DataFrame:
+    """Fold the events of each key: a transition that is not legal from the state reached so far is ignored.
+
+    Returns key, state, version (transitions applied) and rejected. Events are folded in chunks, each for every state
+    that it may begin in; the chunks of a key are then chained, which is a look-up for each. `chunk` must ascend with
+    the order (a day, an hour); with it, a key of any number of events is shared among tasks.
+    """
+    parts = outcomes(events, key, state, start, transitions, *order, chunk=chunk)
     chained = F.array_sort(F.collect_list(F.struct("_chunk", F.map_entries("_from").alias("_from"))))
+    zero = F.lit(0).cast("long")
+    begin = F.struct(F.lit(start).alias("state"), zero.alias("version"), zero.alias("rejected"))
 
     def follow(acc, c):
         out = F.element_at(F.map_from_entries(c["_from"]), acc["state"])
@@ -67,11 +79,48 @@ def apply_guarded(events: DataFrame, key: str, state: str, start: str, transitio
             out["state"].alias("state"), (acc["version"] + out["version"]).alias("version"), (acc["rejected"] + out["rejected"]).alias("rejected")
         )
 
-    return parts.groupBy(key).agg(F.aggregate(chained, begin(F.lit(start)), follow).alias("r")).select(
+    return parts.groupBy(key).agg(F.aggregate(chained, begin, follow).alias("r")).select(
         key, "r.state", F.col("r.version").cast("int").alias("version"), F.col("r.rejected").cast("int").alias("rejected")
     )
 
 
+def judge_guarded(events: DataFrame, key: str, state: str, start: str, transitions, *order: str, chunk: Column, begin: str | None = None) -> DataFrame:
+    """The events with `legal`: whether each is allowed from the state that the legal ones before it have reached.
+
+    `begin` names a column with the state in which the key's first event finds it; `start` is that of keys without one. Chunks are
+    folded and chained as in `apply_guarded`; then each chunk, whose first state is known by now, is read once in order.
+    """
+    first = F.coalesce(F.max(begin), F.lit(start)) if begin else F.lit(start)
+    parts = outcomes(events, key, state, start, transitions, *order, chunk=chunk)
+    chained = F.array_sort(F.collect_list(F.struct("_chunk", F.map_entries("_from").alias("_from"))))
+
+    def follow(acc, c):
+        after = F.element_at(F.map_from_entries(c["_from"]), acc["state"])["state"]
+        return F.struct(after.alias("state"), F.concat(acc["starts"], F.array(F.struct(c["_chunk"].alias("_chunk"), acc["state"].alias("_state")))).alias("starts"))
+
+    kind = f"array<struct<_chunk:{parts.schema['_chunk'].dataType.simpleString()},_state:string>>"
+    firsts = events.groupBy(key).agg(first.alias("_first"))
+    chains = parts.groupBy(key).agg(chained.alias("_chain")).join(firsts, key)
+    starts = chains.select(key, F.inline(F.aggregate("_chain", F.struct(F.col("_first").alias("state"), F.array().cast(kind).alias("starts")), follow)["starts"]))
+    legal = {a: frozenset(b) for a, b in transitions.items()}
+    at = [events.columns.index(state)]
+
+    def read(frames):
+        own, now = None, None
+        for frame in frames:
+            ok = []
+            for k, c, s, to in zip(frame[key], frame["_chunk"], frame["_state"], frame.iloc[:, at[0]], strict=True):
+                if own != (k, c):
+                    own, now = (k, c), s
+                ok.append(to in legal.get(now, ()))
+                now = to if ok[-1] else now
+            yield frame.drop(columns=["_chunk", "_state"]).assign(legal=ok)
+
+    placed = events.withColumn("_chunk", chunk).join(starts, [key, "_chunk"]).select(*events.columns, "_chunk", "_state")
+    sorted_ = placed.repartition(key, "_chunk").sortWithinPartitions(key, "_chunk", *order)
+    return sorted_.mapInPandas(read, type(events.schema)([*events.schema.fields]).add("legal", "boolean"))
+
+
 def verify_chain(events: DataFrame, key: str, hash_column: str, prior: str, *order: str) -> DataFrame:
     """Events whose recorded prior hash is not the hash of the event before."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -267,10 +267,3 @@ def stream_state_machine(spark, sf_dir):
     from attestia.streaming import machine
 
     return machine.run_to_end(spark, sf_dir, "events.parquet", STEPS, "signup")
-
-
-@query("""select user_id, event_type, count(*) as n from (select distinct user_id, event_type, cast(floor(value) as int) as v from events) group by user_id, event_type""")
-def stream_dedup(spark, sf_dir):
-    from attestia.streaming import machine
-
-    return machine.dedup_to_end(spark, sf_dir, "events.parquet").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))

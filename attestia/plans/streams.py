@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from attestia.operators import rounds as R
 from attestia.plans.registry import registry
+from attestia.plans.stateful import _PAIRS, STEPS
 from attestia.plans.workflow import LINES, lines
+from attestia.session import table
 from attestia.streaming import machine
+from attestia.streaming.admission import HOUR_US, Admission
+from attestia.streaming.deadlines import Deadlines
 from attestia.streaming.rounds import Rounds
 
 QUERIES, ORACLES, query = registry()
@@ -78,3 +82,65 @@ def stream_rounds(spark, sf_dir):
     settled = Rounds(spark, path, POLICY)
     machine.arrivals([log.filter(place == n) for n in range(3)], settled, path)
     return settled.events().select(*STEP)
+
+
+def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with an idempotency key and a payload that may differ between uses of a key."""
+    v = F.floor("value").cast("int").cast("string")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("entity"), F.concat_ws(":", F.col("user_id").cast("string"), "event_type", v).alias("key"), (F.col("event_id") % 4 == 0).cast("string").alias("payload"),
+        F.col("event_type").alias("kind"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id"),
+    )
+
+
+@query(f"""with recursive steps(a, b) as (values {_PAIRS}), keyed as (
+  select event_id, user_id, event_type, ts, event_id % 3 as part, event_id % 4 = 0 as payload, user_id || ':' || event_type || ':' || cast(floor(value) as int) as key from events
+), ranked as (
+  select *, row_number() over (partition by key order by part, ts, event_id) as use, first_value(payload) over (partition by key order by part, ts, event_id) as held,
+    row_number() over (order by ts, event_id) as k from keyed
+), fresh as (select *, row_number() over (partition by user_id order by part, k) as i from ranked where use = 1),
+fold(user_id, i, part, state, last, now, event_id, tag) as (
+  select distinct user_id, 0::bigint, -1::bigint, 'signup', 0::bigint, 0::bigint, -1::bigint, '' from fresh
+  union all
+  select f.user_id, o.i, o.part, case when x.late or a is null then f.state else o.event_type end, case when o.part > f.part then f.now else f.last end,
+    case when x.late or a is null then f.now else greatest(f.now, o.k) end, o.event_id, case when x.late then 'late' when a is null then 'illegal' else 'accepted' end
+  from fold f join fresh o on o.user_id = f.user_id and o.i = f.i + 1 left join steps on a = f.state and b = o.event_type,
+  lateral (select o.k <= case when o.part > f.part then f.now else f.last end as late) x)
+select event_id, tag from fold where i > 0 union all select event_id, case when payload = held then 'repeat' else 'conflict' end from ranked where use > 1""")
+def stream_admission(spark, sf_dir):
+    """Every event of a stream that comes in three parts out of order: accepted, or rejected with the reason."""
+    path = machine.stream_path(spark, "admission")
+    gate, log = Admission(spark, path, STEPS, "signup", F.floor(F.col("at") / (24 * HOUR_US))), arriving(spark, sf_dir)
+    machine.arrivals([log.filter(F.col("id") % 3 == n) for n in range(3)], gate, path)
+    return gate.accepted().unionByName(gate.rejected()).select(F.col("id").alias("event_id"), "tag")
+
+
+@query("""select user_id, event_type, count(*) as n from (select distinct user_id, event_type, cast(floor(value) as int) as v from events) group by user_id, event_type""")
+def stream_dedup(spark, sf_dir):
+    """The first event of each idempotency key, whenever it comes; nothing is lost, repeats are rejects."""
+    path = machine.stream_path(spark, "dedup")
+    gate, log = Admission(spark, path), arriving(spark, sf_dir)
+    machine.arrivals([log.filter(F.col("id") % 2 == n) for n in (1, 0)], gate, path)
+    return gate.accepted().groupBy(F.col("entity").alias("user_id"), F.col("kind").alias("event_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+DAY, LIFE = 86_400_000, 60 * 86_400_000
+_TIMES = """times as (select o_orderkey as round, epoch_us(o_orderdate) // 1000 as opened, min(case when l_linenumber = 1 then epoch_us(l_shipdate) // 1000 end) as a,
+  min(case when l_linenumber = 2 then epoch_us(l_shipdate) // 1000 end) as b from orders left join lineitem on l_orderkey = o_orderkey and l_linenumber <= 2 group by all)"""
+
+
+@query(f"""with {_TIMES}, mark as (select greatest(max(opened), max(a), max(b)) as now from times)
+select round, case when a <= opened + {LIFE} and b <= opened + {LIFE} then 'reached' else 'expired' end as outcome,
+  case when a <= opened + {LIFE} and b <= opened + {LIFE} then greatest(a, b) else opened + {LIFE} end as at from times, mark
+where (a <= opened + {LIFE} and b <= opened + {LIFE}) or opened + {LIFE} <= now""")
+def stream_deadlines(spark, sf_dir):
+    """Rounds that reach their quorum, or expire by themselves, as three years of orders and shipments go by."""
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    opened = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("round"), F.lit("open").alias("kind"), ms("o_orderdate").alias("at"))
+    shipped = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").select("l_orderkey", F.when(F.col("l_linenumber") == 1, "A").otherwise("B"), ms("l_shipdate"))
+    known = shipped.join(opened.select("round"), F.col("l_orderkey") == F.col("round"), "left_semi")
+    log, path = opened.unionAll(known), machine.stream_path(spark, "deadlines")
+    watch = Deadlines(spark, path, ("A", "B"), LIFE, ttl=30 * DAY)
+    year = F.year(F.timestamp_millis("at"))
+    machine.arrivals([log.filter(year <= 1994), log.filter(year.between(1995, 1996)), log.filter(year > 1996)], watch, path)
+    return watch.outcomes().select("round", "outcome", "at")

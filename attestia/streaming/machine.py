@@ -71,16 +71,6 @@ def run_to_end(spark: SparkSession, folder: str, name: str, transitions: dict[st
     return rows.groupBy("user_id").agg(F.max_by(F.struct("state", "version", "rejected"), "batch").alias("r")).select("user_id", "r.*")
 
 
-def dedup(events: DataFrame, lateness: str = "40 days") -> DataFrame:
-    """The first event of each idempotency key; keys are kept as long as late repeats are accepted."""
-    keyed = events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.floor("value").cast("int").alias("v"))
-    return keyed.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["user_id", "event_type", "v"])
-
-
-def dedup_to_end(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return to_table(dedup(source(spark, folder, name)), "append")
-
-
 def arrivals(parts: list[DataFrame], step, path: str) -> None:
     """Feed parts to a stream as they arrive: each is appended to a log, and an available-now run takes it up.
 

@@ -12,6 +12,7 @@ from attestia.operators import relational as R
 from attestia.plans import catalogue
 from attestia.sources import manifests
 from attestia.streaming import machine
+from attestia.streaming.admission import Admission
 
 
 def one(spark, *columns):
@@ -109,8 +110,10 @@ def test_stream_over_several_batches_equals_the_batch(spark, tmp_path):
     last = stream.groupBy("user_id").agg(F.max_by(F.struct("state", "version", "rejected"), "batch").alias("r")).select("user_id", "r.*")
     batch = C.apply_guarded(frame, "user_id", "event_type", "a", steps, "ts", "event_id")
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, batch.collect()))
-    kept = machine.dedup_to_end(spark, str(tmp_path), "events.parquet")
-    assert kept.count() == len({(u, t, v) for _, _, u, t, v in rows})
+    gate = Admission(spark, str(tmp_path / "gate"))
+    keyed = frame.select(F.col("user_id").alias("entity"), F.concat_ws(":", "user_id", "event_type", "value").alias("key"), F.lit("").alias("payload"), F.col("event_type").alias("kind"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id"), "day")
+    machine.arrivals([keyed.filter(f"day = {d}").drop("day") for d in (3, 0, 1, 4, 2)], gate, str(tmp_path / "gate"))
+    assert gate.accepted().count() == len({(u, t, v) for _, _, u, t, v in rows}) and gate.accepted().count() + gate.rejected().count() == len(rows)
 
 
 def test_json_keys_and_times(spark):

@@ -5,8 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from attestia.operators import consensus as C
 from attestia.operators import rounds as R
 from attestia.streaming import machine
+from attestia.streaming.admission import Admission
+from attestia.streaming.deadlines import Deadlines, outcomes
 from attestia.streaming.ledger import Ledger
 from attestia.streaming.rounds import Rounds
 
@@ -105,3 +108,128 @@ def test_ledger_merges_folds_and_forgets(spark, tmp_path):
     assert found[1] == (15, 4) and found[4] == (5, 0) and 2 not in found and 0 not in found  # forgotten at a fold
     assert {r.k for r in book.before(5, spark.createDataFrame([(4,)], "k long")).collect()} == {4}
     assert book.before(0).count() == 0
+
+
+STEPS = {"s": ("a", "x"), "a": ("b", "a"), "b": ("c", "a"), "c": ("a",)}
+EVENT = "entity long, key string, payload string, kind string, at long, id long"
+
+
+def drawn_events(n=400, seed=1):
+    r = random.Random(seed)
+    return [(r.choice([0, 0, 0, *range(8)]), r.choice([None, *map(str, range(300))]), r.choice("pq"), r.choice("abcx"), r.randrange(50) * 900_000_000, i) for i in range(n)]
+
+
+def brute_admission(parts):
+    """Tags of all events by plain Python, batch after batch."""
+    used, state, out = {}, {}, {}
+    for part in parts:
+        firsts = {}
+        for e in sorted(part, key=lambda e: (e[4], e[5])):
+            if e[1] is None:
+                out[e[5]] = "no-key"
+            elif e[1] in used:
+                out[e[5]] = "repeat" if used[e[1]] == e[2] else "conflict"
+            else:
+                used[e[1]] = e[2]
+                firsts.setdefault(e[0], []).append(e)
+        for entity, events in firsts.items():
+            now, last = state.get(entity, ("s", (-1, -1)))
+            before = last
+            for e in events:
+                if (e[4], e[5]) <= before:
+                    out[e[5]] = "late"
+                elif e[3] not in STEPS.get(now, ()):
+                    out[e[5]] = "illegal"
+                else:
+                    out[e[5]], now, last = "accepted", e[3], (e[4], e[5])
+            state[entity] = now, last
+    return out
+
+
+@pytest.mark.parametrize("order", ["given", "time", "reverse"])
+def test_every_event_is_accepted_or_rejected_once(spark, tmp_path, order):
+    rows = drawn_events()
+    if order != "given":
+        rows.sort(key=lambda e: (e[4], e[5]), reverse=order == "reverse")
+    parts = [rows[:100], rows[100:101], rows[101:300], rows[300:]]
+    gate = Admission(spark, str(tmp_path), STEPS, "s", F.floor(F.col("at") / 5_000_000_000))
+    gate.keys.every = gate.entities.every = 2
+    machine.arrivals([spark.createDataFrame(p, EVENT) for p in parts], gate, str(tmp_path))
+    yes, no = gate.accepted().collect(), gate.rejected().collect()
+    assert sorted((tuple(e)[:6] for e in yes + no), key=str) == sorted(rows, key=str)
+    want = brute_admission(parts)
+    assert {e.id: e.tag for e in yes + no} == want and {e.tag for e in yes} == {"accepted"}
+    tags = set(want.values())
+    assert {"no-key", "repeat", "conflict", "illegal", "accepted"} <= tags and ("late" in tags) == (order != "time")
+
+
+def test_no_event_is_too_late_for_deduplication(spark, tmp_path):
+    day = 86_400_000_000
+    parts = [[(1, "june", "p", "a", 150 * day, 1)], [(1, "june2", "p", "a", 151 * day, 2)], [(1, "january", "p", "a", 0, 3), (2, "june", "p", "a", 0, 4)]]
+    gate = Admission(spark, str(tmp_path))
+    machine.arrivals([spark.createDataFrame(p, EVENT) for p in parts], gate, str(tmp_path))
+    assert {e.id for e in gate.accepted().collect()} == {1, 2, 3} and {(e.id, e.tag) for e in gate.rejected().collect()} == {(4, "repeat")}
+
+
+def test_rows_repeated_whole_and_batches_run_again(spark, tmp_path):
+    rows = [(1, "k", "p", "a", 5, 1)] * 4 + [(1, "l", "p", "b", 6, 2)]
+    gate = Admission(spark, str(tmp_path), STEPS, "s")
+    for number, part in enumerate((rows, rows[:1])):
+        for _ in range(2):
+            gate(spark.createDataFrame(part, EVENT), number)
+    assert sorted((e.id, e.tag) for e in gate.accepted().collect()) == [(1, "accepted"), (2, "accepted")]
+    assert [e.tag for e in gate.rejected().collect()] == ["repeat"] * 4
+
+
+def test_one_entity_with_half_of_all_events_is_shared_among_tasks(spark, tmp_path):
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("entity"), F.col("id").cast("string").alias("key"), F.lit("p").alias("payload"),
+        F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("kind"), (F.col("id") * 10_000_000).alias("at"), "id",
+    )
+    gate = Admission(spark, str(tmp_path), STEPS, "s")
+    gate(rows, 0)
+    hot = gate.accepted().filter("entity = 0")
+    assert hot.count() == 10_000 and gate.rejected().count() == 10_000  # others cannot begin with b
+    placed = C.outcomes(rows, "entity", "kind", "s", STEPS, "at", "id", chunk=gate.chunk)
+    assert placed.filter("entity = 0").count() > 50  # folded in as many rows
+
+
+ROW = "round long, kind string, at long"
+
+
+def drawn_rounds(n=150, seed=3):
+    r = random.Random(seed)
+    rows = []
+    for k in range(n):
+        opened = r.randrange(1000)
+        rows += [(k, "open", opened)] + [(k, role, opened + r.choice([5, 50, 99, 100, 101, 300])) for role in "ABA" if r.random() < 0.7]
+    rows += [(0, "A", r.randrange(1400)) for _ in range(len(rows))]  # one round has half of all rows
+    return sorted(rows + [(None, "A", 20), (9999, "B", 30)], key=lambda x: x[2])
+
+
+@pytest.mark.parametrize("cuts", [(), (200,), (40, 41, 150, 290, 400)])
+def test_deadlines_fire_as_the_range_rule_has_it(spark, tmp_path, cuts):
+    rows = drawn_rounds()
+    edges = [0, *cuts, len(rows)]
+    whole = spark.createDataFrame(rows, ROW)
+    want = {tuple(x) for x in outcomes(whole, ("A", "B"), 100).collect()}
+    opened = {k: t for k, kind, t in rows if kind == "open"}
+    first = lambda k, role: min((t for x, kind, t in rows if (x, kind) == (k, role)), default=10**9)
+    for k, outcome, at in want:
+        last = max(first(k, "A"), first(k, "B"))
+        assert (outcome, at) == (("reached", last) if last <= opened[k] + 100 else ("expired", opened[k] + 100))
+    watch = Deadlines(spark, str(tmp_path), ("A", "B"), 100, ttl=10**6)
+    watch.rounds.every = 2
+    machine.arrivals([spark.createDataFrame(rows[a:b], ROW) for a, b in zip(edges, edges[1:], strict=False)], watch, str(tmp_path))
+    assert {tuple(x)[:3] for x in watch.outcomes().collect()} == want and {o for _, o, _ in want} == {"reached", "expired"}
+    assert watch.outcomes().count() == len(want)
+
+
+def test_a_round_expires_without_a_row_of_its_own_and_is_forgotten(spark, tmp_path):
+    watch = Deadlines(spark, str(tmp_path), ("A", "B"), 100, ttl=70)
+    watch.rounds.every = 2
+    for number, rows in enumerate(([(1, "open", 0), (1, "A", 5)], [(2, "open", 150)], [(1, "B", 160)], [(3, "open", 400)])):
+        watch(spark.createDataFrame(rows, ROW), number)
+    assert {tuple(x) for x in watch.outcomes().collect()} == {(1, "expired", 100, 1), (2, "expired", 250, 3)}
+    assert [tuple(x) for x in watch.refused().collect()] == [(1, "B", 160, 2)]
+    assert {r["round"] for r in watch.rounds.before(4).collect()} == {3}  # the others have left the state
