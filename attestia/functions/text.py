@@ -87,12 +87,35 @@ def placeholders(template: Column) -> Column:
     return F.transform(F.regexp_extract_all(template, F.lit(r"\{([^}]*)\}"), F.lit(1)), lambda x: trim(x))
 
 
+def segments(template: Column) -> Column:
+    """A template as an array of (literal, place): each literal with the trimmed name of the place after it, null after the last."""
+    parts = F.regexp_extract_all(template, F.lit(r"(?s)([^{]*)\{([^}]*)\}"), F.lit(0))
+    literal = lambda p: F.substring_index(p, "{", 1)
+    place = lambda p: trim(F.regexp_extract(p, r"(?s)\{([^}]*)\}$", 1))
+    cut = F.transform(parts, lambda p: F.struct(literal(p).alias("literal"), place(p).alias("place")))
+    used = F.aggregate(parts, F.lit(0), lambda n, p: n + F.length(p))
+    rest = F.substring(template, used + 1, F.length(template))
+    return F.concat(cut, F.array(F.struct(rest.alias("literal"), F.lit(None).cast("string").alias("place"))))
+
+
+def template_fault(template: Column) -> Column:
+    """`unterminated` if a place is not closed, `empty` if one has no name; null if the template is sound."""
+    parts = segments(template)
+    open_ = F.element_at(parts, -1)["literal"].contains("{")
+    return F.when(open_, "unterminated").when(F.exists(parts, lambda p: F.coalesce(p["place"] == "", F.lit(False))), "empty")
+
+
 def render_template(template: Column, values: dict[str, Column]) -> Column:
-    """The template with each {name} replaced; values are literal text."""
-    out = template
-    for name, value in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), value)
-    return out
+    """The template with each {name} replaced; values are literal text, in which no place is looked for.
+
+    Places without a value stay as they are; null values make the result null.
+    """
+    known = F.create_map(*[x for name, value in values.items() for x in (F.lit(name), value.cast("string"))]) if values else F.create_map().cast("map<string,string>")
+    names = [F.lit(n) for n in values]
+    kept = lambda p: F.concat(F.lit("{"), p["place"], F.lit("}"))
+    filled = lambda p: F.when(p["place"].isin(*names), F.element_at(known, p["place"])).otherwise(kept(p)) if names else kept(p)
+    parts = F.transform(segments(template), lambda p: F.when(p["place"].isNull(), p["literal"]).otherwise(F.concat(p["literal"], filled(p))))
+    return F.aggregate(parts, F.lit(""), lambda done, p: F.concat(done, p))
 
 
 def collapse(c: Column) -> Column:
@@ -203,15 +226,18 @@ def unique_list(items: Column, pattern: str, most: int) -> Column:
 
 
 def _pretty(texts: pd.Series) -> pd.Series:
+    from attestia.functions.hashing import json_text, json_value
+
     def one(text):
         try:
-            return json.dumps(json.loads(text), indent=2, ensure_ascii=False) + "\n"
-        except (TypeError, ValueError):
+            return json_text(json_value(text), indent="  ") + "\n"
+        except (TypeError, ValueError, RecursionError):
             return None
 
     return texts.map(one)
 
 
 def pretty_json(c: Column) -> Column:
-    """A JSON text with an indent of two spaces and a line end, its keys in their order; null if it is no JSON."""
+    """A JSON text with an indent of two spaces and a line end, its keys in their order and its numbers in their
+    shortest form; null if it is no JSON."""
     return F.pandas_udf(_pretty, "string")(c)

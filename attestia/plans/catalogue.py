@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from attestia.plans import grammar, intake, nested, packets, relational, scalar, stateful, statistics, streams, workflow
+from attestia.plans import grammar, intake, journals, nested, packets, relational, scalar, stateful, statistics, streams, workflow
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (statistics, relational, scalar, nested, stateful, grammar, workflow, packets, intake, streams):
+for _module in (statistics, relational, scalar, nested, stateful, grammar, workflow, packets, intake, streams, journals):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

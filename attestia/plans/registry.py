@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from attestia.functions.text import WHITE_SPACE
+
+
+def trimmed(expression: str) -> str:
+    """Oracle text that trims all white space."""
+    return f"trim({expression}, '{WHITE_SPACE}')"
+
 
 def registry():
     queries: dict = {}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attestia.functions import hashing as H
 from attestia.functions import text as T
-from attestia.plans.registry import registry
+from attestia.plans.registry import registry, trimmed
 from attestia.session import table
 
 QUERIES, ORACLES, query = registry()
@@ -19,10 +19,10 @@ def HMAC_SQL(column: str, key: bytes = b"example key") -> str:  # noqa: N802
     return f"sha256('{pads[1]}'::blob || unhex(sha256('{pads[0]}'::blob || encode({column}))))"
 
 
-@query(r"""select doc_id, regexp_replace(trim(replace(text, 'e', 'e' || chr(1614))), '[\x{064B}-\x{065F}\x{0670}]', '', 'g') as plain,
+@query(f"select doc_id, regexp_replace({trimmed("chr(9) || replace(text, 'e', 'e' || chr(1614)) || chr(10) || chr(160)")}," + r""" '[\x{064B}-\x{065F}\x{0670}]', '', 'g') as plain,
   regexp_matches(text, '[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}]') as arabic from documents""")
 def strip_diacritics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = F.replace(F.col("text"), F.lit("e"), F.lit("eَ"))
+    marked = F.concat(F.lit("\t"), F.replace(F.col("text"), F.lit("e"), F.lit("eَ")), F.lit("\n\u00a0"))
     return table(spark, sf_dir, "documents").select("doc_id", T.strip_diacritics(marked).alias("plain"), T.has_arabic_letter(F.col("text")).alias("arabic"))
 
 
@@ -95,12 +95,15 @@ def rowset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 leaves as (select left(line, 2) as range, count(*) as n, sha256(string_agg(line, chr(10) order by line)) as leaf from lines group by left(line, 2))
 select cast(sum(n) as bigint) as n_rows, sha256(string_agg(leaf, chr(10) order by range)) as digest from leaves""")
 def rowset_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.rowset_tree(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderstatus")
+    return H.rowset_tree(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderstatus").select("n_rows", "digest")
 
 
-@query("""select event_id, sha256('{"k":' || json_extract_string(props, '$.k') || '}') as digest from events""")
+@query("""select event_id, sha256('{"a":[' || event_id || ',1000,' || event_id || '.5,1e+21,0],"k":' || json_extract_string(props, '$.k') || '}') as digest from events""")
 def canonical_json_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", H.canonical_json_hash(F.col("props")).alias("digest"))
+    """Digests of JSON texts with keys in any order and numbers in any form."""
+    number = F.col("event_id").cast("string")
+    text = F.concat(F.lit('{ "k" : '), F.get_json_object("props", "$.k"), F.lit('.0, "a": ['), number, F.lit(".0, 1e3, "), number, F.lit(".50e0, 1E21, -0.0]}"))
+    return table(spark, sf_dir, "events").select("event_id", H.canonical_json_hash(text).alias("digest"))
 
 
 @query("""select count(*) as files, cast(sum(bytes) as bigint) as bytes, sha256(string_agg(line, '' order by path)) as root from (
@@ -118,7 +121,7 @@ def manifest_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 leaves as (select left(sha256(path), 2) as range, count(*) as n, sum(bytes) as bytes, sha256(string_agg(line, '' order by path)) as leaf from files group by left(sha256(path), 2))
 select cast(sum(n) as bigint) as files, cast(sum(bytes) as bigint) as bytes, sha256(string_agg(leaf, chr(10) order by range)) as root from leaves""")
 def manifest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Root digest of all documents in two levels, for lists that no task should order whole as `manifest_root` does."""
+    """Root digest of all documents in two levels, shared among tasks."""
     from attestia.sources.manifests import root_tree
 
     path = F.concat(F.lit("d/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"))
@@ -210,8 +213,7 @@ def document_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select p_name, row_number() over (order by lower(p_name)) as place from (select distinct p_name from part)""")
 def locale_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths in locale order (a Unicode collation) rather than by bytes."""
-    from pyspark.sql import Window
+    from attestia.operators.ordered import numbered
 
-    name = F.collate(F.col("p_name"), "UNICODE")
     names = table(spark, sf_dir, "part").select("p_name").distinct()
-    return names.select("p_name", F.row_number().over(Window.orderBy(name)).alias("place"))
+    return numbered(names, F.collate(F.col("p_name"), "UNICODE"), out="place")

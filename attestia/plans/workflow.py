@@ -9,7 +9,7 @@ from attestia.functions import hashing as H
 from attestia.functions import text as T
 from attestia.operators import documents as D
 from attestia.operators import workflow as W
-from attestia.plans.registry import registry
+from attestia.plans.registry import registry, trimmed
 from attestia.plans.scalar import HMAC_SQL
 from attestia.plans.stateful import NOW, OUTBOX, outbox
 from attestia.session import table
@@ -157,12 +157,12 @@ def note_texts(spark, sf_dir):
 _BOUND = """bound as (select o_orderkey as "packetId", o_custkey as task, case when o_orderkey % 11 = 0 then o_custkey + 1 else o_custkey end as claimed,
   sha256('p' || o_orderkey) as packet, sha256('f' || o_custkey) as final, case when o_orderkey % 7 = 0 then 'J1' else 'J2' end as slot,
   case o_orderkey % 5 when 0 then 'agree' when 1 then 'recuse' when 2 then 'maybe' else 'disagree' end as decision,
-  case when o_orderkey % 3 = 0 then '  ' || o_orderpriority || '  ' else o_orderpriority || ' is what both judges have seen' end as rationale from orders)"""
+  case when o_orderkey % 3 = 0 then '  ' || o_orderpriority || repeat(chr(10), 20) else o_orderpriority || ' is what both judges have seen' end as rationale from orders)"""
 
 
 @query(f"""with {_BOUND} select "packetId", reason from (
   select "packetId", unnest(list_filter([case when claimed <> task then 'identity' end, case when "packetId" % 13 = 0 then 'packet-root' end, case when claimed <> task then 'final-root' end,
-    case when slot <> 'J2' then 'slot' end, case when decision = 'maybe' then 'decision' end, case when length(trim(rationale)) < 20 or length(rationale) > 4000 then 'rationale' end], lambda x: x is not null)) as reason from bound)""")
+    case when slot <> 'J2' then 'slot' end, case when decision = 'maybe' then 'decision' end, case when length(""" + trimmed("rationale") + f""") < 20 or length(rationale) > 4000 then 'rationale' end], lambda x: x is not null)) as reason from bound)""")
 def ratification_binding(spark, sf_dir):
     """Ratifications that are not bound to the result they judge, with every reason."""
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
@@ -174,7 +174,7 @@ def ratification_binding(spark, sf_dir):
         key.alias("packetId"), claimed.alias("taskId"), F.when(key % 13 == 0, "0").otherwise(root("p", key)).alias("packetMerkleRoot"),
         root("f", claimed).alias("primaryAdjudicationMerkleRoot"), F.when(key % 7 == 0, "J1").otherwise("J2").alias("reviewerSlot"),
         F.when(key % 5 == 0, "agree").when(key % 5 == 1, "recuse").when(key % 5 == 2, "maybe").otherwise("disagree").alias("decision"),
-        F.when(key % 3 == 0, F.concat(F.lit("  "), "o_orderpriority", F.lit("  "))).otherwise(F.concat("o_orderpriority", F.lit(" is what both judges have seen"))).alias("rationale"),
+        F.when(key % 3 == 0, F.concat(F.lit("  "), "o_orderpriority", F.lit("\n" * 20))).otherwise(F.concat("o_orderpriority", F.lit(" is what both judges have seen"))).alias("rationale"),
     )
     return W.ratification_rejects(rows, finals, ["taskId"])
 
@@ -233,14 +233,14 @@ def mail_addresses(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", T.normalise_email(F.concat(F.lit(" "), F.replace("c_name", F.lit("#"), F.lit(".")), sign, F.lit("Example.COM "))).alias("mail"))
 
 
-@query(r"""select p_partkey, regexp_replace(lower(trim('  De_f-' || p_name || chr(1614) || '  ')), '[_\-\x{064B}-\x{065F}\x{0670}]', '', 'g') as surface,
+@query(f"select p_partkey, regexp_replace(lower({trimmed("chr(9) || ' De_f-' || p_name || chr(1614) || chr(13) || chr(10)")})" + r""", '[_\-\x{064B}-\x{065F}\x{0670}]', '', 'g') as surface,
   regexp_replace(lower('De_f-' || p_name || '''s'), '[\s_\-''`]', '', 'g') as label, 'say "" now ' as bare from part""")
 def keyword_keys(spark, sf_dir):
     """Keys of surface keywords and JSON labels, and statements without their comments and quoted texts."""
     name = F.col("p_name")
     line = F.concat(F.lit('say "'), name, F.lit('" now # '), name)
     return table(spark, sf_dir, "part").select(
-        "p_partkey", T.surface_key(F.concat(F.lit("  De_f-"), name, F.lit("َ  "))).alias("surface"), T.json_key(F.concat(F.lit("De_f-"), name, F.lit("'s"))).alias("label"),
+        "p_partkey", T.surface_key(F.concat(F.lit("\t De_f-"), name, F.lit("َ\r\n"))).alias("surface"), T.json_key(F.concat(F.lit("De_f-"), name, F.lit("'s"))).alias("label"),
         T.strip_quoted(T.strip_comment(line)).alias("bare"),
     )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestia.operators import ordered
+
 
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """path (relative to the folder) and content of the files below a folder."""
@@ -20,18 +22,21 @@ def _line():
 def root(listed: DataFrame) -> DataFrame:
     """files, bytes and the root digest over `<sha256> <bytes> <path>` lines in ordinal path order.
 
-    Contents are reduced to their lines where they lie; only the lines meet, in the one task that orders them:
-    for lists of bounded length. `root_tree` is for lists of any length.
+    Contents are reduced to their lines where they lie; the lines are sorted on disk and read through the digest in
+    constant memory, by one task, as a flat digest has one order. `root_tree` shares the digest among tasks too.
     """
-    return listed.select("path", F.octet_length("content").alias("bytes"), _line().alias("line")).agg(
-        F.count(F.lit(1)).alias("files"),
-        F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "line"))), lambda x: x["line"]), ""), 256).alias("root"),
-    )
+    lines = listed.select("path", F.octet_length("content").alias("bytes"), _line().alias("line"))
+    found = ordered.digest(lines, F.col("line"), "path")
+    total = lines.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    return found.crossJoin(total).select(F.col("n").alias("files"), "bytes", F.col("digest").alias("root"))  # one row each
 
 
 def root_tree(listed: DataFrame, digits: int = 2) -> DataFrame:
-    """Like `root` for lists of any length: a digest over the digests of hash ranges of the paths, each in path order."""
+    """Like `root`, shared among tasks: a digest over the digests of hash ranges of the paths, each in path order.
+
+    `digits`, the hexadecimal digits that name a range, is part of the format: keep it with the root. A range is one
+    task's list, so take one digit more for every 16 times as many files (2 are 256 ranges, for some 10 million files).
+    """
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("path", "line"))), lambda x: x["line"])
     leaves = (
         listed.select("path", F.octet_length("content").alias("bytes"), _line().alias("line"))
