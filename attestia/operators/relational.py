@@ -23,6 +23,30 @@ def trailing_count(rows: DataFrame, key: str, at: str, width: int, out: str) ->
     return rows.withColumn(out, F.count(F.lit(1)).over(w))
 
 
+def trailing_counts(rows: DataFrame, key: str, at: str, width: int, out: str, row_id: str, slices: int = 16) -> DataFrame:
+    """`trailing_count` for keys of any number of rows: one key's rows are shared among tasks by slices of time.
+
+    `at` is an integer and `row_id` unique. Rows up to a time are those of all slices before its own, from prefix sums of
+    counts, and those of its slice up to it; the rows of a trailing window are the difference of two such numbers. A
+    window's width is divided into `slices` slices, and a task holds one key's rows of one slice.
+    """
+    size = max(1, width // slices)
+    ends = F.array(
+        F.struct(F.col(at).cast("long").alias("_t"), F.lit(1).alias("_n"), F.lit(1).alias("_sign")),
+        F.struct((F.col(at).cast("long") - width - 1).alias("_t"), F.lit(0).alias("_n"), F.lit(-1).alias("_sign")),
+    )
+    marks = rows.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.col(row_id).alias("_id"), F.inline(ends)).withColumns(
+        {"_slice": F.floor(F.col("_t") / size), "_row": F.when(F.col("_n") == 1, F.col("_row"))}
+    )
+    counts = marks.groupBy("_key", "_slice").agg(F.sum("_n").alias("_n"))  # a row for each slice
+    before = F.sum("_n").over(Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    bases = counts.select(F.col("_key").alias("_k"), F.col("_slice").alias("_s"), F.coalesce(before, F.lit(0)).alias("_base"))
+    own = F.sum("_n").over(Window.partitionBy("_key", "_slice").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0))
+    placed = marks.withColumn("_own", own).join(bases, F.col("_key").eqNullSafe(F.col("_k")) & F.col("_slice").eqNullSafe(F.col("_s")))
+    total = F.sum(F.col("_sign") * (F.col("_base") + F.col("_own"))).alias("_total")
+    return placed.groupBy("_id").agg(F.any_value("_row", True).alias("_row"), total).select("_row.*", F.when(F.col(f"_row.{at}").isNotNull(), F.col("_total")).alias(out))
+
+
 def since_previous(rows: DataFrame, key: str, at: str, *ties: str, out: str = "gap") -> DataFrame:
     w = Window.partitionBy(key).orderBy(at, *ties)
     return rows.withColumn(out, F.col(at) - F.lag(at).over(w))

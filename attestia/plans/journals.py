@@ -1,14 +1,17 @@
-"""Queries over journals and templates: writes replayed onto a snapshot, calls rendered from templates."""
+"""Queries over journals, templates, documents of several shapes and objects: writes replayed onto a snapshot, calls rendered, texts shredded, puts guarded."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestia.operators import shapes as S
 from attestia.operators import templates as M
 from attestia.operators.replay import Replayed, replay
 from attestia.plans.registry import registry
 from attestia.session import table
+from attestia.sources.objects import ObjectStore
+from attestia.streaming.machine import stream_path
 
 QUERIES, ORACLES, query = registry()
 
@@ -109,3 +112,74 @@ union all select 'unknown', cast(id as varchar), 'name' from used where kind = '
 def template_diagnostics(spark, sf_dir):
     templates, calls, arguments = called(spark, sf_dir)
     return M.diagnostics(templates, calls, arguments, M.parsed(templates))
+
+
+def shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON of ten forms, by doc_id: each shape, some wrapped, some repeated, some malformed."""
+    n, turn = F.col("doc_id"), F.col("doc_id") % 12
+    quoted = lambda c: F.to_json(F.struct(c.alias("v")))
+    name = F.concat(F.lit('"packetId":"p'), (n - n % 2).cast("string"), F.lit('"'))
+    text = F.substring_index(F.substring_index(quoted(F.substring("text", 1, 40)), '{"v":', -1), "}", 1)
+    packet = F.concat(F.lit('{"schema":"annotation-packet-v1",'), name, F.lit(',"taskVersion":'), turn.cast("string"), F.lit(',"sentences":[{"sentenceId":"s","text":'), text, F.lit("}]}"))
+    slot = F.when(n % 2 == 0, "A").otherwise("B")
+    note = F.concat(F.lit('{"schema":"annotation-v1",'), name, F.lit(',"annotatorSlot":"'), slot, F.lit('"}'))
+    decision = F.concat(F.lit("{"), name, F.lit(',"adjudicatorSlot":"J1"}'))
+    made = F.concat(F.lit('{"kind":"adjudication-package","packet":'), packet, F.lit(',"adjudication":'), decision, F.lit("}"))
+    form = (
+        F.when(turn == 0, packet)
+        .when(turn == 1, F.concat(F.lit(' {"artifact" : '), packet, F.lit("}")))
+        .when(turn == 2, note)
+        .when(turn == 3, F.concat(F.lit('{"packet":'), packet, F.lit(',"artifact":'), note, F.lit("}")))
+        .when(turn == 4, F.concat(F.lit('{"kind":"independent-annotation","packet":'), packet, F.lit(',"annotation":'), note, F.lit("}")))
+        .when(turn == 5, made)
+        .when(turn == 6, F.concat(F.lit('{"kind":"ratification-package","ratification":{"decision":"agree"},"primaryArtifact":'), made, F.lit("}")))
+        .when(turn == 7, F.concat(F.lit('{"schema":"annotation-draft-v1","role":"J2","packet":'), packet, F.lit("}")))
+        .when(turn == 8, F.concat(F.lit('{"packet":'), packet, F.lit(',"annotation":'), note, F.lit("}")))
+        .when(turn == 9, F.lit('{"kind":"ratification-package","primaryArtifact":{"kind":"none"}}'))
+        .when(turn == 10, F.concat(F.lit('{"artifact":'), packet))
+        .otherwise(F.lit('{"kind":"independent-annotation","packet":[]}'))
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", form.alias("text"), "source")
+
+
+@query("""with d as (select doc_id, doc_id % 12 as t, case when doc_id % 2 = 0 then 'A' else 'B' end as slot, 'p' || (doc_id - doc_id % 2) as p from documents),
+again as (select doc_id, t, slot, p from d union all select doc_id + 1000000000, t, slot, p from d where t in (0, 2, 6) and doc_id % 5 = 0)
+select doc_id, case when t in (0, 1) then 'packet' when t in (2, 3) then 'annotation' when t = 4 or t = 11 then 'annotation-artifact' when t = 5 then 'adjudication-artifact' when t = 6 then 'ratification-artifact'
+    when t = 7 then 'draft' when t = 8 then 'container' when t = 9 then 'unknown' else 'malformed' end as kind,
+  case when t in (2, 3, 4, 8) then slot when t in (5, 6) then 'ratification' when t = 7 then 'J2' end as role, t in (1, 3) as wrapped,
+  case when t = 9 then 'unknown' when t = 10 then 'malformed' when t = 11 then 'hollow' when doc_id >= 1000000000 then 'duplicate' end as reason,
+  case when t in (0, 1, 3, 4, 5, 6, 7, 8) then p end as packet, case when t in (2, 3, 4, 8) then p end as annotation, case when t in (5, 6) then 'J1' end as judge, case when t = 6 then 'agree' end as decision from again""")
+def document_shapes(spark, sf_dir):
+    """JSON texts of all shapes shredded into typed parts in one pass, copies in another layout and broken ones as rejects."""
+    texts = shaped(spark, sf_dir).select("doc_id", "text")
+    copies = texts.filter((F.col("doc_id") % 12).isin(0, 2, 6) & (F.col("doc_id") % 5 == 0)).select(F.col("doc_id") + 1_000_000_000, F.concat(F.lit(' {"artifact": '), "text", F.lit("}")))
+    path = stream_path(spark, "texts")
+    texts.unionAll(copies).write.parquet(path)
+    found = S.shred(spark.read.parquet(path), "doc_id")
+    wrapped = F.col("wrapped") & (F.col("doc_id") < 1_000_000_000)
+    return found.select(
+        "doc_id", "kind", "role", wrapped.alias("wrapped"), "reason", F.col("packet.packetId").alias("packet"), F.col("annotation.packetId").alias("annotation"),
+        F.col("adjudication.adjudicatorSlot").alias("judge"), F.col("ratification.decision").alias("decision"),
+    )
+
+
+@query("""with named as (select c_custkey, case when c_custkey % 4 = 3 then 'identities' else 'submissions' end as scope, c_custkey % 5 = 0 as odd, c_custkey % 7 as r from customer)
+select 1 as put, c_custkey, case when odd then 'invalid' else 'created' end as outcome from named union all
+select 2, c_custkey, case when odd then 'invalid' when r = 0 then 'conflict' else 'same' end from named where c_custkey % 2 = 0 union all
+select 3, c_custkey, 'stored' from named where not odd""")
+def object_puts(spark, sf_dir):
+    """Objects put once, and half of them again, some with other bytes; what is stored in the end."""
+    key = F.col("c_custkey")
+    h = F.md5("c_name")
+    part = lambda at, n, before="": F.concat(F.lit(before), F.substring(h, at, n))
+    uid = F.concat_ws("-", part(1, 8), part(9, 4), part(14, 3, "4"), part(18, 3, "8"), part(21, 12))
+    scope = F.when(key % 4 == 3, "identities").otherwise("submissions")
+    name = F.when(key % 5 == 0, F.concat(F.lit("../"), uid)).when(key % 4 == 1, F.concat(F.lit("comment-"), uid, F.lit(".json"))).when(key % 4 == 2, F.concat(uid, F.lit(".state.json"))).otherwise(F.concat(uid, F.lit(".json")))
+    rows = table(spark, sf_dir, "customer").select(key, scope.alias("scope"), name.alias("name"), F.encode("c_name", "utf-8").alias("content"))
+    other = F.when(key % 7 == 0, F.encode(F.lit("other"), "utf-8")).otherwise(F.col("content"))
+    store = ObjectStore(spark, stream_path(spark, "objects"))
+    first = store.put(rows)
+    second = store.put(rows.filter(key % 2 == 0).withColumn("content", other))
+    told = lambda put, found: rows.join(found, ["scope", "name"]).select(F.lit(put).alias("put"), "c_custkey", "outcome")
+    stored = store.objects().select("scope", "name", F.lit("stored").alias("outcome"))
+    return told(1, first).unionAll(told(2, second)).unionAll(told(3, stored))

@@ -155,6 +155,19 @@ def rate_limit_day(spark, sf_dir):
     return R.trailing_count(event_ms(spark, sf_dir).select("event_id", "user_id", "ms"), "user_id", "ms", 86_400_000, "in_window").select("event_id", "in_window")
 
 
+_HOT = "hot as (select event_id, case when event_id % 2 = 0 then 0 else user_id end as subject, epoch_us(ts) // 1000 as ms from events)"
+
+
+@query(f"""with {_HOT} select event_id, count(*) over (partition by subject order by ms range between 3600000 preceding and current row) as hour,
+  count(*) over (partition by subject order by ms range between 604800000 preceding and current row) as week from hot""")
+def rate_limit_hot(spark, sf_dir):
+    """Trailing counts where one subject has half of all events: its rows are shared among tasks by slices of time."""
+    subject = F.when(F.col("event_id") % 2 == 0, F.lit(0)).otherwise(F.col("user_id"))
+    rows = event_ms(spark, sf_dir).select("event_id", subject.alias("subject"), "ms")
+    hour = R.trailing_counts(rows, "subject", "ms", 3_600_000, "hour", "event_id")
+    return R.trailing_counts(hour, "subject", "ms", 604_800_000, "week", "event_id").select("event_id", "hour", "week")
+
+
 @query("""select event_id, gap, gap is null or gap >= 60000 as allowed, cast(case when gap < 60000 then ceil((60000 - gap) / 1000.0) else 0 end as bigint) as wait_seconds from (
   select event_id, (epoch_us(ts) // 1000) - lag((epoch_us(ts) // 1000)) over (partition by user_id order by (epoch_us(ts) // 1000), event_id) as gap from events)""")
 def cooldown(spark, sf_dir):
