@@ -10,6 +10,7 @@ from attestia.operators import templates as M
 from attestia.operators.replay import Replayed, replay
 from attestia.plans.registry import registry
 from attestia.session import table
+from attestia.sources import dumps
 from attestia.sources.objects import ObjectStore
 from attestia.streaming.machine import stream_path
 
@@ -183,3 +184,16 @@ def object_puts(spark, sf_dir):
     told = lambda put, found: rows.join(found, ["scope", "name"]).select(F.lit(put).alias("put"), "c_custkey", "outcome")
     stored = store.objects().select("scope", "name", F.lit("stored").alias("outcome"))
     return told(1, first).unionAll(told(2, second)).unionAll(told(3, stored))
+
+
+@query("select doc_id, text, lang, n_chars * 1.5 as half from documents union all select conv_id * 1000 + turn, null, role, null from conversations")
+def dump_import(spark, sf_dir):
+    """Documents and turns written as an SQL dump, with quotes, semicolons, comments and line ends inside their strings, and read back in parallel."""
+    text = lambda c: F.coalesce(F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'")), F.lit("NULL"))
+    docs = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("-- it's a note; of a line\nINSERT INTO \"notes\" VALUES("), F.col("doc_id").cast("string"), F.lit(","), text(F.col("text")), F.lit(","), text(F.col("lang")), F.lit(","), (F.col("n_chars") * 1.5).cast("string"), F.lit(");")).alias("value")
+    )
+    turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("INSERT INTO notes (lang, doc_id)\n VALUES("), text(F.col("role")), F.lit(", "), (F.col("conv_id") * 1000 + F.col("turn")).cast("string"), F.lit("); SELECT ';';")))
+    path = stream_path(spark, "dump")
+    docs.unionAll(turns).write.text(path, lineSep="\n")
+    return dumps.table(dumps.statements(spark, path), "notes", "doc_id long, text string, lang string, half double")

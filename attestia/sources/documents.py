@@ -56,21 +56,3 @@ def statement_lines(programs: DataFrame) -> DataFrame:
 
     lines = programs.select("program_id", F.posexplode(F.split("source", "\\R")).alias("at", "raw"))
     return lines.select("program_id", (F.col("at") + 1).alias("line"), trim(strip_comment(F.col("raw"))).alias("text")).filter("text <> ''")
-
-
-def sql_dump(spark: SparkSession, script: str, tables: list[str]) -> dict[str, DataFrame]:
-    """Tables of an SQL dump script (a small export, replayed in memory on the driver) as DataFrames."""
-    import sqlite3
-
-    db = sqlite3.connect(":memory:")
-    try:
-        db.executescript(script)
-        out = {}
-        for name in tables:
-            rows = db.execute(f'select * from "{name}"')
-            columns = [c[0] for c in rows.description]
-            kinds = {r[1]: {"INTEGER": "long", "REAL": "double"}.get(r[2].upper(), "string") for r in db.execute(f'pragma table_info("{name}")')}
-            out[name] = spark.createDataFrame(rows.fetchall(), ", ".join(f"`{c}` {kinds[c]}" for c in columns))
-        return out
-    finally:
-        db.close()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from attestia.operators import agreement as A
 from attestia.operators import documents as D
 from attestia.sources import documents as S
+from attestia.sources import dumps
 
 # The orders of the format, spelled out: a wrong order in the operators must not pass.
 TASK_ORDER = ("taskId", "taskVersion", "packetId", "holdoutId", "protocolId", "guidelineVersion", "dataVersion", "protocolVersion")
@@ -133,6 +134,7 @@ def test_program_sources(spark, tmp_path):
     assert lines == [("x.src", 1, "اتجاهُ النصِّ: RTL"), ("x.src", 4, 'clause fil "كتبَ"')]
 
 
-def test_sql_dump(spark):
-    got = S.sql_dump(spark, "create table t(id INTEGER, name TEXT); insert into t values (1, 'a'), (2, null);", ["t"])
-    assert [tuple(r) for r in got["t"].orderBy("id").collect()] == [(1, "a"), (2, None)]
+def test_sql_dump(spark, tmp_path):
+    (tmp_path / "dump.sql").write_text("create table t(id INTEGER, name TEXT); insert into t values (1, 'a'), (2, null);")
+    got = dumps.table(dumps.statements(spark, str(tmp_path)), "t", "id long, name string")
+    assert [tuple(r) for r in got.orderBy("id").collect()] == [(1, "a"), (2, None)]
