@@ -141,6 +141,20 @@ def publication_gate(tasks: DataFrame, appeals: DataFrame, finals: DataFrame, ke
     )
 
 
+def publishable(tasks: DataFrame, appeals: DataFrame, finals: DataFrame, receipts: DataFrame, now_ms: int) -> DataFrame:
+    """The tasks that may be published: approved, accepted by the repository, past their appeal window, without a pending appeal, with
+    their active final result, and with a repository receipt of exactly that result.
+
+    tasks: task_id, state, repository_status, appeal_deadline, active_receipt; appeals: task_id, status; finals:
+    task_id, round_id, receipt_id, root, status; receipts: task_id, round_id, root, receipt.
+    """
+    ready = tasks.filter((F.col("state") == "approved") & (F.col("repository_status") == "accepted") & (F.col("appeal_deadline") <= now_ms))
+    active = finals.filter("status = 'active'").select("task_id", F.col("receipt_id").alias("active_receipt"), "round_id", "root")
+    free = ready.join(appeals.filter("status = 'pending'"), "task_id", "left_anti")
+    first = receipts.groupBy("task_id", "round_id", "root").agg(F.min("receipt").alias("receipt"))
+    return free.join(active, ["task_id", "active_receipt"]).join(first, ["task_id", "round_id", "root"]).select("task_id", "round_id", "root", "receipt")
+
+
 def first_reason(rules: dict[str, Column], accepted: str = "eligible") -> Column:
     """The first rule that holds, in the given order; null conditions do not hold."""
     out = None

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestia.functions.hashing import canonical_part
-from attestia.functions.text import IDENTIFIER, trim, unsafe_flags
+from attestia.functions.text import IDENTIFIER, UUID, trim, unique_list, unsafe_flags
 
 # Field orders of the canonical roots and the decision fields.
 TASK = ("taskId", "taskVersion", "packetId", "holdoutId", "protocolId", "guidelineVersion", "dataVersion", "protocolVersion")
@@ -169,17 +169,89 @@ def binding_rejects(annotations: DataFrame, packets: DataFrame) -> DataFrame:
     return _reasons(both, ["packetId", "annotatorSlot"], rules)
 
 
+def sentence_differences(final: DataFrame, source: DataFrame, key: str) -> DataFrame:
+    """key and differences of each final document to its source: a sentence that the source lacks counts one more than it
+    has tokens; else each sentence field that differs, and each token that the source lacks or decides otherwise, counts one.
+
+    Both sides: the key, sentence_id, one column for each of SENTENCE_FIELDS and tokens, an array of (token_id, decision). Of sentences that
+    a source repeats the last by content counts.
+    """
+    other = source.groupBy(key, "sentence_id").agg(F.max(F.struct(*SENTENCE_FIELDS, "tokens")).alias("_s"))
+    both = final.join(other, [key, "sentence_id"], "left")
+    fields = sum(((~F.col(f).eqNullSafe(F.col("_s")[f])).cast("long") for f in SENTENCE_FIELDS), F.lit(0).cast("long"))
+    same = lambda t: F.exists("_s.tokens", lambda x: x["token_id"].eqNullSafe(t["token_id"]) & x["decision"].eqNullSafe(t["decision"]))
+    tokens = F.coalesce(F.size(F.filter("tokens", lambda t: ~F.coalesce(same(t), F.lit(False)))), F.lit(0)).cast("long")
+    missing = F.greatest(F.coalesce(F.size("tokens"), F.lit(0)), F.lit(0)).cast("long") + 1
+    return both.groupBy(key).agg(F.sum(F.when(F.col("_s").isNull(), missing).otherwise(fields + tokens)).alias("differences"))
+
+
+def adjudication_rejects(adjudications: DataFrame, packets: DataFrame, annotations: DataFrame) -> DataFrame:
+    """packetId and reason of adjudications that are not bound to their packet and two annotations, or leave a decision unexplained.
+
+    `annotations` are those that are bound to their packet themselves. A decision needs a resolution note where the
+    raters differ or it overrules them.
+    """
+    bound = packets.select("packetId", F.struct(*TASK).alias("_task"), packet_root().alias("_root"), F.col("sentences").alias("_sentences"))
+    side = lambda name: annotations.select("packetId", F.col("annotatorSlot").alias(f"annotation{name}Slot"), annotation_root().alias(f"_{name}"))
+    both = adjudications.join(bound, "packetId", "left").join(side("A"), ["packetId", "annotationASlot"], "left").join(side("B"), ["packetId", "annotationBSlot"], "left")
+    cover = lambda items, inner: F.array_sort(F.transform(items, lambda s: F.struct(s["sentenceId"], F.array_sort(s["tokens"][inner]))))
+    rules = {
+        "no-packet": F.col("_root").isNull(),
+        "identity": ~F.struct(*TASK).eqNullSafe(F.col("_task")),
+        "slot": ~F.col("adjudicatorSlot").eqNullSafe("J1"),
+        "packet-changed": ~F.col("packetMerkleRoot").eqNullSafe(F.col("_root")),
+        "annotation-a": F.col("_A").isNull() | ~F.col("annotationAMerkleRoot").eqNullSafe(F.col("_A")),
+        "annotation-b": F.col("_B").isNull() | ~F.col("annotationBMerkleRoot").eqNullSafe(F.col("_B")),
+        "same-slots": F.col("annotationASlot").eqNullSafe(F.col("annotationBSlot")),
+        "coverage": ~F.coalesce(cover(F.col("sentences"), "tokenId") == cover(F.col("_sentences"), "id"), F.lit(False)),
+    }
+    place = ["rater", "sentence_id", F.coalesce("token_id", F.lit(-1)).alias("token_id"), "field"]
+    decided = lambda rows, name: units(rows, F.col("packetId")).select(*place, F.col("value").alias(name))
+    slot_of = lambda name: adjudications.select("packetId", F.col(f"annotation{name}Slot").alias("annotatorSlot")).distinct()
+    rated = lambda name: decided(annotations.join(slot_of(name), ["packetId", "annotatorSlot"], "left_semi"), name)
+    keys = ["rater", "sentence_id", "token_id", "field"]
+    notes = adjudications.select(F.col("packetId").alias("rater"), F.explode("sentences").alias("s")).select(
+        "rater",
+        F.col("s.sentenceId").alias("sentence_id"),
+        F.inline(F.concat(F.array(F.struct(F.lit(-1).alias("token_id"), F.col("s.resolutionNote").alias("note"))), F.transform("s.tokens", lambda t: F.struct(t["tokenId"].alias("token_id"), t["resolutionNote"].alias("note"))))),
+    )
+    compared = decided(adjudications, "final").join(rated("A"), keys).join(rated("B"), keys)
+    needs = compared.filter(~F.col("A").eqNullSafe(F.col("B")) | ~F.col("final").eqNullSafe(F.col("A"))).select("rater", "sentence_id", "token_id").distinct()
+    silent = needs.join(notes.filter(trim(F.coalesce("note", F.lit(""))) != ""), ["rater", "sentence_id", "token_id"], "left_anti")
+    return _reasons(both, "packetId", rules).unionAll(silent.select(F.col("rater").alias("packetId")).distinct().withColumn("reason", F.lit("unresolved")))
+
+
 def _reasons(rows: DataFrame, keys: str | list[str], rules: dict[str, Column]) -> DataFrame:
     keys = [keys] if isinstance(keys, str) else keys
     broken = F.filter(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()]), lambda x: x.isNotNull())
     return rows.select(*keys, F.explode(broken).alias("reason"))
 
 
+# Limits of the places and lists that a comment names.
+SENTENCE_NAME, MOST_TOKENS, MOST_RECEIPTS = 120, 100_000, 20
+
+
 def comment_rejects(comments: DataFrame, categories: tuple[str, ...], key: str = "comment_id") -> DataFrame:
-    """Reasons against a comment: its category, length or unsafe text."""
+    """Reasons against a comment: its category, length, unsafe text, and, if it has such columns, what it refers to.
+
+    targetReceiptId and parentCommentId are UUIDs, sentenceId a short text, tokenId a number written in a text, and
+    mentionedReceiptIds and referencedReceiptIds lists of UUIDs; each may be null or empty.
+    """
     body = trim(F.coalesce("body", F.lit("")))
+    given = lambda c: trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    token = given("tokenId").try_cast("double") if "tokenId" in comments.columns else None
+    told = {
+        "target": lambda c: (given(c) != "") & ~given(c).rlike(UUID),
+        "parent": lambda c: (given(c) != "") & ~given(c).rlike(UUID),
+        "sentence": lambda c: F.length(given(c)) > SENTENCE_NAME,
+        "token": lambda c: (given(c) != "") & ~F.coalesce(token.between(1, MOST_TOKENS) & (token == F.floor(token)), F.lit(False)),
+        "mentions": lambda c: unique_list(F.col(c), UUID, MOST_RECEIPTS).isNull(),
+        "references": lambda c: unique_list(F.col(c), UUID, MOST_RECEIPTS).isNull(),
+    }
+    names = ("targetReceiptId", "parentCommentId", "sentenceId", "tokenId", "mentionedReceiptIds", "referencedReceiptIds")
+    more = {rule: test(c) for (rule, test), c in zip(told.items(), names, strict=True) if c in comments.columns}
     rules = {"category": ~F.coalesce(F.col("category").isin(*categories), F.lit(False)), "length": ~F.length(body).between(*NOTE_LENGTHS)}
-    return _reasons(comments, key, rules | {f"unsafe-{k}": v for k, v in unsafe_flags(F.col("body")).items()})
+    return _reasons(comments, key, rules | {f"unsafe-{k}": v for k, v in unsafe_flags(F.col("body")).items()} | more)
 
 
 def completion(drafts: DataFrame, key: str = "draft_id") -> DataFrame:

@@ -58,17 +58,18 @@ def replay_set(journal: DataFrame, snapshot: tuple[int, int], target_generation:
     return journal.filter((F.col("status") == "pending") | ((F.col("status") == "applied") & (F.col("receipt").isNull() | after)))
 
 
-def retain(items: DataFrame, group: str, now_ms: int, keep: int, most_bytes: int) -> DataFrame:
-    """Greedy retention within each group, newest first: leased items stay; others unless expired or over a cap.
+def retain(items: DataFrame, group: str, now_ms: int, keep: int, most_bytes: int, recovering: Column | None = None) -> DataFrame:
+    """Greedy retention within each group, newest first: items that are leased, or that a recovery is just reading
+    (`recovering`), stay; others unless expired or over a cap.
 
     An item over the byte cap is skipped and later smaller ones may still stay, so this is a fold, not a running sum.
     Columns: the group, id, bytes, expires_at, lease_until, and generation, sequence, verified_at, created_at.
     """
-    order = F.struct(*[(-F.col(c)).alias(c) for c in ("generation", "sequence", "verified_at", "created_at")], "id", "bytes", "expires_at", "lease_until")
+    order = F.struct(*[(-F.col(c)).alias(c) for c in ("generation", "sequence", "verified_at", "created_at")], "id", "bytes", "expires_at", "lease_until", F.coalesce(F.lit(False) if recovering is None else recovering, F.lit(False)).alias("recovering"))
     begin = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("held"), F.array().cast("array<bigint>").alias("ids"))
 
     def step(acc, x):
-        leased = F.coalesce(x["lease_until"] > now_ms, F.lit(False))
+        leased = F.coalesce(x["lease_until"] > now_ms, F.lit(False)) | x["recovering"]
         fits = (x["expires_at"] > now_ms) & (acc["n"] < keep) & (acc["held"] + x["bytes"] <= most_bytes)
         stay = leased | F.coalesce(fits, F.lit(False))
         return F.struct(

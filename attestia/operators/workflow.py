@@ -238,3 +238,33 @@ def cascade(asked: DataFrame, holds: DataFrame, person: str, deleted: dict[str,
         marked = rows.join(gone.select(F.col(person).alias(key), F.lit(True).alias("erased")), key, "left").withColumn("erased", F.coalesce("erased", F.lit(False)))
         left[name] = marked.select(*[F.when(~F.col("erased"), F.col(c)).alias(c) if c in personal else F.col(c) for c in rows.columns], "erased")
     return left
+
+
+# States in which a task is over, and limits of the days for which identities are kept.
+OVER, DAYS, DAY_MS = ("published", "revoked", "failed"), (30, 730), 86_400_000
+
+
+def erasures(requests: DataFrame, participations: DataFrame, tasks: DataFrame, submissions: DataFrame, items: DataFrame, now_ms: int, days: int = 365) -> tuple[DataFrame, DataFrame]:
+    """What becomes of pending erasure requests that are due, and the items that they still have to delete.
+
+    requests: id, user_id, status, eligible_after; participations: user_id, task_id; tasks: task_id, state, updated_at; submissions:
+    user_id, receipt_id; items: request_id, blob_name, status. A request whose user has an active task, or one
+    changed within the days kept, is tried again later (`retry`, retry_at). Else every submission of the user is an
+    item; the request is `completed` when all of them are deleted, and until then `deleting`.
+    """
+    kept = min(DAYS[1], max(DAYS[0], days)) * DAY_MS
+    due = requests.filter((F.col("status") == "pending") & (F.col("eligible_after") <= now_ms)).select("id", "user_id")
+    mine = participations.join(due.select("user_id").distinct(), "user_id", "left_semi").join(tasks, "task_id")
+    bounds = mine.groupBy("user_id").agg(F.max("updated_at").alias("latest"), F.count_if(~F.col("state").isin(*OVER)).alias("active"))
+    judged = due.join(bounds, "user_id", "left").withColumn("latest", F.coalesce("latest", F.lit(0).cast("long")))
+    later = (F.coalesce("active", F.lit(0)) > 0) | (F.col("latest") + kept > now_ms)
+    open_ = judged.filter(~later)
+    wanted = open_.join(submissions, "user_id").select(F.col("id").alias("request_id"), F.concat("receipt_id", F.lit(".json")).alias("blob_name")).distinct()
+    known = items.select("request_id", "blob_name", F.col("status").alias("_status"))
+    left = wanted.join(known, ["request_id", "blob_name"], "full_outer").join(open_.select(F.col("id").alias("request_id")), "request_id", "left_semi")
+    todo = left.filter(F.coalesce("_status", F.lit("pending")) != "deleted").select("request_id", "blob_name")
+    counts = todo.groupBy("request_id").agg(F.count(F.lit(1)).alias("items"))
+    told = judged.join(counts, F.col("id") == F.col("request_id"), "left").withColumn("items", F.coalesce("items", F.lit(0).cast("long")))
+    outcome = F.when(later, "retry").when(F.col("items") > 0, "deleting").otherwise("completed")
+    retry = F.when(later, F.greatest(F.lit(now_ms + DAY_MS), F.col("latest") + kept))
+    return told.select("id", outcome.alias("outcome"), retry.alias("retry_at"), "items"), todo

@@ -66,3 +66,22 @@ select event_id, '| Field | Value |' || chr(10) || '| --- | --- |' || chr(10) ||
 def evidence_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.chain(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts"), "user_id", "event_type", "ts", "event_id")
     return D.evidence_card(rows.select("event_id", F.col("before").alias("from_state"), F.col("event_type").alias("to_state"), F.lit("a|b <c>").alias("reason")))
+
+
+@query("""with c as (select conv_id * 1000 + turn as comment_id, conv_id % 8 as r, turn from conversations)
+select comment_id, unnest(list_filter([case when r = 1 then 'length' end, case when r = 2 then 'target' end, case when r = 3 then 'parent' end, case when r = 4 then 'sentence' end,
+  case when r = 5 and turn % 3 > 0 then 'token' end, case when r = 6 then 'mentions' end, case when r = 7 then 'references' end], lambda x: x is not null)) as reason from c""")
+def comment_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments whose places, receipts or length are not in order; white space alone is no text."""
+    r, turn = F.col("conv_id") % 8, F.col("turn")
+    h = F.md5(turn.cast("string"))
+    part = lambda at, n, before="": F.concat(F.lit(before), F.substring(h, at, n))
+    uid = F.concat_ws("-", part(1, 8), part(9, 4), part(14, 3, "4"), part(18, 3, "8"), part(21, 12))
+    many = F.transform(F.sequence(F.lit(1), F.lit(21)), lambda i: uid)
+    comments = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + turn).alias("comment_id"), F.lit("other").alias("category"), F.when(r == 1, F.lit("\n" * 30 + "short")).otherwise(F.lit("\tA comment of enough letters\n")).alias("body"),
+        F.when(r == 2, "none").when(r == 0, F.concat(F.lit(" "), uid)).alias("targetReceiptId"), F.when(r == 3, F.substring(uid, 1, 35)).otherwise(F.lit(" \n")).alias("parentCommentId"),
+        F.when(r == 4, F.lit("s" * 121)).otherwise(F.lit(" " + "s" * 120)).alias("sentenceId"), F.when((r == 5) & (turn % 3 == 1), "1.5").when((r == 5) & (turn % 3 == 2), "100001").otherwise("1e5").alias("tokenId"),
+        F.when(r == 6, many).otherwise(F.array(uid, uid)).alias("mentionedReceiptIds"), F.when(r == 7, F.array(uid, F.lit("x"))).alias("referencedReceiptIds"),
+    )
+    return D.comment_rejects(comments, ("other",))

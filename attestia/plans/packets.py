@@ -138,3 +138,45 @@ def unit_alignment(spark, sf_dir):
     second = whole.select(F.lit("B").alias("rater"), "sentence_id", F.col("t.id").alias("token_id"), F.lit("token.headTokenId").alias("field"), (F.col("t.id") - 1).cast("string").alias("value"))
     paired = D.side_by_side(first.unionByName(second), "A", "B").filter("dimension = 'token.headTokenId'")
     return paired.groupBy("dimension").agg(F.count(F.lit(1)).alias("units"), F.sum((F.col("a").isNull() | F.col("b").isNull()).cast("long")).alias("uncovered"))
+
+
+def judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Packets, both annotations of each, and its adjudication; B doubts even turns, and some adjudications break a rule."""
+    all_packets = packets(spark, sf_dir)
+    roots = all_packets.select("conv_id", D.packet_root().alias("packetMerkleRoot"))
+    whole = annotations(spark, sf_dir, "A").drop("packetMerkleRoot").join(roots, "conv_id")
+    first = whole.withColumn("annotatorSlot", F.lit("A"))
+    doubted = F.transform("sentences", lambda s: s.withField("structurallyAcceptable", s["structurallyAcceptable"] != (s["sentenceId"].cast("int") % 2 == 0)))
+    second = whole.withColumn("annotatorSlot", F.lit("B")).withColumn("sentences", doubted)
+    conv = F.col("conv_id")
+    note = F.when(conv % 7 == 0, F.lit("\n\t")).otherwise(F.lit("because"))
+    token = lambda t: t.dropFields("note").withField("resolutionNote", _text(None))
+    final = F.transform("sentences", lambda s: s.dropFields("note").withField("resolutionNote", note).withField("tokens", F.transform(s["tokens"], token)))
+    side = lambda rows, name: rows.select("conv_id", D.annotation_root().alias(name))
+    made = first.join(side(first, "a"), "conv_id").join(side(second, "b"), "conv_id").select(
+        "conv_id", F.lit("demo-adjudication-v3").alias("schema"), "packetMerkleRoot", F.when(conv % 17 == 0, "0").otherwise(F.col("a")).alias("annotationAMerkleRoot"), F.col("b").alias("annotationBMerkleRoot"), *D.TASK,
+        F.lit("A").alias("annotationASlot"), F.when(conv % 13 == 0, "A").otherwise("B").alias("annotationBSlot"), F.when(conv % 11 == 0, "J2").otherwise("J1").alias("adjudicatorSlot"), _text("y").alias("adjudicatorPseudonym"),
+        F.lit(True).alias("adjudicatorIsHuman"), F.lit(False).alias("adjudicatorIsSynthetic"), *D.ORIGIN, final.alias("sentences"),
+    )
+    return all_packets, first.unionByName(second), made
+
+
+@query("""with c as (select conv_id, bool_or(turn % 2 = 0) as doubted from conversations group by conv_id)
+select 'p' || conv_id as "packetId", unnest(list_filter([case when conv_id % 11 = 0 then 'slot' end, case when conv_id % 17 = 0 then 'annotation-a' end, case when conv_id % 13 = 0 then 'annotation-b' end,
+  case when conv_id % 13 = 0 then 'same-slots' end, case when conv_id % 5 = 0 then 'coverage' end, case when conv_id % 7 = 0 and doubted and conv_id % 13 > 0 then 'unresolved' end], lambda x: x is not null)) as reason from c""")
+def adjudication_binding(spark, sf_dir):
+    """Adjudications that are not bound to their packet and annotations, or leave decisions unexplained, with every reason."""
+    all_packets, both, made = judged(spark, sf_dir)
+    return D.adjudication_rejects(made, all_packets, both)
+
+
+_FINAL = f"""{_lp(_ID, "(case when length(text) % 2 = 0 then 'true' else 'false' end)", "'true'", "(case when conv_id % 7 = 0 then chr(10) || chr(9) else 'because' end)")} || case when conv_id % 5 = 0 then '1:1' else '1:2' end || {_token_sql(1, 'role')} || case when conv_id % 5 = 0 then '' else {_token_sql(2, _FORM)} end"""
+_FINAL_HEAD = _lp("'demo-adjudication-root-v3'", "'demo-adjudication-v3'", "'r'", "'a'", "'b'", *_TASK_SQL, "'A'", "(case when conv_id % 13 = 0 then 'A' else 'B' end)", "(case when conv_id % 11 = 0 then 'J2' else 'J1' end)", "'y'", "'true'", "'false'", "'true'", "'true'", "'false'")
+
+
+@query(f"""with body as (select conv_id, count(*) as n, string_agg({_FINAL}, '' order by turn) as b from conversations group by conv_id)
+select conv_id, sha256({_FINAL_HEAD} || {_lp('cast(n as varchar)')} || b) as root from body""")
+def adjudication_roots(spark, sf_dir):
+    """Canonical roots of nested adjudications."""
+    named = {"packetMerkleRoot": F.lit("r"), "annotationAMerkleRoot": F.lit("a"), "annotationBMerkleRoot": F.lit("b")}
+    return judged(spark, sf_dir)[2].withColumns(named).select("conv_id", D.adjudication_root().alias("root"))

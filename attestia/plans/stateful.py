@@ -144,17 +144,9 @@ _ITEMS = f"""items as (select user_id, event_id as id, cast(floor(value * 10) as
   case when event_type = 'purchase' and event_id % 11 = 0 then {NOW} + 1 end as lease_until, (epoch_us(ts) // 1000) as created_at, event_id % 3 as generation from events)"""
 
 
-@query(f"""with recursive {_ITEMS}, ordered as (select *, row_number() over (partition by user_id order by generation desc, created_at desc, id) as i from items),
-fold(user_id, i, n, held, ids) as (
-  select distinct user_id, 0::bigint, 0::bigint, 0::bigint, '' from items
-  union all
-  select f.user_id, o.i, f.n + case when s.stay then 1 else 0 end, f.held + case when s.stay then o.bytes else 0 end, f.ids || case when s.stay then ',' || o.id else '' end
-  from fold f join ordered o on o.user_id = f.user_id and o.i = f.i + 1,
-  lateral (select coalesce(o.lease_until > {NOW}, false) or (o.expires_at > {NOW} and f.n < 7 and f.held + o.bytes <= 1500) as stay) s)
-select user_id, arg_max(n, i) as kept, arg_max(held, i) as kept_bytes, arg_max(ids, i) as ids from fold group by user_id""")
-def retention_greedy(spark, sf_dir):
+def retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = event_ms(spark, sf_dir)
-    items = e.select(
+    return e.select(
         "user_id",
         F.col("event_id").alias("id"),
         F.floor(F.col("value") * 10).cast("long").alias("bytes"),
@@ -165,7 +157,32 @@ def retention_greedy(spark, sf_dir):
         F.lit(0).alias("sequence"),
         F.lit(0).alias("verified_at"),
     )
-    kept = Q.retain(items, "user_id", NOW, 7, 1500)
+
+
+@query(f"""with recursive {_ITEMS}, ordered as (select *, row_number() over (partition by user_id order by generation desc, created_at desc, id) as i from items),
+fold(user_id, i, n, held, ids) as (
+  select distinct user_id, 0::bigint, 0::bigint, 0::bigint, '' from items
+  union all
+  select f.user_id, o.i, f.n + case when s.stay then 1 else 0 end, f.held + case when s.stay then o.bytes else 0 end, f.ids || case when s.stay then ',' || o.id else '' end
+  from fold f join ordered o on o.user_id = f.user_id and o.i = f.i + 1,
+  lateral (select coalesce(o.lease_until > {NOW}, false) or (o.expires_at > {NOW} and f.n < 7 and f.held + o.bytes <= 1500) as stay) s)
+select user_id, arg_max(n, i) as kept, arg_max(held, i) as kept_bytes, arg_max(ids, i) as ids from fold group by user_id""")
+def retention_greedy(spark, sf_dir):
+    kept = Q.retain(retained(spark, sf_dir), "user_id", NOW, 7, 1500)
+    return kept.select("user_id", "kept", "kept_bytes", F.array_join(F.transform("kept_ids", lambda x: F.concat(F.lit(","), x.cast("string"))), "").alias("ids"))
+
+
+@query(f"""with recursive {_ITEMS}, ordered as (select *, row_number() over (partition by user_id order by generation desc, created_at desc, id) as i from items),
+fold(user_id, i, n, held, ids) as (
+  select distinct user_id, 0::bigint, 0::bigint, 0::bigint, '' from items
+  union all
+  select f.user_id, o.i, f.n + case when s.stay then 1 else 0 end, f.held + case when s.stay then o.bytes else 0 end, f.ids || case when s.stay then ',' || o.id else '' end
+  from fold f join ordered o on o.user_id = f.user_id and o.i = f.i + 1,
+  lateral (select coalesce(o.lease_until > {NOW}, false) or o.id % 97 = 0 or (o.expires_at > {NOW} and f.n < 7 and f.held + o.bytes <= 1500) as stay) s)
+select user_id, arg_max(n, i) as kept, arg_max(held, i) as kept_bytes, arg_max(ids, i) as ids from fold group by user_id""")
+def retention_recovery(spark, sf_dir):
+    """Greedy retention in which items that a recovery is just reading stay, whatever the caps."""
+    kept = Q.retain(retained(spark, sf_dir), "user_id", NOW, 7, 1500, F.col("id") % 97 == 0)
     return kept.select("user_id", "kept", "kept_bytes", F.array_join(F.transform("kept_ids", lambda x: F.concat(F.lit(","), x.cast("string"))), "").alias("ids"))
 
 
@@ -267,3 +284,31 @@ def stream_state_machine(spark, sf_dir):
     from attestia.streaming import machine
 
     return machine.run_to_end(spark, sf_dir, "events.parquet", STEPS, "signup")
+
+
+@query("""with finals as (select l_orderkey, l_linenumber, min(l_partkey) as receipt, sha256('f' || min(l_partkey)) as root, bool_or(l_returnflag = 'A') as active from lineitem group by all),
+receipts as (select l_orderkey, l_linenumber, case when min(l_suppkey) % 3 = 0 then '0' else sha256('f' || min(l_partkey)) end as root, min(l_suppkey) as number from lineitem group by all),
+appeals as (select distinct l_orderkey as k from lineitem where l_tax >= 0.08),
+tasks as (select o_orderkey, (select max(receipt) from finals where l_orderkey = o_orderkey and active) as active_receipt from orders where o_orderstatus <> 'O' and o_orderkey % 4 > 0)
+select o_orderkey as task_id, f.l_linenumber as round_id, f.root, number as receipt from tasks join finals f on f.l_orderkey = o_orderkey and f.receipt = active_receipt and active
+join receipts r on r.l_orderkey = o_orderkey and r.l_linenumber = f.l_linenumber and r.root = f.root where o_orderkey not in (select k from appeals)""")
+def publication_receipts(spark, sf_dir):
+    """Approved tasks whose active final result has a repository receipt of the same round and root."""
+    items = table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_orderkey": "task_id", "l_linenumber": "round_id"})
+    root = F.sha2(F.concat(F.lit("f"), F.min("l_partkey").cast("string")), 256)
+    finals = items.groupBy("task_id", "round_id").agg(F.min("l_partkey").alias("receipt_id"), root.alias("root"), F.when(F.bool_or(F.col("l_returnflag") == "A"), "active").otherwise("superseded").alias("status"))
+    receipts = items.groupBy("task_id", "round_id").agg(F.when(F.min("l_suppkey") % 3 == 0, "0").otherwise(root).alias("root"), F.min("l_suppkey").alias("receipt"))
+    active = finals.filter("status = 'active'").groupBy("task_id").agg(F.max("receipt_id").alias("active_receipt"))
+    key = F.col("o_orderkey")
+    tasks = table(spark, sf_dir, "orders").select(
+        key.alias("task_id"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("approved").alias("state"), F.when(key % 4 == 0, "pending").otherwise("accepted").alias("repository_status"), _ms("o_orderdate").alias("appeal_deadline")
+    ).join(active, "task_id", "left")
+    appeals = items.filter("l_tax >= 0.08").select("task_id", F.lit("pending").alias("status"))
+    return C.publishable(tasks, appeals, finals, receipts, 4_102_444_800_000)
+
+
+@query("""select user_id, coalesce(max(case when event_type = 'purchase' and value > 60 then event_id end), 0) as watermark from events group by user_id""")
+def receipt_watermarks(spark, sf_dir):
+    """The highest receipt of each subject; 0 where there is none."""
+    given = F.when((F.col("event_type") == "purchase") & (F.col("value") > 60), F.col("event_id"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.coalesce(F.max(given), F.lit(0).cast("long")).alias("watermark"))

@@ -180,3 +180,23 @@ def cohort_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         having("not-started").alias("not_started"),
         F.floor(F.avg("progress") + 0.5).cast("long").alias("average_progress"),
     )
+
+
+@query("""with tokens as (select l_orderkey as o, l_linenumber as n, min(l_returnflag) as flag, min(l_partkey) as part from lineitem group by all),
+sentences as (select o_custkey, o_orderkey, o_orderkey % 9 = 0 as missing, (o_orderkey % 7 = 0)::bigint + (o_orderkey % 4 = 0)::bigint as fields, count(n) as size,
+  count(n) filter (where n % 4 = 0 or part % 5 = 0) as apart from orders left join tokens on o = o_orderkey group by all)
+select o_custkey as doc, cast(sum(case when missing then 1 + size else fields + apart end) as bigint) as differences from sentences group by o_custkey""")
+def sentence_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of final documents to their sources: customers as documents, orders as sentences, lines as tokens."""
+    from attestia.operators import documents as D
+
+    line, part, order = F.col("l_linenumber"), F.col("part"), F.col("o_orderkey")
+    unique = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_partkey").alias("part"))
+    token = lambda decision: F.struct(line.alias("token_id"), decision.alias("decision"))
+    grouped = unique.groupBy("l_orderkey").agg(
+        F.collect_list(token(F.col("flag"))).alias("final"), F.collect_list(F.when(line % 4 != 0, token(F.when(part % 5 == 0, "X").otherwise(F.col("flag"))))).alias("source")
+    )
+    rows = table(spark, sf_dir, "orders").join(grouped, order == F.col("l_orderkey"), "left")
+    empty = F.array().cast(grouped.schema["final"].dataType)
+    side = lambda tokens, apart: rows.select(F.col("o_custkey").alias("doc"), order.alias("sentence_id"), (order % 7 == (0 if apart else 7)).alias("structurallyAcceptable"), F.when(order % 4 == 0, F.lit(apart)).alias("completePredicate"), F.coalesce(tokens, empty).alias("tokens"))
+    return D.sentence_differences(side("final", True), side("source", False).filter(F.col("sentence_id") % 9 != 0), "doc")

@@ -261,3 +261,28 @@ def ratification_roots(spark, sf_dir):
         "independentFromImplementationTeam": F.when(cust % 2 == 0, True), "decision": F.col("o_orderstatus"), "rationale": F.concat(F.lit(" "), "o_orderpriority", F.lit("  ")),
     }
     return table(spark, sf_dir, "orders").select("o_orderkey", *[c.alias(n) for n, c in fields.items()]).select("o_orderkey", D.ratification_root().alias("root"))
+
+
+_ERASURE_NOW, _ERASURE_DAYS = 946_684_800_000, 400
+
+
+@query(f"""with due as (select c_custkey as id from customer where c_custkey % 3 > 0 and c_custkey % 10 < 8),
+bounds as (select o_custkey, max(epoch_us(o_orderdate) // 1000) as latest, count(*) filter (where o_orderstatus = 'P') as active from orders group by o_custkey),
+judged as (select id, coalesce(latest, 0) as latest, coalesce(active, 0) > 0 or coalesce(latest, 0) + {_ERASURE_DAYS * 86_400_000} > {_ERASURE_NOW} as later from due left join bounds on o_custkey = id),
+items as (select o_custkey, count(*) filter (where o_orderkey % 4 > 0 or o_custkey % 5 = 0) as n from orders group by o_custkey)
+select id, case when later then 'retry' when coalesce(n, 0) > 0 then 'deleting' else 'completed' end as outcome,
+  case when later then greatest({_ERASURE_NOW} + 86400000, latest + {_ERASURE_DAYS * 86_400_000}) end as retry_at, case when later then 0 else coalesce(n, 0) end as items from judged left join items on o_custkey = id""")
+def erasure_requests(spark, sf_dir):
+    """Due requests: tried again while tasks are active or fresh, else deleting item by item until they are complete."""
+    person, order = F.col("o_custkey"), F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    key = F.col("c_custkey")
+    requests = table(spark, sf_dir, "customer").select(
+        key.alias("id"), key.alias("user_id"), F.when(key % 3 == 0, "completed").otherwise("pending").alias("status"), F.when(key % 10 < 8, F.lit(0)).otherwise(F.lit(_ERASURE_NOW + 1)).cast("long").alias("eligible_after")
+    )
+    state = F.when(F.col("o_orderstatus") == "P", "discussion").when(order % 2 == 0, "published").otherwise("revoked")
+    tasks = orders.select(order.alias("task_id"), state.alias("state"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("updated_at"))
+    submissions = orders.select(person.alias("user_id"), order.cast("string").alias("receipt_id"))
+    done = orders.filter((order % 4 == 0) & (person % 5 != 0)).select(person.alias("request_id"), F.concat(order.cast("string"), F.lit(".json")).alias("blob_name"), F.lit("deleted").alias("status"))
+    told, _ = W.erasures(requests, orders.select(person.alias("user_id"), order.alias("task_id")), tasks, submissions, done, _ERASURE_NOW, _ERASURE_DAYS)
+    return told
