@@ -142,6 +142,12 @@ def escape_public(c: Column) -> Column:
     return c
 
 
+def escape_markdown(c: Column) -> Column:
+    """Text in which no character has a meaning in Markdown, and none mentions or links."""
+    # The characters that get a backslash.
+    return F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), r"([`*_\[\]<>#@|])", r"\\$1")
+
+
 def table_cell(c: Column) -> Column:
     """Text for a Markdown table cell; null and empty show as a dash."""
     safe = F.regexp_replace(F.replace(escape_public(c), F.lit("|"), F.lit("&#124;")), "\r?\n", "<br>")

@@ -141,6 +141,44 @@ def publication_gate(tasks: DataFrame, appeals: DataFrame, finals: DataFrame, ke
     )
 
 
+# The states of a task in which a role may be taken.
+ROLE_STATES = {"A": ("open", "independent-review"), "B": ("open", "independent-review"), "J1": ("discussion",), "J2": ("final-review",)}
+
+
+def role_eligibility(requests: DataFrame, tasks: DataFrame, rounds: DataFrame, seats: DataFrame, raters: DataFrame, proposals: DataFrame) -> DataFrame:
+    """request_id and why the request for a role is refused (the first rule), or `eligible`.
+
+    requests: request_id, user_id, task_id, round_id, role, roots (of J1: the roots of the annotations it judges), receipt_id and root (of J2:
+    the proposal it reviews). tasks: task_id, state, holdout_id; rounds: round_id, status; seats (taken ones): user_id,
+    task_id, holdout_id, round_id, role; raters (active submissions of A and B): round_id, role, root; proposals: round_id,
+    receipt_id, root. A user may not be in a task, or in the family of its holdout, twice.
+    """
+    row = requests.join(tasks, "task_id", "left").join(rounds.select("round_id", F.col("status").alias("_round")), "round_id", "left")
+    mine = requests.select("request_id", "user_id", "task_id").join(tasks.select("task_id", "holdout_id"), "task_id", "left")
+    taken = seats.select("user_id", F.col("task_id").alias("_task"), F.col("holdout_id").alias("_family"))
+    again = mine.join(taken, "user_id").filter((F.col("task_id") == F.col("_task")) | (F.col("holdout_id") == F.col("_family"))).select("request_id").distinct().withColumn("_again", F.lit(True))
+    full = seats.select("round_id", "role").distinct().withColumn("_full", F.lit(True))
+    stored = raters.filter(F.col("role").isin("A", "B")).groupBy("round_id").agg(F.countDistinct("role").alias("_raters"), F.collect_set("root").alias("_roots"))  # two roles: two roots
+    offered = proposals.select("round_id", "receipt_id", F.col("root").alias("_proposed"))
+    known = row.join(again, "request_id", "left").join(full, ["round_id", "role"], "left").join(stored, "round_id", "left").join(offered, ["round_id", "receipt_id"], "left")
+    allowed = F.lit(False)
+    for role, states in ROLE_STATES.items():
+        allowed = allowed | ((F.col("role") == role) & F.col("state").isin(*states))
+    judge, second = F.col("role") == "J1", F.col("role") == "J2"
+    roots = F.array_distinct(F.coalesce("roots", F.array().cast("array<string>")))
+    bound = (F.size("_roots") == 2) & (F.size(F.array_except(roots, F.col("_roots"))) == 0) & (F.size(roots) > 0)
+    rules = {
+        "round-closed": ~F.coalesce(F.col("_round") == "open", F.lit(False)),
+        "role-state": ~F.coalesce(allowed, F.lit(False)),
+        "participated": F.col("_again"),
+        "occupied": F.col("_full"),
+        "raters-missing": judge & ~F.coalesce(F.col("_raters") == 2, F.lit(False)),
+        "raters-other": judge & ~F.coalesce(bound, F.lit(False)),
+        "proposal-missing": second & ~F.coalesce(F.col("root") == F.col("_proposed"), F.lit(False)),
+    }
+    return known.select("request_id", first_reason(rules).alias("reason"))
+
+
 def publishable(tasks: DataFrame, appeals: DataFrame, finals: DataFrame, receipts: DataFrame, now_ms: int) -> DataFrame:
     """The tasks that may be published: approved, accepted by the repository, past their appeal window, without a pending appeal, with
     their active final result, and with a repository receipt of exactly that result.

@@ -27,6 +27,30 @@ def claim(queue: DataFrame, now_ms: int, lease_ms: int, limit: int) -> DataFrame
     )
 
 
+def claimable(outbox: DataFrame, parents: dict[str, DataFrame], receipts: dict[str, list[DataFrame]], now_ms: int, limit: int | None = None) -> DataFrame:
+    """Outbox rows that may be claimed, oldest first: id, kind, related_id.
+
+    outbox: id, kind, related_id, task_id, status, next_attempt, created_at. A kind's parent (id, done) must exist and not be done: it
+    is found by the row's related id, or by its task for kinds whose parent has a task_id instead of an id. None of the kind's receipt
+    tables (related_id) may have it. Each kind is joined apart, so no row meets a table of another kind, and rows without a match do not
+    gather under a null key.
+    """
+    free = outbox.filter(F.col("status").isin("pending", "sent") | ((F.col("status") == "sending") & (F.col("next_attempt") <= now_ms)))
+    found = []
+    for kind, parent in parents.items():
+        own = free.filter(F.col("kind") == kind)
+        key = "task_id" if "task_id" in parent.columns else "related_id"
+        open_ = parent.filter(~F.coalesce(F.col("done"), F.lit(True))).select(F.col("task_id" if key == "task_id" else "id").alias(key))
+        own = own.join(open_, key, "left_semi")
+        for given in receipts.get(kind, []):
+            own = own.join(given.select("related_id"), "related_id", "left_anti")
+        found.append(own.select("id", "kind", "related_id", "created_at"))
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.unionAll(more)
+    return (whole.orderBy("created_at", "id").limit(limit) if limit else whole).drop("created_at")
+
+
 def backoff_minutes(attempts: Column, most: int = 60, terminal: int = 5) -> Column:
     """Minutes until the next attempt, doubling; null once the attempts are used up."""
     return F.when(attempts < terminal, F.least(F.lit(most), F.pow(F.lit(2), attempts)).cast("long"))

@@ -62,9 +62,13 @@ def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str], guard: Column | None = None) -> DataFrame:
     """The next version of a table: changed rows replace those of their key where the guard holds, new ones join.
 
-    Inside `guard`, current columns are `old.x` and changed ones `new.x`; the same columns are needed on both sides.
+    Inside `guard`, current columns are `old.x` and changed ones `new.x`; the same columns are needed on both sides. Of
+    several changes of one key the one that is last by its other columns, in their order, counts.
     """
     columns = current.columns
+    others = [c for c in columns if c not in keys]
+    if others:
+        changes = changes.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_last")).select(*[F.col(c) if c in keys else F.col("_last")[c].alias(c) for c in columns])
     old = current.select(F.struct("*").alias("old"), *[F.col(k).alias(f"_{k}") for k in keys])
     new = changes.select(F.struct("*").alias("new"), *[F.col(k).alias(f"_{k}") for k in keys])
     both = old.join(new, [f"_{k}" for k in keys], "full_outer")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestia.functions.hashing import hmac_sha256
-from attestia.functions.text import IDENTIFIER, UUID, trim, unsafe_flags
+from attestia.functions.text import CREDENTIAL, IDENTIFIER, UUID, WEB_URL, trim, unsafe_flags
 from attestia.operators.documents import NOTE_LENGTHS
 
 # Limits of the delivery of notifications, and the decisions of a second reviewer.
@@ -20,6 +20,8 @@ DECISIONS = ("agree", "disagree", "recuse")
 # Categories and length limits of an issue report.
 ISSUE_CATEGORIES = ("access", "task-inbox", "autosave", "adjudication", "submission", "display", "other")
 SUMMARY_LENGTHS, DETAIL_LENGTHS, MOST_STEPS = (10, 160), (20, 4000), 2000
+# What the context of a report may be.
+VERSION, STEPS, LANES, TASK_NAME = r"^\d{1,3}\.\d{1,3}\.\d{1,3}$", (1, 5), ("standard", "operational-test"), r"^[A-Za-z0-9][A-Za-z0-9._:-]{2,200}$"
 
 
 def reconcile(tasks: DataFrame, submissions: DataFrame) -> DataFrame:
@@ -193,18 +195,32 @@ def ratification_rejects(ratifications: DataFrame, finals: DataFrame, identity:
 def issue_rejects(reports: DataFrame, key: str = "report_id") -> DataFrame:
     """Key and reason of issue reports that may not be published.
 
-    reports: the key, privacy_confirmed, category, summary (one line), details, steps (may be null).
+    reports: the key, privacy_confirmed, category, summary (one line), details, steps (may be null); and, if they are
+    columns, portal_version, step, task_lane, operational_mode and task_version_id (lane and task may be null).
     """
-    summary, details, steps = trim("summary"), trim("details"), F.coalesce(trim("steps"), F.lit(""))
-    unsafe = reduce(lambda x, y: x | y, [hit for c in (summary, details, steps) for hit in unsafe_flags(c).values()])
+    summary = F.regexp_replace(trim("summary"), "[ \\t]+", " ")
+    lines = lambda c: trim(F.regexp_replace(c, "\\r\\n?", "\n"))
+    details, steps = lines("details"), F.coalesce(lines("steps"), F.lit(""))
+    texts = (summary, details, steps)
+    unsafe = reduce(lambda x, y: x | y, [hit for c in texts for hit in unsafe_flags(c).values()])
+    secret = reduce(lambda x, y: x | y, [F.coalesce(c.rlike(CREDENTIAL) | c.rlike(WEB_URL), F.lit(False)) for c in texts])
     rules = {
         "privacy": ~F.col("privacy_confirmed"),
         "category": ~F.col("category").isin(*ISSUE_CATEGORIES),
-        "summary": ~F.length(summary).between(*SUMMARY_LENGTHS) | summary.contains("\n"),
+        "summary": ~F.length(summary).between(*SUMMARY_LENGTHS) | summary.rlike("[\r\n]"),
         "details": ~F.length(details).between(*DETAIL_LENGTHS),
         "steps": F.length(steps) > MOST_STEPS,
+        "secret": secret,
         "unsafe": unsafe,
     }
+    context = {
+        "portal_version": lambda c: ~c.rlike(VERSION),
+        "step": lambda c: ~c.between(*STEPS),
+        "task_lane": lambda c: c.isNotNull() & ~c.isin(*LANES),
+        "operational_mode": lambda c: c.isNull(),
+        "task_version_id": lambda c: c.isNotNull() & ~c.rlike(TASK_NAME),
+    }
+    rules |= {name.replace("_", "-"): broken(F.col(name)) for name, broken in context.items() if name in reports.columns}
     return _reasons(reports, key, rules)
 
 

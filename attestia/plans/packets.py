@@ -180,3 +180,14 @@ def adjudication_roots(spark, sf_dir):
     """Canonical roots of nested adjudications."""
     named = {"packetMerkleRoot": F.lit("r"), "annotationAMerkleRoot": F.lit("a"), "annotationBMerkleRoot": F.lit("b")}
     return judged(spark, sf_dir)[2].withColumns(named).select("conv_id", D.adjudication_root().alias("root"))
+
+
+@query(PACKET_SQL)
+def packet_files(spark, sf_dir):
+    """Roots of packets that were written as files of one JSON document each and read back as such."""
+    from attestia.sources.documents import json_documents
+    from attestia.streaming.machine import stream_path
+
+    path = stream_path(spark, "packets")
+    packets(spark, sf_dir).drop("conv_id").write.option("maxRecordsPerFile", 1).json(path)
+    return json_documents(spark, path, "packet").select(F.col("taskId").cast("long").alias("conv_id"), D.packet_root().alias("root"))

@@ -79,6 +79,38 @@ def polymorphic_outbox(spark, sf_dir):
     )
 
 
+_ARMS = """box as (select event_id as id, case event_type when 'view' then 'submission' when 'click' then 'comment' when 'purchase' then 'task-state' else 'other' end as kind, event_id as related_id, user_id as task_id,
+  case event_id % 4 when 0 then 'pending' when 1 then 'sending' when 2 then 'sent' else 'failed' end as status, epoch_us(ts) // 1000 + (event_id % 3) * 86400000 as next_attempt, epoch_us(ts) // 1000 as created_at from events),
+submissions as (select o_orderkey as id, o_orderstatus = 'F' as done from orders), comments as (select c_custkey * 3 as id, c_acctbal < 0 as done from customer), tasks as (select s_suppkey as task_id, s_suppkey % 5 = 0 as done from supplier),
+taken as (select distinct case when l_linenumber = 1 then 'submission' else 'comment' end as kind, l_orderkey as related_id from lineitem where l_linenumber <= 2 and l_returnflag = 'R'),
+states as (select distinct l_orderkey as related_id from lineitem where l_tax > 0.07), repos as (select p_partkey as related_id from part where p_size > 40)"""
+
+
+@query(f"""with {_ARMS} select box.id, box.kind, box.related_id from box
+  left join submissions s on box.kind = 'submission' and s.id = box.related_id left join comments c on box.kind = 'comment' and c.id = box.related_id left join tasks t on box.kind = 'task-state' and t.task_id = box.task_id
+  left join taken r on box.kind = r.kind and r.related_id = box.related_id and box.kind in ('submission', 'comment') left join states e on box.kind = 'task-state' and e.related_id = box.related_id left join repos p on box.kind = 'task-state' and p.related_id = box.related_id
+where box.kind in ('submission', 'comment', 'task-state') and r.related_id is null and (box.kind <> 'task-state' or (e.related_id is null and p.related_id is null))
+  and (status in ('pending', 'sent') or (status = 'sending' and next_attempt <= 1705320000000)) and (box.kind <> 'submission' or not s.done) and (box.kind <> 'comment' or not c.done) and (box.kind <> 'task-state' or not t.done)""")
+def evidence_claimable(spark, sf_dir):
+    """Evidence of three kinds that may be claimed: each kind with its parent, and without any of its receipts."""
+    from attestia.operators import queues as Q
+
+    kind, number, items = F.col("event_type"), F.col("event_id"), table(spark, sf_dir, "lineitem")
+    box = event_ms(spark, sf_dir).select(
+        number.alias("id"), F.when(kind == "view", "submission").when(kind == "click", "comment").when(kind == "purchase", "task-state").otherwise("other").alias("kind"), number.alias("related_id"), F.col("user_id").alias("task_id"),
+        F.when(number % 4 == 0, "pending").when(number % 4 == 1, "sending").when(number % 4 == 2, "sent").otherwise("failed").alias("status"), (F.col("ms") + (number % 3) * 86_400_000).alias("next_attempt"), F.col("ms").alias("created_at"),
+    )
+    parents = {
+        "submission": table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").alias("done")),
+        "comment": table(spark, sf_dir, "customer").select((F.col("c_custkey") * 3).alias("id"), (F.col("c_acctbal") < 0).alias("done")),
+        "task-state": table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("task_id"), (F.col("s_suppkey") % 5 == 0).alias("done")),
+    }
+    taken = lambda n: items.filter((F.col("l_linenumber") == n) & (F.col("l_returnflag") == "R")).select(F.col("l_orderkey").alias("related_id"))
+    states = items.filter("l_tax > 0.07").select(F.col("l_orderkey").alias("related_id"))
+    repos = table(spark, sf_dir, "part").filter("p_size > 40").select(F.col("p_partkey").alias("related_id"))
+    return Q.claimable(box, parents, {"submission": [taken(1)], "comment": [taken(2)], "task-state": [states, repos]}, 1_705_320_000_000)
+
+
 @query("""select o_orderkey, o_orderstatus from orders where not exists (
   select 1 from lineitem where 'task-state:' || l_orderkey = 'task-state:' || o_orderkey and l_quantity > 40)""")
 def missing_evidence_anti(spark, sf_dir):

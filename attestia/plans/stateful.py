@@ -312,3 +312,40 @@ def receipt_watermarks(spark, sf_dir):
     """The highest receipt of each subject; 0 where there is none."""
     given = F.when((F.col("event_type") == "purchase") & (F.col("value") > 60), F.col("event_id"))
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.coalesce(F.max(given), F.lit(0).cast("long")).alias("watermark"))
+
+
+_ROLES = """requests as (select o_orderkey as id, o_custkey as person, o_orderkey as task, case o_orderkey % 4 when 0 then 'A' when 1 then 'B' when 2 then 'J1' else 'J2' end as role,
+  case o_orderkey % 5 when 0 then 'open' when 1 then 'independent-review' when 2 then 'discussion' when 3 then 'final-review' else 'discussion' end as state, o_orderkey % 50 as family, o_orderkey % 13 > 0 as open from orders),
+seats as (select l_suppkey as person, l_orderkey * 2 as task, (l_orderkey * 2) % 50 as family, case l_linenumber when 1 then 'A' when 2 then 'B' when 3 then 'J1' else 'J2' end as role from lineitem where l_linenumber <= 4 and l_returnflag = 'R'),
+raters as (select l_orderkey as task, count(*) as n, count(distinct part) as roots from (select l_orderkey, l_linenumber, min(l_partkey) as part from lineitem where l_linenumber <= 2 and l_linestatus = 'O' group by all) group by l_orderkey)"""
+
+
+@query(f"""with {_ROLES} select id as request_id, case when not open then 'round-closed'
+  when not ((role in ('A', 'B') and state in ('open', 'independent-review')) or (role = 'J1' and state = 'discussion') or (role = 'J2' and state = 'final-review')) then 'role-state'
+  when exists (select 1 from seats s where s.person = r.person and (s.task = r.task or s.family = r.family)) then 'participated'
+  when exists (select 1 from seats s where s.task = r.task and s.role = r.role) then 'occupied'
+  when role = 'J1' and coalesce((select n from raters x where x.task = r.task), 0) <> 2 then 'raters-missing'
+  when role = 'J1' and (id % 3 = 0 or (select roots from raters x where x.task = r.task) <> 2) then 'raters-other'
+  when role = 'J2' and (id % 7 = 0 or id % 11 = 0) then 'proposal-missing' else 'eligible' end as reason from requests r""")
+def role_requests(spark, sf_dir):
+    """Why a request for a role is refused: its round, the task's state, the user's family, the seat, and what the judges rest on."""
+    key, line = F.col("o_orderkey"), F.col("l_linenumber")
+    name = lambda c: F.concat(F.lit("r"), c.cast("string"))
+    root = lambda c: F.sha2(c.cast("string"), 256)
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    rated = items.filter("l_linenumber <= 2 and l_linestatus = 'O'").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
+    raters = rated.select(name(F.col("l_orderkey")).alias("round_id"), F.when(line == 1, "A").otherwise("B").alias("role"), root(F.col("part")).alias("root"))
+    roots = rated.groupBy("l_orderkey").agg(F.collect_set(root(F.col("part"))).alias("roots"))
+    role = F.when(key % 4 == 0, "A").when(key % 4 == 1, "B").when(key % 4 == 2, "J1").otherwise("J2")
+    requests = orders.join(roots, key == F.col("l_orderkey"), "left").select(
+        key.alias("request_id"), F.col("o_custkey").alias("user_id"), key.alias("task_id"), name(key).alias("round_id"), role.alias("role"),
+        F.when(key % 3 == 0, F.array(F.lit("other"))).otherwise(F.col("roots")).alias("roots"), name(key).alias("receipt_id"), F.when(key % 11 == 0, "other").otherwise(root(key)).alias("root"),
+    )
+    state = F.when(key % 5 == 0, "open").when(key % 5 == 1, "independent-review").when(key % 5 == 3, "final-review").otherwise("discussion")
+    tasks = orders.select(key.alias("task_id"), state.alias("state"), (key % 50).alias("holdout_id"))
+    rounds = orders.select(name(key).alias("round_id"), F.when(key % 13 == 0, "closed").otherwise("open").alias("status"))
+    task = F.col("l_orderkey") * 2
+    taken = F.when(line == 1, "A").when(line == 2, "B").when(line == 3, "J1").otherwise("J2")
+    seats = items.filter("l_linenumber <= 4 and l_returnflag = 'R'").select(F.col("l_suppkey").alias("user_id"), task.alias("task_id"), (task % 50).alias("holdout_id"), name(task).alias("round_id"), taken.alias("role"))
+    proposals = orders.filter(key % 7 != 0).select(name(key).alias("round_id"), name(key).alias("receipt_id"), root(key).alias("root"))
+    return C.role_eligibility(requests, tasks, rounds, seats, raters, proposals)

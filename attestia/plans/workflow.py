@@ -184,7 +184,8 @@ def ratification_binding(spark, sf_dir):
 flagged as (select *, (regexp_matches(details, '[^\s@]+@[^\s@]+\.[^\s@]+') or regexp_matches(details, '(?:\+?\d[\s().-]*){7,}') or regexp_matches(details, '(?i)</?[a-z][^>]*>')
   or regexp_matches(details, '!\[[^\]]*\]\s*\(') or regexp_matches(details, '(?i)\b(?:javascript|data):') or regexp_matches(details, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]')) as unsafe from reports)
 select report_id, unnest(list_filter([case when not privacy then 'privacy' end, case when category = 'praise' then 'category' end, case when length(summary) not between 10 and 160 or contains(summary, chr(10)) then 'summary' end,
-  case when length(details) not between 20 and 4000 then 'details' end, case when length(trim(steps)) > 2000 then 'steps' end, case when unsafe then 'unsafe' end], lambda x: x is not null)) as reason from flagged""")
+  case when length(details) not between 20 and 4000 then 'details' end, case when length(trim(steps)) > 2000 then 'steps' end, case when unsafe then 'unsafe' end,
+  case when regexp_matches(details, '(?i)(?:https?://|www\.)') or regexp_matches(details, '\b(?:gh[pousr]_[A-Za-z0-9_]{20,}|sk-[A-Za-z0-9_-]{20,}|Bearer\s+[A-Za-z0-9._~+/-]{12,})\b') then 'secret' end], lambda x: x is not null)) as reason from flagged""")
 def issue_reports(spark, sf_dir):
     """Issue reports that may not be published, with every reason."""
     reports = table(spark, sf_dir, "conversations").select(
@@ -286,3 +287,23 @@ def erasure_requests(spark, sf_dir):
     done = orders.filter((order % 4 == 0) & (person % 5 != 0)).select(person.alias("request_id"), F.concat(order.cast("string"), F.lit(".json")).alias("blob_name"), F.lit("deleted").alias("status"))
     told, _ = W.erasures(requests, orders.select(person.alias("user_id"), order.alias("task_id")), tasks, submissions, done, _ERASURE_NOW, _ERASURE_DAYS)
     return told
+
+
+@query(r"""with r as (select conv_id * 1000 + turn as report_id, conv_id % 9 as k from conversations)
+select report_id, unnest(case k when 1 then ['secret'] when 2 then ['secret'] when 3 then ['portal-version'] when 4 then ['step', 'task-lane'] when 5 then ['task-version-id'] when 6 then ['summary', 'details'] when 7 then ['operational-mode', 'unsafe'] else [] end) as reason from r""")
+def issue_context(spark, sf_dir):
+    """Issue reports with credentials, links, a context out of order, or texts of white space."""
+    k = F.col("conv_id") % 9
+    reports = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("report_id"), F.lit(True).alias("privacy_confirmed"), F.lit("other").alias("category"),
+        F.when(k == 6, "\n\tbroken\n   \n\n").otherwise("\tA  line\t\tof text\n").alias("summary"),
+        F.when(k == 1, "The key is ghp_" + "a" * 24 + " as you see").when(k == 2, "Please look at WWW.example.org there").when(k == 6, "x" * 19 + "\r\n\n\n").when(k == 7, "It calls javascript: as one can see").otherwise("What is wrong\r\nwith it all\r").alias("details"),
+        F.lit(" \n").alias("steps"), F.when(k == 3, "1.2").otherwise("1.22.333").alias("portal_version"), F.when(k == 4, 6).otherwise(5).alias("step"), F.when(k == 4, "fast").when(k == 0, "standard").alias("task_lane"),
+        F.when(k != 7, k == 0).alias("operational_mode"), F.when(k == 5, "a:").when(k == 0, "a:1").alias("task_version_id"),
+    )
+    return W.issue_rejects(reports)
+
+
+@query(r"""select page_id, regexp_replace(replace(html, '\', '\\'), '([`*_\[\]<>#@|])', '\\\1', 'g') as plain from pages""")
+def markdown_escape(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.escape_markdown(F.col("html")).alias("plain"))
