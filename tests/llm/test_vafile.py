@@ -67,3 +67,39 @@ def test_large_components_stay_exact():
     block = vafile.Block(np.array([1, 2, 3]), np.array([[2.0**40, 3.0], [2.0**40, 2.0], [0.0, 0.0]]))
     q = np.array([2.0**20, 1.0])
     assert block.best(9, q, block.bounds(q[None])[0], 2) == [(2**60 + 3, 1), (2**60 + 2, 2)]
+
+
+def test_contenders_hold_everyone_s_best():
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 30, 400)
+    vectors = rng.integers(0, 2, (400, 3)).astype(float)
+    left = vafile.contenders(ids, vectors, 4)
+    assert len(left) < 400
+    for q in range(30):
+        for v in vectors[:40]:
+            best = lambda rows, q=q, v=v: sorted((-(vectors[r] @ v), ids[r]) for r in rows if ids[r] != q)[:4]
+            assert best(range(400)) == best(left.tolist())
+    assert len(vafile.contenders(np.arange(10_000), np.ones((10_000, 2)), 4)) == 5
+    assert vafile.contenders(np.array([3, 3]), np.ones((2, 0)), 1).tolist() == [0]
+
+
+def test_stored_cells_bound_as_their_block_does():
+    rng = np.random.default_rng(6)
+    vectors = np.floor(rng.normal(size=(300, 20)) * 1e3)
+    block = vafile.Block(np.arange(300), vectors)
+    again = vafile.Block.stored(block.cells.tobytes(), np.ascontiguousarray(block.middle - block.width / 2).tobytes(), block.width.tobytes(), float(block.reach))
+    queries = np.floor(rng.normal(size=(9, 20)) * 1e3)
+    assert np.allclose(again.bounds(queries), block.bounds(queries), rtol=1e-9) and (again.bounds(queries) >= queries @ vectors.T).all()
+
+
+def test_a_vector_that_many_rows_share(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=24).tolist(), 0) for i in range(3000)] + [(i, [0.5] * 24, 0) for i in range(3000, 4500)]  # a third share one vector
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in vafile.search(frame, F.col("vec_id") % 100 == 0, 5).collect()}
+    points = np.array([r[1] for r in rows])
+    whole = np.floor(1024 * points)
+    for q in (0, 100, 2900, 3000, 4400):
+        own = whole @ whole[q]
+        best = sorted((-int(own[i]), i) for i in range(4500) if i != q)[:5]
+        assert [got[q, n] for n in range(1, 6)] == [(i, -s) for s, i in best]
