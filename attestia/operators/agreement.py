@@ -70,9 +70,10 @@ def agreement(paired: DataFrame, dimension: str = "dimension", dimensions: tuple
 
 
 def macro(scored: DataFrame, *keys: str) -> DataFrame:
-    """units, exact agreement, mean raw agreement and mean of the defined kappas over all dimensions (of each key)."""
+    """units, disagreements, exact agreement, mean raw agreement and mean of the defined kappas over all dimensions (of each key)."""
     return scored.groupBy(*keys).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("units"),
+        F.coalesce(F.sum("disagreements"), F.lit(0)).alias("disagreements"),
         F.coalesce(F.bool_and(F.col("disagreements") == 0), F.lit(True)).alias("exact"),
         F.avg("raw").alias("macro_raw"),
         F.avg("kappa").alias("macro_kappa"),

@@ -7,11 +7,14 @@ that a rater lacks are the value `null`. `attestia.streaming.rounds` does the sa
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestia.operators import agreement as A
 from attestia.operators.workflow import steps
+from attestia.session import shared_dir
 
 KEY = ["task_id", "round_id"]
 ROLES = ("A", "B", "J1", "J2")
@@ -50,8 +53,7 @@ def cell(a, b):
 
 def metrics(cells: DataFrame, minimum_raw: float, minimum_kappa: float, fallback: str) -> DataFrame:
     """units, disagreements and passed of each round from its contingency counts."""
-    scored = A.scores(cells, *KEY, "dimension")
-    total = A.macro(scored, *KEY).join(scored.groupBy(*KEY).agg(F.sum("disagreements").alias("disagreements")), KEY)
+    total = A.macro(A.scores(cells, *KEY, "dimension"), *KEY)
     return total.select(*KEY, "units", "disagreements", A.passes(F.col("macro_raw"), F.col("macro_kappa"), minimum_raw, minimum_kappa, fallback).alias("passed"))
 
 
@@ -81,8 +83,11 @@ def events(rounds: DataFrame, measured: DataFrame, judged: DataFrame) -> DataFra
 
 
 def settle(log: DataFrame, minimum_raw: float = A.MINIMUM_RAW, minimum_kappa: float = A.MINIMUM_KAPPA, fallback: str = A.UNDEFINED_FALLBACK) -> DataFrame:
-    """The steps of all rounds, from a whole log of submissions."""
-    firsts = first_submissions(log)
+    """The steps of all rounds, from a whole log of submissions, which is read once: what counts of it is a written table."""
+    spark = log.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/attestia-rounds-{uuid.uuid4().hex}"
+    first_submissions(log).write.parquet(path)
+    firsts = spark.read.schema(SUBMISSION).parquet(path)
     values = unit_values(firsts)
     pairs = values.filter("a is not null or b is not null").select(*KEY, "dimension", *cell(F.col("a"), F.col("b")))
     return events(slots(firsts), metrics(A.contingency(pairs, *KEY, "dimension"), minimum_raw, minimum_kappa, fallback), novelty(values))
