@@ -3,6 +3,10 @@
 Every node hooks onto the neighbour (or itself) of the least hashed id; the graph of the hooks' targets has at
 most about half the nodes, and is contracted again. When a graph of at most SMALL edges is left, one task ends the
 work with union-find. Look-ups of hot nodes are salted and minima are combined before they are shuffled.
+
+Defined results: an edge with a null end joins nothing, nor does one from a node to itself, and a node with no other edge is
+in no row of the result; repeated and reversed edges count once; a component has the least of its ids as its root, so
+there are no ties; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ decodes the sample tables (stsd, stts, stsc, stsz, stco/co64, stss) into codec,
 
 Defined results: a null or empty text stores UNIT zero bytes; a null media value has null features; a malformed
 container has the reason in `error` and null features; repeated rows give repeated rows; other columns that are
-asked for pass through; an empty table gives an empty one.
+asked for pass through; an empty table gives an empty one. A very long text is one container in the memory of its task;
+Spark itself holds no value of 2 GiB or more, and a text whose container would be one fails with its error.
 """
 
 from __future__ import annotations

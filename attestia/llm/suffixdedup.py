@@ -17,7 +17,9 @@ one) is removed; matches never cross documents and are judged on the input.
 
 Defined results: null and empty texts have no bytes; rows without doc_id come before all others; rows that share a
 doc_id are ordered by a hash of their text, and rows that repeat both are one document (each row is returned, with
-the same result); an empty table gives an empty result; other columns are ignored.
+the same result); an empty table gives an empty result; other columns are ignored. A very long text is hashed by segments,
+but the contexts of one document that need a suffix array, and its repeated windows, meet in one row (24 and 8 bytes for each), at the
+task that reads its bytes.
 """
 
 from __future__ import annotations

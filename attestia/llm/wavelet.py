@@ -11,7 +11,8 @@ costs only its unfinished shards.
 Defined results: a null or empty text has the end id only; rows that repeat a doc_id are documents of their own,
 ordered by a hash of their text; a null doc_id comes first; an empty table gives an empty result; other columns are
 ignored; the string of an added token is that token, as the library has it by default (with `ordinary`, it is
-ordinary text).
+ordinary text). A very long text is one shard of its own, in the memory of its task (some 2 bytes of file an id); Spark holds no value of 2 GiB
+or more, and a shard that would be one fails with its error.
 """
 
 from __future__ import annotations
