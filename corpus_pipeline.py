@@ -39,7 +39,8 @@ def stage(f):
 
 @stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language that was learned, or in no dominant one, go."""
+    """Documents without letters go, and those whose letters are mostly in scripts that no language of the training rows
+    uses, or in no dominant language. A text in an unlearned language of a learned script is judged by the languages that were learned."""
     return langid.accept(docs, langid.model_of(docs))
 
 
@@ -54,7 +55,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the first by doc_id, then by a hash of its text.
 
-    The nodes of the join are documents (doc_id and text), so that rows that share only a doc_id are judged apart.
+    The nodes of the join are documents (a 64-bit hash of doc_id and text), so that rows that share only a doc_id are
+    judged apart. Two documents whose hashes agree would count as one; that is to be expected from some billions of documents on.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     node = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), text)
