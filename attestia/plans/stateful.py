@@ -280,10 +280,23 @@ def retention_retry(spark, sf_dir):
 
 @query(_FOLD)
 def stream_state_machine(spark, sf_dir):
-    """The guarded fold as a stream: its final states equal the batch's."""
+    """The guarded fold as a stream, its events folded in chunks: the final states equal the batch's."""
     from attestia.streaming import machine
+    from attestia.streaming.admission import HOUR_US, Admission
 
-    return machine.run_to_end(spark, sf_dir, "events.parquet", STEPS, "signup")
+    log = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("entity"), F.col("event_id").cast("string").alias("key"), F.lit("").alias("payload"), F.col("event_type").alias("kind"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id"),
+    )
+    path = machine.stream_path(spark, "machine")
+    gate = Admission(spark, path, STEPS, "signup", F.floor(F.col("at") / (24 * HOUR_US)))
+    machine.arrivals([log], gate, path)
+    reached = gate.accepted().groupBy("entity").agg(F.max_by("kind", F.struct("at", "id")).alias("state"), F.count(F.lit(1)).cast("int").alias("version"))
+    refused = gate.rejected().groupBy("entity").agg(F.count(F.lit(1)).cast("int").alias("rejected"))
+    zero = F.lit(0)
+    return reached.join(refused, "entity", "full_outer").select(
+        F.col("entity").alias("user_id"), F.coalesce("state", F.lit("signup")).alias("state"), F.coalesce("version", zero).alias("version"), F.coalesce("rejected", zero).alias("rejected")
+    )
 
 
 @query("""with finals as (select l_orderkey, l_linenumber, min(l_partkey) as receipt, sha256('f' || min(l_partkey)) as root, bool_or(l_returnflag = 'A') as active from lineitem group by all),
