@@ -67,3 +67,29 @@ def digest(lines: DataFrame, line: Column, *order: Column | str, between: str =
     told = text.filter("_line is not null").repartition(1).sortWithinPartitions(*names).select("_line").mapInArrow(read, "n long, digest string")
     empty = F.sha2(F.lit(b""), 256)
     return told.agg(F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("n"), F.coalesce(F.max("digest"), empty).alias("digest"))
+
+
+def chained(rows: DataFrame, key: str, state: str, *order: str, version: str = "version", before: str = "before") -> DataFrame:
+    """The rows with their version (from 1) and the state of the row before, in the order of each key, of any number of rows a key.
+
+    As `consensus.chain`, but keys are cut: rows lie in ranges of (key, order), each range is numbered for itself, and a key that
+    goes on in the next range hands over its count and last state. At most one key goes on from range to range, so what
+    is handed over is two rows for each range. `order` must tell all rows of a key apart.
+    """
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/attestia-chains-{uuid.uuid4().hex}"
+    named = rows.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.col(state).alias("_state"), F.struct(*order).alias("_order"))
+    named.repartitionByRange(ranges(rows), "_key", "_order").withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.schema(named.schema.add("_part", "integer")).parquet(path)
+    ends = dealt.groupBy("_key", "_part").agg(F.count(F.lit(1)).alias("_n"), F.max_by(F.struct("_state"), "_order").alias("_last"))
+    many = ends.groupBy("_key").agg(F.count(F.lit(1)).alias("_parts")).filter("_parts > 1").drop("_parts")
+    cut = ends.join(F.broadcast(many), ends["_key"].eqNullSafe(many["_key"]), "left_semi")  # a key for each range at most
+    earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    handed = cut.select(
+        F.col("_key").alias("_k"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_from"), F.last("_last").over(earlier).alias("_given")
+    )
+    own = Window.partitionBy("_part", "_key").orderBy("_order")
+    placed = dealt.withColumns({"_place": F.row_number().over(own), "_prior": F.lag(F.struct("_state")).over(own)})
+    joined = placed.join(F.broadcast(handed), (F.col("_part") == F.col("_p")) & F.col("_key").eqNullSafe(F.col("_k")), "left")
+    prior = F.when(F.col("_place") > 1, F.col("_prior")).otherwise(F.col("_given"))
+    return joined.select("_row.*", (F.col("_place") + F.coalesce("_from", F.lit(0))).alias(version), prior["_state"].alias(before))

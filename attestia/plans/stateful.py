@@ -362,3 +362,14 @@ def role_requests(spark, sf_dir):
     seats = items.filter("l_linenumber <= 4 and l_returnflag = 'R'").select(F.col("l_suppkey").alias("user_id"), task.alias("task_id"), (task % 50).alias("holdout_id"), name(task).alias("round_id"), taken.alias("role"))
     proposals = orders.filter(key % 7 != 0).select(name(key).alias("round_id"), name(key).alias("receipt_id"), root(key).alias("root"))
     return C.role_eligibility(requests, tasks, rounds, seats, raters, proposals)
+
+
+@query("""with hot as (select event_id, case when event_id % 2 = 0 then 0 else user_id end as subject, event_type, ts from events)
+select event_id, row_number() over (partition by subject order by ts, event_id) as version, lag(event_type) over (partition by subject order by ts, event_id) as before from hot""")
+def state_versions_hot(spark, sf_dir):
+    """Versions and states before, where one subject has half of all events: its chain is cut into ranges."""
+    from attestia.operators.ordered import chained
+
+    subject = F.when(F.col("event_id") % 2 == 0, F.lit(0)).otherwise(F.col("user_id"))
+    rows = table(spark, sf_dir, "events").select("event_id", subject.alias("subject"), "event_type", "ts")
+    return chained(rows, "subject", "event_type", "ts", "event_id").select("event_id", "version", "before")

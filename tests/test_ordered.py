@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from attestia.functions import hashing as H
 from attestia.functions import text as T
+from attestia.operators import consensus as C
 from attestia.operators import ordered, templates
 from attestia.operators.replay import replay
 
@@ -190,3 +191,17 @@ def test_a_hot_row_is_reduced_before_the_shuffle(spark):
     assert [tuple(r) for r in done.table.collect()] == [(1, 4999.0)]
     plan = done.table._jdf.queryExecution().executedPlan().toString()
     assert "partial_max" in plan and "collect_list" not in plan and "Window" not in plan
+
+
+def test_chains_are_cut_and_handed_over(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ranges", lambda rows: 9)
+    r = random.Random(4)
+    rows = [(i, r.choice([0, 0, 0, 1, 2, None]), r.choice(["a", "b", None]), r.randrange(50)) for i in range(600)]
+    frame = spark.createDataFrame(rows, "id long, who long, state string, at long")
+    got = ordered.chained(frame, "who", "state", "at", "id")
+    assert got.columns == ["id", "who", "state", "at", "version", "before"]
+    want = {x.id: (x.version, x.before) for x in C.chain(frame, "who", "state", "at", "id").collect()}
+    assert {x.id: (x.version, x.before) for x in got.collect()} == want
+    whole = ordered.chained(frame.withColumn("who", F.lit(1)), "who", "state", "at", "id")
+    assert sorted(x.version for x in whole.collect()) == list(range(1, 601))
+    assert ordered.chained(frame.limit(0), "who", "state", "at", "id").count() == 0
