@@ -42,6 +42,7 @@ def _object(found: Column) -> Column:
 def kind_of(v: Column, schemas: Schemas = Schemas()) -> Column:
     """The kind of a document (a variant, no longer wrapped); `unknown` if no shape holds."""
     kind, schema = _text(v, "$.kind"), _text(v, "$.schema")
+    # The names that documents give as their kind.
     return (
         F.when(schema == schemas.draft, "draft")
         .when(kind == "independent-annotation", "annotation-artifact")
