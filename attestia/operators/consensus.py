@@ -117,7 +117,8 @@ def judge_guarded(events: DataFrame, key: str, state: str, start: str, transitio
             yield frame.drop(columns=["_chunk", "_state"]).assign(legal=ok)
 
     placed = events.withColumn("_chunk", chunk).join(starts, [key, "_chunk"]).select(*events.columns, "_chunk", "_state")
-    sorted_ = placed.repartition(key, "_chunk").sortWithinPartitions(key, "_chunk", *order)
+    # A hash of the keys: an exchange by the keys themselves is left out after a join by them, whose partitions may then be read in parts.
+    sorted_ = placed.repartition(F.xxhash64(key, "_chunk")).sortWithinPartitions(key, "_chunk", *order)
     return sorted_.mapInPandas(read, type(events.schema)([*events.schema.fields]).add("legal", "boolean"))
 
 

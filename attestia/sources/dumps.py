@@ -102,7 +102,7 @@ def pieces(rows: DataFrame, starts: DataFrame) -> DataFrame:
         placed = rows.join(F.broadcast(known), (F.col("path") == F.col("_p")) & (F.col("split") == F.col("_s")))
     else:
         ordered = rows.withColumn("_n", F.monotonically_increasing_id())
-        placed = ordered.join(known, (F.col("path") == F.col("_p")) & (F.col("split") == F.col("_s"))).repartition("path", "split").sortWithinPartitions("path", "split", "_n")
+        placed = ordered.join(known, (F.col("path") == F.col("_p")) & (F.col("split") == F.col("_s"))).repartition(F.xxhash64("path", "split")).sortWithinPartitions("path", "split", "_n")  # as in consensus.judge_guarded
 
     def read(frames):
         own, state, number, text, first, out = None, CODE, 0, [], True, []

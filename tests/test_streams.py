@@ -163,6 +163,25 @@ def test_every_event_is_accepted_or_rejected_once(spark, tmp_path, order):
     assert {"no-key", "repeat", "conflict", "illegal", "accepted"} <= tags and ("late" in tags) == (order != "time")
 
 
+def test_a_chunk_is_folded_whole_when_its_start_states_are_broadcast_late(spark):
+    rows = [(i, i % 5, "abc"[i * 7 % 3], i) for i in range(4000)]
+    events = spark.createDataFrame(rows, "id long, entity long, kind string, at long").repartition(8)
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "64k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        told = C.judge_guarded(events, "entity", "kind", "s", STEPS, "at", "id", chunk=F.floor(F.col("at") / 1000))
+        got = {r.id: r.legal for r in told.collect()}
+    finally:
+        for k in confs:
+            spark.conf.unset(k)
+    now, want = {}, {}
+    for i, e, kind, _ in rows:
+        want[i] = kind in STEPS.get(now.get(e, "s"), ())
+        now[e] = kind if want[i] else now.get(e, "s")
+    assert got == want
+
+
 def test_no_event_is_too_late_for_deduplication(spark, tmp_path):
     day = 86_400_000_000
     parts = [[(1, "june", "p", "a", 150 * day, 1)], [(1, "june2", "p", "a", 151 * day, 2)], [(1, "january", "p", "a", 0, 3), (2, "june", "p", "a", 0, 4)]]
