@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from attestia.functions import hashing as H
 from attestia.operators import workflow as W
+from attestia.plans import workflow as plans
 
 TASKS = "task_id int, round_id string, state string, passed boolean"
 SUBMISSIONS = "task_id int, round_id string, role string, receipt_id int, active boolean, novel int, decision string"
@@ -66,6 +68,18 @@ def test_envelopes_and_issue_reports(spark):
     assert reasons == {2: {"privacy", "category", "summary", "steps", "unsafe"}, 3: {"category", "summary", "details"}}
 
 
+def test_a_cut_summary_with_a_line_end_is_as_in_the_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    texts = ["x" * 149 + "\n" + "second line", "x" * 149 + " " + "second word", "  spaces at both ends of it  ", "\tten words  or   so in  this text\n", "\n" + "a" * 9 + " " * 12, "\u00a0" + "nine char" + " " * 20, None]
+    rows = [(i, 1 + i % 2, "user" if i % 2 else "assistant", t) for i, t in enumerate(texts, 1)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = db.execute(plans.ORACLES["issue_reports"]).fetchall()
+    got = [tuple(r) for r in plans.issue_reports(spark, str(tmp_path)).select("report_id", "reason").collect()]
+    assert sorted(got) == sorted(want) and (1002, "summary") in got
+
+
 def test_cascade_keeps_who_is_held(spark):
     asked, held = (spark.createDataFrame([(i,) for i in x], "person int") for x in ((1, 2, 2), (2,)))
     notes = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "owner int, note string")
