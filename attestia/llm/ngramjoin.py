@@ -391,7 +391,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, text: str = "
         return weighed, durable(large.select("root", blocks.alias("blocks"), "rows"), "large")
 
     def of(members: DataFrame) -> DataFrame:
-        return source.join(F.broadcast(members) if broadcastable(members) else members, "doc_id")
+        return source.join(F.broadcast(members) if broadcastable(members) else members.hint("merge"), "doc_id")
 
     def rarely(batches):
         from attestia.llm import ngramjoin

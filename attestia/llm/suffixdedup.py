@@ -409,7 +409,7 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     many = opened.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT)
     per = F.least(F.greatest(F.lit(HOT), F.col("n") / SHARDS), F.lit(MOST))
     hot = durable(many.select("anchor", F.ceil(F.col("n") / per).cast("int").alias("shards")), "hot")
-    opened = opened.join(F.broadcast(hot), "anchor", "left") if broadcastable(hot) else opened.join(hot, "anchor", "left")
+    opened = opened.join(F.broadcast(hot), "anchor", "left") if broadcastable(hot) else opened.join(hot.hint("merge"), "anchor", "left")
     wanted = durable(
         opened.groupBy("doc", "th").agg(F.collect_list(F.struct("anchor", "first", "last", F.coalesce("shards", F.lit(1)).alias("shards"))).alias("opened")), "opened"
     )

@@ -14,6 +14,14 @@ def nothing_is_small(monkeypatch):
         monkeypatch.setattr(module, "BROADCAST_ROWS", -1)
 
 
+def test_a_salted_side_is_never_broadcast(spark, tmp_path):
+    spark.range(2000).selectExpr("id as k", "1 as v").write.parquet(f"{tmp_path}/small-files")
+    left, right = spark.range(50).withColumnRenamed("id", "k"), spark.read.parquet(f"{tmp_path}/small-files")
+    for found in (common.lookup(left, right, "k", left.k), common.lookup(left, right, "k", left.k, 1)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {r.k: r.v for r in found.collect()} == dict.fromkeys(range(50), 1)
+
+
 def test_line_dedup(spark):
     test_linededup.test_against_brute_force(spark)
     test_linededup.test_repeats_nulls_and_empty_tables(spark)
