@@ -87,7 +87,15 @@ def settle(log: DataFrame, minimum_raw: float = A.MINIMUM_RAW, minimum_kappa: fl
     spark = log.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/attestia-rounds-{uuid.uuid4().hex}"
     first_submissions(log).write.parquet(path)
-    firsts = spark.read.schema(SUBMISSION).parquet(path)
-    values = unit_values(firsts)
+    return settled(spark.read.schema(SUBMISSION).parquet(path), minimum_raw, minimum_kappa, fallback)
+
+
+def settled(firsts: DataFrame, minimum_raw: float, minimum_kappa: float, fallback: str) -> DataFrame:
+    """The steps of rounds from the submissions that count, four of a round at most.
+
+    These are dealt out by round, whole: the rows of their units never travel, as all that follows groups and joins by round.
+    """
+    dealt = firsts.repartition(*KEY)
+    values = unit_values(dealt)
     pairs = values.filter("a is not null or b is not null").select(*KEY, "dimension", *cell(F.col("a"), F.col("b")))
-    return events(slots(firsts), metrics(A.contingency(pairs, *KEY, "dimension"), minimum_raw, minimum_kappa, fallback), novelty(values))
+    return events(slots(dealt), metrics(A.contingency(pairs, *KEY, "dimension"), minimum_raw, minimum_kappa, fallback), novelty(values))

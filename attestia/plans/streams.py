@@ -52,7 +52,7 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     judge = F.when(part % 41 == 0, "Z").when(part % 3 == 0, flag).otherwise(other)
     unit = lambda a, b: F.array(*[F.struct(F.col("l_linenumber").cast("string").alias("unit"), F.lit(d).alias("dimension"), v.alias("value")) for d, v in (("flag", a), ("size", b))])
     sides = {"A": (flag, size), "B": (other, F.when(part % 7 != 0, size)), "J1": (judge, size)}
-    whole = lines(spark, sf_dir).groupBy(task).agg(*[F.flatten(F.collect_list(unit(*v))).alias(r) for r, v in sides.items()])
+    whole = lines(spark, sf_dir, by_order=True).groupBy(task).agg(*[F.flatten(F.collect_list(unit(*v))).alias(r) for r, v in sides.items()])
     decision = F.when(task % 4 == 0, "disagree").when(task % 4 == 1, "recuse").otherwise("agree")
     none = F.lit(None).cast("array<struct<unit:string,dimension:string,value:string>>")
     turns = [("A", F.lit(True), F.col("A"), 0), ("B", task % 7 > 0, F.col("B"), 1), ("A", task % 4 == 0, F.col("J1"), 2), ("J1", task % 5 > 0, F.col("J1"), 3), ("J2", task % 3 > 0, none, 4)]

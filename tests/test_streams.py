@@ -75,6 +75,15 @@ def test_rounds_settle_as_plain_python_does(spark):
     assert R.settle(spark.createDataFrame([], R.SUBMISSION)).count() == 0
 
 
+def exchanges(frame):
+    return [line for line in frame._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_units_never_travel_once_submissions_are_dealt_by_round(spark):
+    found = exchanges(R.settle(spark.createDataFrame(drawn_log(5), R.SUBMISSION), *POLICY))
+    assert found and not [x for x in found if "dimension" in x or "unit#" in x]
+
+
 @pytest.mark.parametrize("cuts", [(), (5,), (40, 41, 150, 290)])
 def test_any_division_of_the_log_gives_the_same_rounds(spark, tmp_path, cuts):
     rows = drawn_log()
