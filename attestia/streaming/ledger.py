@@ -38,9 +38,9 @@ class Ledger:
         rows = self._parts(batch)
         return self.merged(rows if touched is None else rows.join(touched, touched.columns, "left_semi"))
 
-    def add(self, batch: int, delta: DataFrame, keep: Column | None = None) -> None:
-        """What this batch adds; `keep` is applied when the batches so far are folded."""
-        self.merged(delta).write.mode("overwrite").parquet(f"{self.path}/delta={batch}")
+    def add(self, batch: int, delta: DataFrame, keep: Column | None = None, unique: bool = False) -> None:
+        """What this batch adds, which is merged unless its keys are `unique`; `keep` is applied when the batches so far are folded."""
+        (delta if unique else self.merged(delta)).write.mode("overwrite").parquet(f"{self.path}/delta={batch}")
         if (batch + 1) % self.every == 0:
             whole = self.merged(self._parts(batch).unionByName(self.spark.read.schema(self.schema).parquet(f"{self.path}/delta={batch}")))
             (whole if keep is None else whole.filter(keep)).write.mode("overwrite").parquet(f"{self.path}/base={batch + 1}")
