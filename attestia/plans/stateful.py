@@ -9,7 +9,7 @@ from attestia.operators import consensus as C
 from attestia.operators import queues as Q
 from attestia.plans.registry import registry
 from attestia.plans.relational import event_ms
-from attestia.session import table
+from attestia.session import dealt, table
 
 QUERIES, ORACLES, query = registry()
 
@@ -308,6 +308,7 @@ join receipts r on r.l_orderkey = o_orderkey and r.l_linenumber = f.l_linenumber
 def publication_receipts(spark, sf_dir):
     """Approved tasks whose active final result has a repository receipt of the same round and root."""
     items = table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_orderkey": "task_id", "l_linenumber": "round_id"})
+    items = dealt(items.select("task_id", "round_id", "l_partkey", "l_suppkey", "l_returnflag", "l_tax"), "task_id")
     root = F.sha2(F.concat(F.lit("f"), F.min("l_partkey").cast("string")), 256)
     finals = items.groupBy("task_id", "round_id").agg(F.min("l_partkey").alias("receipt_id"), root.alias("root"), F.when(F.bool_or(F.col("l_returnflag") == "A"), "active").otherwise("superseded").alias("status"))
     receipts = items.groupBy("task_id", "round_id").agg(F.when(F.min("l_suppkey") % 3 == 0, "0").otherwise(root).alias("root"), F.min("l_suppkey").alias("receipt"))

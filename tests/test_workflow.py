@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from attestia.functions import hashing as H
 from attestia.operators import workflow as W
 from attestia.plans import workflow as plans
+from attestia.session import dealt
 
 TASKS = "task_id int, round_id string, state string, passed boolean"
 SUBMISSIONS = "task_id int, round_id string, role string, receipt_id int, active boolean, novel int, decision string"
@@ -92,3 +93,11 @@ def test_tree_ranges_are_part_of_the_format(spark):
     rows = spark.range(100).selectExpr("id", "id % 7 as k")
     two, three = H.rowset_tree(rows, "id", "k").first(), H.rowset_tree(rows, "id", "k", digits=3).first()
     assert two.n_rows == three.n_rows == 100 and (two.digits, three.digits) == (2, 3) and two.digest != three.digest
+
+
+def test_parts_follow_the_size_of_the_input(spark, tmp_path):
+    spark.range(100_000).selectExpr("id as k", "uuid() as v").write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    assert dealt(rows, "k").rdd.getNumPartitions() == max(4, dealt(rows, "k", bin_bytes=1 << 40).rdd.getNumPartitions())
+    many = dealt(rows, "k", bin_bytes=100_000)
+    assert many.rdd.getNumPartitions() > 20 and many.count() == 100_000
