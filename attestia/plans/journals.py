@@ -9,7 +9,7 @@ from attestia.operators import shapes as S
 from attestia.operators import templates as M
 from attestia.operators.replay import Replayed, replay
 from attestia.plans.registry import registry
-from attestia.session import table
+from attestia.session import dealt, table
 from attestia.sources import dumps
 from attestia.sources.objects import ObjectStore
 from attestia.streaming.machine import stream_path
@@ -84,7 +84,7 @@ def called(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     text = F.when(part % 11 == 0, "Open {name of {brand").when(part % 13 == 0, "No { } name").when(part % 2 == 0, "Part { name } of {brand}: {name}\n").otherwise("{brand}{size}")
     templates = table(spark, sf_dir, "part").select(part.alias("template_id"), text.alias("template"))
     items = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + line).alias("call_id"), F.when(line == 7, -F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("template_id"), "l_returnflag", "l_linestatus", line.alias("line"))
-    items = items.groupBy("call_id").agg(*[F.min(c).alias(c) for c in ("template_id", "l_returnflag", "l_linestatus", "line")])
+    items = dealt(items, "call_id").groupBy("call_id").agg(*[F.min(c).alias(c) for c in ("template_id", "l_returnflag", "l_linestatus", "line")])
     argument = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
     given = F.array(
         argument("name", F.concat(F.lit("{brand}"), "l_returnflag")), argument("brand", F.when(F.col("line") != 3, F.col("l_linestatus"))), argument("size", F.when(F.col("line") == 5, F.lit("9")))
