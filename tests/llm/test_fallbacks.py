@@ -2,7 +2,8 @@
 
 import pytest
 
-from attestia.llm import common, linededup, mixing, ngramjoin, sharding, suffixdedup
+import corpus_pipeline
+from attestia.llm import common, components, linededup, mixing, ngramjoin, sharding, suffixdedup
 from tests.llm import test_linededup, test_mixing, test_ngramjoin, test_sharding, test_suffixdedup
 
 
@@ -32,6 +33,26 @@ def test_ngram_join(spark, monkeypatch):
     test_ngramjoin.test_large_clusters_are_grouped_again_by_rare_shingles(spark, monkeypatch)
 
 
+def test_near_duplicates_of_the_pipeline_leave_the_driver_alone(spark, monkeypatch):
+    """Without small sides no plan of the stage has a broadcast, not even one that Catalyst chose by the sizes of files."""
+    for module, name, value in ((ngramjoin, "CLUSTER_DOCS", 5), (ngramjoin, "BLOCK_DOCS", 4), (components, "SMALL", 20)):
+        monkeypatch.setattr(module, name, value)
+    plans = {}
+
+    def seen(df, label):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return common.durable(df, label)
+
+    for module in (ngramjoin, components, corpus_pipeline):
+        monkeypatch.setattr(module, "durable", seen)
+    rows = test_ngramjoin.varied(21, 200)
+    left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    plans["kept"] = [left._jdf.queryExecution().executedPlan().toString()]
+    assert {"hooks", "links", "representatives", "groups", "lost", "kept"} <= plans.keys()
+    assert not [label for label, found in plans.items() if any("Broadcast" in plan for plan in found)]
+    assert sorted(x.doc_id for x in left.collect()) == sorted(i for i, _, first in test_ngramjoin.brute(rows, 5, 8, 10) if first in (i, None))
+
+
 def test_components(spark):
     test_ngramjoin.test_components(spark)
 
