@@ -2,7 +2,6 @@
 
 import pytest
 
-import corpus_pipeline
 from attestia.llm import common, components, linededup, mixing, ngramjoin, sharding, suffixdedup
 from tests.llm import test_linededup, test_mixing, test_ngramjoin, test_sharding, test_suffixdedup
 
@@ -35,6 +34,9 @@ def test_ngram_join(spark, monkeypatch):
 
 def test_near_duplicates_of_the_pipeline_leave_the_driver_alone(spark, monkeypatch):
     """Without small sides no plan of the stage has a broadcast, not even one that Catalyst chose by the sizes of files."""
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
     for module, name, value in ((ngramjoin, "CLUSTER_DOCS", 5), (ngramjoin, "BLOCK_DOCS", 4), (components, "SMALL", 20)):
         monkeypatch.setattr(module, name, value)
     plans = {}
