@@ -76,11 +76,11 @@ def rounds_settled(spark, sf_dir):
 def stream_rounds(spark, sf_dir):
     """The same from submissions as they arrive in three parts, divided within roles; counts are kept as state."""
     path = machine.stream_path(spark, "rounds")
-    log = submissions(spark, sf_dir)
     turn, half = F.shiftright("seq", 40), F.col("task_id") % 2 == 0
     place = F.when(turn == 0, 0).when((turn == 1) & half, 0).when(turn < 3, 1).when((turn == 3) & half, 1).otherwise(2)
+    submissions(spark, sf_dir).withColumn("place", place).write.partitionBy("place").parquet(f"{path}/parts")
     settled = Rounds(spark, path, POLICY)
-    machine.arrivals([log.filter(place == n) for n in range(3)], settled, path)
+    machine.deliveries(spark, [f"{path}/parts/place={n}" for n in range(3)], R.SUBMISSION, settled, path)
     return settled.events().select(*STEP)
 
 

@@ -78,9 +78,27 @@ def arrivals(parts: list[DataFrame], step, path: str) -> None:
     """
     for part in parts:
         part.write.mode("append").parquet(f"{path}/log")
-        spark = part.sparkSession
-        rows = spark.readStream.schema(part.schema).parquet(f"{path}/log")
-        rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        take_up(part.sparkSession, part.schema, step, path)
+
+
+def deliveries(spark: SparkSession, folders: list[str], schema: str, step, path: str) -> None:
+    """The same for parts that are folders of Parquet files: their files are moved into the log, none is read or written for it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    log = hadoop.Path(f"{path}/log")
+    files = log.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(log)
+    for n, folder in enumerate(folders):
+        part = hadoop.Path(folder)
+        for found in files.listStatus(part) if files.exists(part) else []:
+            name = found.getPath().getName()
+            if name.endswith(".parquet") and not files.rename(found.getPath(), hadoop.Path(log, f"{n}-{name}")):
+                raise OSError(f"cannot move {found.getPath()} into {log}")
+        take_up(spark, schema, step, path)
+
+
+def take_up(spark: SparkSession, schema, step, path: str) -> None:
+    rows = spark.readStream.schema(schema).parquet(f"{path}/log")
+    rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
 def stream_path(spark: SparkSession, name: str) -> str:

@@ -99,6 +99,38 @@ def test_any_division_of_the_log_gives_the_same_rounds(spark, tmp_path, cuts):
     assert {r.reason for r in settled.refused().collect()} == {"occupied", "role"}
 
 
+def test_what_was_told_is_not_measured_again(spark):
+    unit = lambda *v: [(str(n), "p", x) for n, x in enumerate(v)]
+    rows = [(1, "r", "A", "A1", 1, None, unit("x", "y")), (1, "r", "B", "B1", 2, None, unit("x")), (1, "r", "J1", "J", 3, None, unit("z")), (1, "r", "J2", "K", 4, "agree", None)]
+    firsts = spark.createDataFrame(rows, R.SUBMISSION)
+    steps = lambda turn, novel: {(e.turn, e.to_state, e.novel) for e in R.settled(firsts, *POLICY, spark.createDataFrame([(1, "r", turn, novel)], "task_id long, round_id string, turn int, novel long")).collect()}
+    assert steps(0, None) == {(1, "discussion", None), (2, "escalated", 1)}
+    assert steps(1, None) == {(2, "escalated", 1)}
+    assert steps(2, 0) == {(3, "approved", None)}  # the novelty that was told holds
+    assert steps(2, 1) == steps(3, 0) == set()
+
+
+def test_metrics_of_odd_units():
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("unit", pa.string()), ("dimension", pa.string()), ("value", pa.string())]))
+    row = lambda *us: [dict(zip(("unit", "dimension", "value"), u, strict=True)) for u in us]
+    a = [None, [], row(("1", "p", "b"), ("1", "p", "a")), row((None, None, None)), row(("1", "p", "x")), row(("1", "p", "x"), ("1", "q", "x"))]
+    b = [None, None, row(("1", "p", "b")), row((None, None, "null")), row(("2", "p", "x")), row(("1", "q", "y"), ("1", "p", "x"))]
+    f = [None, row(("1", "p", "z")), row(("1", "p", "a")), [None], row(("3", "p", "null"), ("1", "p", "y")), row(("1", "q", "y"))]
+    got = {k: v.to_pylist() for k, v in R.metrics([pa.array(x, kind) for x in (a, b, f)], 0.5, 0.2, "raw-agreement").items()}
+    assert got == {"units": [0, 0, 1, 1, 2, 2], "disagreements": [0, 0, 0, 0, 2, 1], "passed": [True, True, True, True, False, False], "novel": [0, 1, 1, 0, 1, 0]}
+
+
+def test_delivered_files_are_moved_and_taken_up_in_turn(spark, tmp_path):
+    rows = spark.createDataFrame([(n, n % 2) for n in range(10)], "v long, place int")
+    rows.write.partitionBy("place").parquet(f"{tmp_path}/parts")
+    seen = []
+    machine.deliveries(spark, [f"{tmp_path}/parts/place={n}" for n in range(3)], "v long", lambda batch, number: seen.append(sorted(r.v for r in batch.collect())), f"{tmp_path}/s")
+    assert [x for x in seen if x] == [[0, 2, 4, 6, 8], [1, 3, 5, 7, 9]]
+    assert not list(tmp_path.glob("parts/place=*/*.parquet"))
+
+
 def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     rows = drawn_log(20)
     settled = Rounds(spark, str(tmp_path), POLICY)
