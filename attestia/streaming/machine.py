@@ -89,9 +89,12 @@ def deliveries(spark: SparkSession, folders: list[str], schema: str, step, path:
     files.mkdirs(log)
     for n, folder in enumerate(folders):
         part = hadoop.Path(folder)
-        for found in files.listStatus(part) if files.exists(part) else []:
+        there = [f for f in (files.listStatus(part) if files.exists(part) else []) if f.getPath().getName().endswith(".parquet")]
+        if not there:  # a part without rows arrives too
+            spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/log")
+        for found in there:
             name = found.getPath().getName()
-            if name.endswith(".parquet") and not files.rename(found.getPath(), hadoop.Path(log, f"{n}-{name}")):
+            if not files.rename(found.getPath(), hadoop.Path(log, f"{n}-{name}")):
                 raise OSError(f"cannot move {found.getPath()} into {log}")
         take_up(spark, schema, step, path)
 
